@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm import canonical, nearest, pieces, repeats
+from cueloom.llm import canonical, nearest, pieces, repeats, turns
 from cueloom.session import read_table
 
 
@@ -58,7 +58,24 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.with_context(cut, index, _ms(spark, sf_dir, "piece_overlap"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_canonical, p4_found, p4_events, p5_found, p6_found, p6_pieces)}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speaker turns; cues that name nobody form turns of UNKNOWN."""
+    out = turns.turns(read_table(spark, sf_dir, "cues"), read_table(spark, sf_dir, "speaker_map"))
+    return out.select("job_id", "speaker_label", "first_start_ms", "last_start_ms")
+
+
+def p7_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speaker turns with missing labels inferred by the model."""
+    return turns.turns(read_table(spark, sf_dir, "cues"), read_table(spark, sf_dir, "speaker_map"), infer=True)
+
+
+def p7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean text of every cue that says something, with its speaker and the model's certainty."""
+    out = turns.labelled(read_table(spark, sf_dir, "cues"), read_table(spark, sf_dir, "speaker_map"))
+    return out.withColumn("probability", F.round("probability", 4))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_canonical, p4_found, p4_events, p5_found, p6_found, p6_pieces, p7_found, p7_turns, p7_lines)}
 ORACLES = {
     "p5_found": """
 WITH m AS (SELECT DISTINCT mark_id, job_id, CAST(round(at_sec * 1000) AS BIGINT) AS at FROM marks WHERE job_id IS NOT NULL AND at_sec IS NOT NULL),

@@ -19,6 +19,7 @@ FILLERS = ["um", "uhm", "umm", "uh", "uhh", "er", "erm", "hmm", "hm", "mhm", "ä
 SOUNDS = ["laugh", "applau", "clap", "cough", "sigh", "noise", "music", "crosstalk", "cross talk", "inaudible", "unintelligible", "silence", "phone ring", "door", "typing", "static", "background", "cheer", "sneez", "breath", "beep", "rire", "toux", "bruit", "musique", "inaudible", "risa", "tos", "ruido", "música", "gelächter", "lachen", "husten", "geräusch", "musik", "beifall", "klatschen", "笑", "拍手", "咳", "雑音", "音楽", "無音", "ノイズ", "掌声", "噪音", "音乐", "咳嗽", "웃음", "박수", "기침", "소음", "잡음", "음악"]
 
 _SOUND = "|".join(sorted(map(regex.escape, SOUNDS), key=len, reverse=True))
+_SOUND_RE = regex.compile(rf"(?:{_SOUND})", regex.I)
 _CLOCK = r"\d{1,3}[:：]\d{2}(?:[:：]\d{2})?(?:[.,]\d{1,3})?"
 CLOCK_RE = regex.compile(rf"[\[(（［【]\s*{_CLOCK}\s*[\])）］】]|(?<![\d:：.])\d{{1,3}}[:：]\d{{2}}[:：]\d{{2}}(?:[.,]\d{{1,3}})?(?![\d:：])|^\s*\d{{1,3}}[:：]\d{{2}}(?=\s)")
 NOTE_RE = regex.compile(rf"[\[［【](?!\s*(?:at|dot)\s*[\]］】])[\p{{L}}\p{{M}}\s'’-]{{1,40}}[\]］】]|[(（]\s*(?:{_SOUND})[^()（）]{{0,30}}[)）]|<(?!/?v\b)[\p{{L}}\p{{M}}\s/]{{1,30}}>|\*[\p{{L}}\s]{{1,30}}\*|[♪♫♬]", regex.I)
@@ -64,7 +65,8 @@ def split_label(text: str, known=None) -> tuple[str | None, str]:
 
     Clock readings and annotations before the label are passed over. Voice tags, arrows
     and numbered labels always count; a bare or bracketed name counts if known(name)
-    says so, or for a bare name without known, if it is one to three words.
+    says so. Without known, a bare name counts if it has one to three words, and a bracket if it
+    does not begin with a word for a sound.
     """
     label, rest = None, text
     while True:
@@ -77,7 +79,10 @@ def split_label(text: str, known=None) -> tuple[str | None, str]:
         if m and label is None:
             kind, got = m.lastgroup, m[m.lastgroup].strip()
             if kind in ("name", "bracket"):
-                fits = known(got) if known else kind == "name" and len(got.split()) <= 3
+                if known:
+                    fits = known(got)
+                else:
+                    fits = len(got.split()) <= 3 and (kind == "name" or not _SOUND_RE.match(got))
                 if not fits:
                     m = None
             if m:
