@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm import canonical, nearest, pieces, repeats, turns
+from cueloom.llm import canonical, nearest, pieces, repeats, sentences, turns
 from cueloom.session import read_table
 
 
@@ -75,7 +75,12 @@ def p7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("probability", F.round("probability", 4))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_canonical, p4_found, p4_events, p5_found, p6_found, p6_pieces, p7_found, p7_turns, p7_lines)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of every document."""
+    return sentences.split_sentences(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_canonical, p4_found, p4_events, p5_found, p6_found, p6_pieces, p7_found, p7_turns, p7_lines, p10_found)}
 ORACLES = {
     "p5_found": """
 WITH m AS (SELECT DISTINCT mark_id, job_id, CAST(round(at_sec * 1000) AS BIGINT) AS at FROM marks WHERE job_id IS NOT NULL AND at_sec IS NOT NULL),
