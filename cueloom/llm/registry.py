@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm import canonical, nearest, pieces, repeats, sentences, turns
+from cueloom.llm import canonical, mixing, nearest, packing, pieces, repeats, sentences, turns
 from cueloom.session import read_table
 
 
@@ -75,12 +75,32 @@ def p7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("probability", F.round("probability", 4))
 
 
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document, or of every piece of a larger one."""
+    return packing.pack(read_table(spark, sf_dir, "documents"), int(limit(spark, sf_dir, "pack_capacity")))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load and unused space of every container."""
+    return packing.container_loads(p8_packed(spark, sf_dir), int(limit(spark, sf_dir, "pack_capacity")))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the mixture with their number of copies."""
+    return mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return mixing.shares(*mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets")))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of every document."""
     return sentences.split_sentences(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_canonical, p4_found, p4_events, p5_found, p6_found, p6_pieces, p7_found, p7_turns, p7_lines, p10_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_canonical, p4_found, p4_events, p5_found, p6_found, p6_pieces, p7_found, p7_turns, p7_lines, p8_packed, p8_containers, p9_mixture, p9_shares, p10_found)}
 ORACLES = {
     "p5_found": """
 WITH m AS (SELECT DISTINCT mark_id, job_id, CAST(round(at_sec * 1000) AS BIGINT) AS at FROM marks WHERE job_id IS NOT NULL AND at_sec IS NOT NULL),

@@ -240,10 +240,17 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
             if p < spans[k][1]:
                 continue  # inside a quotation or bracket
             quote = spans[k][0]
+            if p > spans[k][1] and text[spans[k][1]] in "“\"":
+                p = spans[k][1]  # the next sign opens another quotation
+        elif "“" in m[0] or '"' in m[0]:
+            p = a + min(i for i in (m[0].find("“"), m[0].find('"')) if i >= 0)  # an opening sign
+            if p == a:
+                continue
+        mark = text[a:p]
         if first in ".!?…。．｡！？।॥؟۔":
             if first == "." and _ITEM_AT_END.search(text[max(0, a - 8) : a + 1] if a > 8 else "\n" + text[: a + 1]):
                 continue
-            if _decide(text, p, m[0], lower, quote):
+            if _decide(text, p, mark, lower, quote):
                 cuts.append(p)
         else:  # a closing verb form or particle before a space
             cuts.append(p)
