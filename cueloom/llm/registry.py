@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm import canonical, mixing, nearest, packing, pieces, repeats, sentences, turns
+from cueloom.llm import canonical, mixing, nearest, packing, pieces, pii, repeats, sentences, turns
 from cueloom.session import read_table
 
 
@@ -18,6 +18,20 @@ def _ms(spark: SparkSession, sf_dir: str, name: str) -> int:
     return round(limit(spark, sf_dir, name) * 1000)
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.records(read_table(spark, sf_dir, "cues"), read_table(spark, sf_dir, "id_index"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose text holds personal information, by kind."""
+    return pii.holding(_records(spark, sf_dir))
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with typed placeholders in its text."""
+    return _records(spark, sf_dir).dropDuplicates(["tab", "job_id", "rec_key"]).withColumn("text", pii.redacted("text"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cues whose text holds a disguised character."""
     return canonical.disguised(read_table(spark, sf_dir, "cues"), ["job_id", "source", "cue_index"])
@@ -100,7 +114,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_canonical, p4_found, p4_events, p5_found, p6_found, p6_pieces, p7_found, p7_turns, p7_lines, p8_packed, p8_containers, p9_mixture, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_canonical, p4_found, p4_events, p5_found, p6_found, p6_pieces, p7_found, p7_turns, p7_lines, p8_packed, p8_containers, p9_mixture, p9_shares, p10_found)}
 ORACLES = {
     "p5_found": """
 WITH m AS (SELECT DISTINCT mark_id, job_id, CAST(round(at_sec * 1000) AS BIGINT) AS at FROM marks WHERE job_id IS NOT NULL AND at_sec IS NOT NULL),
