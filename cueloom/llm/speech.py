@@ -16,7 +16,7 @@ from cueloom.llm.canonical import canonicalize
 # Hesitation words, as whole tokens.
 FILLERS = ["um", "uhm", "umm", "uh", "uhh", "er", "erm", "hmm", "hm", "mhm", "äh", "ähm", "öh", "öhm", "euh", "heu", "hum", "eh", "eeh", "em", "ehm", "えー", "えーと", "えーっと", "えと", "えっと", "ええと", "あのー", "あの", "うーん", "うーんと", "そのー", "まあ", "まー", "嗯", "呃", "唔", "음", "어", "으음", "저기"]
 # Words found in sound annotations, as they begin.
-SOUNDS = ["laugh", "applau", "clap", "cough", "sigh", "noise", "music", "crosstalk", "cross talk", "inaudible", "unintelligible", "silence", "phone ring", "door", "typing", "static", "background", "cheer", "sneez", "breath", "beep", "rire", "toux", "bruit", "musique", "inaudible", "risa", "tos", "ruido", "música", "gelächter", "lachen", "husten", "geräusch", "musik", "beifall", "klatschen", "笑", "拍手", "咳", "雑音", "音楽", "無音", "ノイズ", "掌声", "噪音", "音乐", "咳嗽", "웃음", "박수", "기침", "소음", "잡음", "음악"]
+SOUNDS = ["laugh", "applau", "clap", "cough", "sigh", "noise", "music", "crosstalk", "cross talk", "inaudible", "unintelligible", "silence", "phone ring", "door", "typing", "static", "background", "cheer", "sneez", "breath", "beep", "rire", "toux", "bruit", "musique", "aplau", "risa", "tosse", "suena", "tos", "ruido", "música", "gelächter", "lachen", "husten", "geräusch", "musik", "beifall", "klatschen", "笑", "拍手", "咳", "雑音", "音楽", "無音", "ノイズ", "掌声", "噪音", "音乐", "咳嗽", "웃음", "박수", "기침", "소음", "잡음", "음악"]
 
 _SOUND = "|".join(sorted(map(regex.escape, SOUNDS), key=len, reverse=True))
 _SOUND_RE = regex.compile(rf"(?:{_SOUND})", regex.I)
