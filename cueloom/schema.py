@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 # The enumerations.
-CATEGORIES = ["CONTENT", "BACKCHANNEL", "UNCERTAIN"]
+CATEGORIES = ["CONTENT", "BACKCHANNEL", "ACK_DECISION"]
 UNCERTAIN_REASONS = ["AB_MISMATCH", "LOW_CONFIDENCE", "SPEAKER_AMBIGUOUS", "OVERLAP", "NONE"]
 EDIT_TYPES = ["NORMALIZE", "VTT_SUPPLEMENT", "UNRESOLVED", "NONE"]
 CONFIDENCES = ["HIGH", "MEDIUM", "LOW"]
