@@ -13,6 +13,7 @@ joiners inside an emoji stay as they are.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -90,10 +91,12 @@ def mapping() -> dict[str, str]:
 @lru_cache(maxsize=1)
 def _machine() -> tuple:
     table = mapping()
-    single = "".join(regex.escape(c) for c in table)
-    look = "".join(LATIN_LOOKALIKES)
-    odd = rf"[{single}{look}\p{{M}}ᄀ-ᇿꥠ-ꥼힰ-ퟻ゛゜]|(?<=[{_KANA}])[{''.join(KATAKANA_LOOKALIKES)}]|[{''.join(KATAKANA_LOOKALIKES)}](?=[{_KANA}])|ー(?=\p{{Han}})|(?<![{_KANA}])[ニハ](?=[人回枚番度つ目])"
-    suspect = regex.compile(odd)
+    marks = {chr(c) for c in range(0x300, 0x370)} | {chr(c) for lo, hi in ((0x1100, 0x1200), (0xA960, 0xA97D), (0xD7B0, 0xD800)) for c in range(lo, hi)} | set("゙゚゛゜⃣")
+    always = frozenset(table) | frozenset(LATIN_LOOKALIKES) | marks
+    # These are suspicious beside certain neighbours only.
+    beside = frozenset(KATAKANA_LOOKALIKES) | frozenset("ーニハ")
+    han = "".join(KATAKANA_LOOKALIKES)
+    suspect = re.compile(rf"(?<=[{_KANA}])[{han}]|[{han}](?=[{_KANA}])|ー(?=[一-鿿])|(?<![{_KANA}])[ニハ](?=[人回枚番度つ目])")
     inv = regex.escape(_INVISIBLE)
     token = regex.compile(
         rf"(?P<emoji>\p{{Extended_Pictographic}}(?:[︎️]|\p{{EMod}})*(?:‍\p{{Extended_Pictographic}}(?:[︎️]|\p{{EMod}})*)*)"
@@ -104,7 +107,7 @@ def _machine() -> tuple:
         rf"|(?P<like>[{''.join(KATAKANA_LOOKALIKES)}ーニハ])"
         rf"|(?P<cluster>\X)",
     )
-    return table, suspect, token
+    return table, always, beside, suspect, token
 
 
 def _single(text: str, table: dict[str, str]) -> str:
@@ -156,8 +159,11 @@ def canonicalize(text: str | None) -> str | None:
     """The text in its one consistent form; see the module's docstring."""
     if not text:
         return text
-    table, suspect, token = _machine()
-    if not suspect.search(text):
+    if text.isascii():
+        return text
+    table, always, beside, suspect, token = _machine()
+    chars = set(text)
+    if chars.isdisjoint(always) and (chars.isdisjoint(beside) or not suspect.search(text)):
         return text
     latin = len(regex.findall(r"[A-Za-z]", text))
     latin_line = latin > 2 and not regex.search(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]", text)
