@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cueloom.plans import intervals, recordings
+from cueloom.plans import intervals, matching, recordings
 
 FLAGSHIP = "chunk_members"
-_MODULES = [recordings, intervals]
+_MODULES = [recordings, matching, intervals]
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
