@@ -1,0 +1,155 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from cueloom import cli
+from cueloom.config import DEFAULTS, deep_merge, load_config
+from cueloom.operators import annotate, checkpoint, restore
+from cueloom.plans import engine
+from cueloom.sinks import render
+from cueloom.sources.captions import parse_vtt
+
+
+def vtt(cues):
+    stamp = lambda s: f"{int(s // 3600):02d}:{int(s % 3600 // 60):02d}:{int(s % 60):02d}.{round(s % 1 * 1000):03d}"
+    return "WEBVTT\n\n" + "\n".join(f"{i}\n{stamp(a)} --> {stamp(b)}\n<v {who}>{text}</v>\n" for i, (a, b, who, text) in enumerate(cues, 1))
+
+
+@pytest.fixture
+def job(tmp_path):
+    folder = tmp_path / "meeting"
+    (folder / "input").mkdir(parents=True)
+    cues = [(i * 5.0, i * 5.0 + 4.5, f"SPEAKER_0{i % 2}", f"{i}番目の発言は議題{i * 7}についてです。") for i in range(150)]
+    (folder / "input" / "whisper_output.vtt").write_text(vtt(cues), encoding="utf-8")
+    (folder / "input" / "zoom_output.vtt").write_text(vtt([(a + 12.0, b + 12.0, "x", t) for a, b, _, t in cues]), encoding="utf-8")
+    (folder / "job.yaml").write_text("input:\n  speaker_map_file: map.json\noutput:\n  completion_mode: strict\n")
+    (folder / "map.json").write_text(json.dumps({"SPEAKER_00": "山田"}), encoding="utf-8")
+    return folder
+
+
+def test_whole_job(spark, job):
+    config = load_config(None, job)
+    meta = engine.run_job(spark, job, config, provider="merge")
+    out = job / "output"
+    assert meta["applied_offset_sec"] == pytest.approx(12.0) and meta["total_utterances"] == 150 and meta["completed_chunks"] == meta["total_chunks"] > 1
+    report = json.loads((out / "offset_report.json").read_text())
+    assert report["confidence"] == "HIGH" and report["override"] is None and "drift_delta_sec" in report
+    data = json.loads((out / "final_transcript.json").read_text(encoding="utf-8"))
+    assert len(data["utterances"]) == 150 and data["utterances"][0]["speaker"] == "山田" and "uncertain_span_ids" not in data["utterances"][0]
+    txt = (out / "final_transcript.txt").read_text(encoding="utf-8")
+    assert txt.startswith("山田\n0番目") and "\n\nSPEAKER_01\n" in txt
+    assert (out / "final_transcript.srt").read_text(encoding="utf-8").startswith("1\n00:00:00,000 --> 00:00:04,500\n山田: ")
+    back = parse_vtt(spark.createDataFrame([("a", (out / "final_transcript.vtt").read_text(encoding="utf-8"))], "k string, content string"), ["k"])
+    assert back.count() == 150
+    again = engine.run_job(spark, job, config, provider="faulty")  # nothing is left to annotate
+    assert again["total_utterances"] == 150
+
+
+def test_policies(spark, job):
+    strict = load_config(None, job, {"single_vtt": True})
+    strict["api"]["backoff_base_sec"] = 0
+    annotate.ANNOTATORS["drops"] = lambda: annotate.FaultyAnnotator("drop")
+    with pytest.raises(RuntimeError):
+        engine.run_job(spark, job, strict, provider="drops")
+    best = load_config(None, job, {"single_vtt": True, "best_effort": True})
+    meta = engine.run_job(spark, job, best, provider="drops")
+    assert meta["completed_chunks"] == 0 and meta["source_zoom_vtt"] is None
+    assert "処理失敗" in (job / "output" / "final_transcript.txt").read_text(encoding="utf-8")
+    with pytest.raises(ValueError):
+        engine.run_job(spark, job, strict, selected=[0, 99], provider="identity")
+    meta = engine.run_job(spark, job, best, selected=[0], provider="identity")
+    assert meta["completed_chunks"] == 1
+    with pytest.raises(FileNotFoundError):
+        engine.run_job(spark, job / "none", load_config(None, job / "none"))
+
+
+def test_retry():
+    waits = []
+    calls = iter([annotate.RetryableError("429", 5), annotate.RetryableError("503"), {"ok": 1}])
+
+    def call():
+        x = next(calls)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert annotate.call_with_retry(call, 3, 2, waits.append) == {"ok": 1} and waits[0] >= 5 and 4 <= waits[1] <= 5
+    with pytest.raises(annotate.AnnotationError):
+        annotate.call_with_retry(lambda: (_ for _ in ()).throw(annotate.NonRetryableError("400")), 3, 0, waits.append)
+    assert annotate.classify_error("Rate limit") is annotate.RetryableError and annotate.classify_error("invalid argument") is annotate.NonRetryableError
+    with pytest.raises(ValueError):
+        annotate.get_annotator("nothing")
+
+
+def test_prompts():
+    single = annotate.build_prompt("", dual=False)
+    assert all(m in single for m in annotate.SINGLE_MARKS) and annotate.HEAD_ZOOM not in single
+    dual = annotate.build_prompt("", dual=True, context_prompt="背景", errors=["e1"])
+    assert annotate.DUAL_MARK in dual and dual.index(annotate.HEAD_FEEDBACK) < dual.index(annotate.HEAD_CONTEXT) < dual.index(annotate.DUAL_MARK)
+    assert "【人名】山田、佐藤" in annotate.dictionary_section({"人名": ["山田", "佐藤"], "空": []}) and annotate.dictionary_section(None) == ""
+
+
+def test_prompt_sections(spark):
+    rows = [("j", 0, "BODY", 2, "U000002", None, "b"), ("j", 0, "BODY", 1, "U000001", "A", "a"), ("j", 0, "ZOOM", 9, None, None, "z"), ("j", 0, "ZOOM", 8, None, "Z", "y"), ("j", 0, "CTX_AFTER", 3, "U000003", "", "c")]
+    got = annotate.prompt_bodies(spark.createDataFrame(rows, "job_id string, chunk_index int, role string, pos long, uid string, speaker string, text string")).first()
+    assert got["expected_ids"] == ["U000001", "U000002"]
+    assert got["body"] == f"\n{annotate.HEAD_PRIMARY}\n[U000001] A: a\n[U000002] UNKNOWN: b\n\n{annotate.HEAD_ZOOM}\n[ZOOM_REF_001] Z: y\n[ZOOM_REF_002] z\n\n{annotate.HEAD_AFTER}\n[CTX] UNKNOWN: c"
+
+
+def test_restore_defaults(spark):
+    raw = json.dumps({"utterances": [{"id": "U000001", "source_ids": ["U000001", "U000002", "X"]}, {"id": "V_INSERT_001", "text": "i"}]})
+    results = spark.createDataFrame([("j", 0, "ok", raw), ("j", 1, "error", None)], "job_id string, chunk_index int, status string, result string")
+    index = spark.createDataFrame([("j", "U000001", 1.0, 2.0), ("j", "U000002", 2.0, 5.0)], "job_id string, uid string, start double, end double")
+    utts = restore.with_defaults(restore.parse_results(results))
+    got = restore.restore_times(utts, index).orderBy("pos").collect()
+    assert (got[0]["start"], got[0]["end"], got[0]["speaker"], got[0]["category"]) == (1.0, 5.0, "UNKNOWN", "CONTENT")
+    assert got[1]["start"] is None
+    inserts = spark.createDataFrame([("j", "V_INSERT_001", 7.0, 8.0)], "job_id string, uid string, start double, end double")
+    assert restore.restore_times(utts, index, inserts).orderBy("pos").collect()[1]["start"] == 7.0
+    with pytest.raises(Exception, match="unknown category"):
+        restore.with_defaults(restore.parse_results(results).withColumn("category", F.lit("ODD"))).collect()
+
+
+def test_txt_exclusion(spark):
+    rows = [
+        ("うん", "BACKCHANNEL", False, "NONE", "NONE"), ("了解です", "BACKCHANNEL", False, "NONE", "NONE"), ("3時", "BACKCHANNEL", False, "NONE", "NONE"), ("ながいながいあいづちです", "BACKCHANNEL", True, "NONE", "NONE"),
+        ("そう。", "CONTENT", True, "NONE", "NONE"), ("本文", "CONTENT", True, "AB_MISMATCH", "NORMALIZE"), ("本文2", "CONTENT", True, "LOW_CONFIDENCE", "NONE"), ("本文3", "CONTENT", True, "SPEAKER_AMBIGUOUS", "NONE"),
+    ]
+    df = spark.createDataFrame(rows, "text string, category string, uncertain boolean, uncertain_reason string, edit_type string")
+    got = df.select(restore.excluded_from_txt().alias("x"), restore.tagged_uncertain().alias("t")).collect()
+    assert [r["x"] for r in got] == [True, False, False, True, True, False, False, False]
+    assert [r["t"] for r in got][5:] == [False, True, False]
+
+
+def test_checkpoint(spark, tmp_path):
+    table = checkpoint.CheckpointTable(spark, str(tmp_path / "t"))
+    assert table.load().count() == 0
+    row = lambda c, s: ("j", c, s, None, 0, [], None, None)
+    table.save(spark.createDataFrame([row(0, "error"), row(1, "ok")], annotate.RESULT_SCHEMA))
+    table.save(spark.createDataFrame([row(0, "ok")], annotate.RESULT_SCHEMA))
+    assert sorted(r["chunk_index"] for r in table.completed().collect()) == [0, 1]
+    chunks = spark.createDataFrame([("j", 0), ("j", 1), ("j", 2)], "job_id string, chunk_index int")
+    assert [r["chunk_index"] for r in checkpoint.targets(chunks, table.completed()).collect()] == [2]
+    counts = checkpoint.status_counts(checkpoint.completion_status(chunks, table.load())).first()
+    assert (counts["completed"], counts["failed"], counts["pending"]) == (2, 0, 1)
+    table.clean()
+    assert table.load().count() == 0
+
+
+def test_config_and_cli(tmp_path, capsys):
+    assert deep_merge({"a": {"b": 1, "c": [1]}}, {"a": {"c": [2]}}) == {"a": {"b": 1, "c": [2]}}
+    (tmp_path / "app.yaml").write_text("chunking:\n  overlap_sec: 20\n")
+    (tmp_path / "job.yaml").write_text("chunking:\n  overlap_sec: 30\noffset:\n  mode: skip\n")
+    c = load_config(tmp_path / "app.yaml", tmp_path, {"offset_sec": 3.0})
+    assert c["chunking"]["overlap_sec"] == 30 and c["offset"]["mode"] == "manual" and c["offset"]["manual_offset_sec"] == 3.0 and DEFAULTS["chunking"]["overlap_sec"] == 15
+    assert cli.main(["--job", str(tmp_path / "none")]) == 1
+    assert cli.main(["--job", str(tmp_path), "--clean", "--chunk", "1"]) == 1
+    assert cli.main(["--job", str(tmp_path), "--chunk", "-1"]) == 1
+    with pytest.raises(SystemExit):
+        cli.parse_args(["--job", "x", "--offset-sec", "1", "--offset-skip"])
+
+
+def test_empty_render(spark):
+    none = spark.createDataFrame([], "job_id string, chunk_index int, pos int, id string, speaker string, text string, category string, uncertain boolean, uncertain_reason string, source string, source_ids array<string>, vtt_supplemented boolean, edit_type string, edit_note string, start double, end double")
+    assert render.txt_lines(none).count() == render.srt_lines(none).count() == render.vtt_lines(none).count() == 0
