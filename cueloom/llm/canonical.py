@@ -182,7 +182,8 @@ def canonicalize(text: str | None) -> str | None:
             return _like(text, m.start())
         plain = unicodedata.normalize("NFC", got)
         if len(plain) > 1:
-            plain = unicodedata.normalize("NFC", _single(plain, table))
+            joined = any(0x600 <= ord(c) < 0xE00 for c in plain)  # scripts in which joiners shape letters
+            plain = unicodedata.normalize("NFC", "".join([c if joined and c in "\u200c\u200d" else table.get(c, c) for c in plain]))
             return plain.replace("゛", "゙").replace("゜", "゚")
         return table.get(plain, plain)
 
