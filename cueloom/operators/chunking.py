@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueloom.functions.timecode import cue_id
+from cueloom.operators.ids import number_rows
 from cueloom.session import written
 
 SLOT_SEC = 3600.0
@@ -156,11 +157,15 @@ def split_into_chunks(cues: DataFrame, target_sec: float = 300, stage1: float =
 
 
 def ranges(starts: DataFrame, cues: DataFrame) -> DataFrame:
-    """Chunk ranges from the positions at which chunks begin."""
-    order = Window.partitionBy("job_id").orderBy("pos")
-    firsts = starts.withColumn("chunk_index", (F.row_number().over(order) - 1).cast("int")).withColumn("_next", F.lead("pos").over(order))
+    """Chunk ranges from the positions at which chunks begin.
+
+    Chunks are numbered in slots of positions and meet their successor by number, so that
+    no window holds all chunks of a job.
+    """
+    numbered = number_rows(starts, ["job_id"], ["pos"], "_k", slot=F.floor(F.col("pos") / 65536)).select("job_id", (F.col("_k") - 1).alias("chunk_index"), "pos")
+    after = numbered.select("job_id", (F.col("chunk_index") - 1).alias("chunk_index"), F.col("pos").alias("_next"))
     ends = cues.groupBy("job_id").agg(F.max("pos").alias("_n"))
-    cut = firsts.join(ends, "job_id").select("job_id", "chunk_index", F.col("pos").alias("first_pos"), F.coalesce(F.col("_next") - 1, F.col("_n")).alias("last_pos"))
+    cut = numbered.join(after, ["job_id", "chunk_index"], "left").join(ends, "job_id").select("job_id", "chunk_index", F.col("pos").alias("first_pos"), F.coalesce(F.col("_next") - 1, F.col("_n")).alias("last_pos"))
     a = cues.select("job_id", F.col("pos").alias("first_pos"), F.col("start").alias("time_start"))
     b = cues.select("job_id", F.col("pos").alias("last_pos"), F.col("end").alias("time_end"))
     return cut.join(a, ["job_id", "first_pos"]).join(b, ["job_id", "last_pos"]).select("job_id", "chunk_index", "first_pos", "last_pos", "time_start", "time_end")
@@ -183,8 +188,7 @@ def contexts(chunks: DataFrame, cues: DataFrame, overlap_sec: float = 15, slot_s
     first chunk. After: cues behind the body that end within overlap_sec of its end, but for
     the last. Cues meet chunks through one-minute slots of the tested time.
     """
-    last = Window.partitionBy("job_id")
-    framed = chunks.withColumn("_last", F.max("chunk_index").over(last))
+    framed = chunks.join(chunks.groupBy("job_id").agg(F.max("chunk_index").alias("_last")), "job_id")
     slot = lambda c: F.floor(c / F.lit(slot_sec))
     lo = F.greatest(F.lit(0.0), F.col("time_start") - overlap_sec)
     before = framed.where(F.col("chunk_index") > 0).withColumn("_lo", lo).withColumn("_s", F.explode(F.sequence(slot(F.col("_lo")), F.greatest(slot(F.col("time_start")), slot(F.col("_lo"))))))
