@@ -42,7 +42,8 @@ def alike(a: str, b: str) -> bool:
     """Whether both keys can be one intended text with at most one letter misheard in each.
 
     Numbers must agree. One edit between the keys is one misheard letter; two edits are
-    one in each, if they lie apart, as two neighbouring edits are rather another word.
+    one in each, if letters between them agree or one is a letter said twice, as two
+    neighbouring edits are otherwise rather another word.
     """
     if a == b:
         return True
@@ -58,12 +59,16 @@ def alike(a: str, b: str) -> bool:
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
     far = max(len(x), len(y))
     if not x or not y:
-        return far == 1  # one letter lost or said twice
+        if far == 1:
+            return True  # one letter lost or said twice
+        # One letter lost here and one said twice there: the latter stands beside its like.
+        full, at = (a, head) if x else (b, head)
+        return far == 2 and short >= 8 and (full[at] == full[at + 1] or full[at + 1 : at + 3] == full[at + 1] * 2 or at > 0 and full[at - 1] == full[at])
     if far == 1:
         return short >= 8  # one letter replaced
     if len(x) == 2 and x == y[::-1]:
         return True
-    return short >= 8 and far >= 4 and edits(x, y) <= 2
+    return short >= 8 and far >= 3 and edits(x, y) <= 2
 
 
 @F.pandas_udf(T.BooleanType())
