@@ -1,8 +1,8 @@
 """Mixing sources to target weights, by Pareto order sampling.
 
 Every document of a source first gets the whole copies its source's rate makes certain.
-What is left is one more copy for some: each has an inclusion probability, higher for
-shorter documents, and documents enter in order of random odds divided by inclusion
+What is left is one more copy for some: each has an inclusion probability, somewhat higher
+for shorter documents, and documents enter in order of random odds divided by inclusion
 odds until the source's remaining tokens are filled. The cut is found with sums over
 buckets of that order, so no source is ever sorted as a whole.
 """
@@ -46,7 +46,7 @@ def plan(sources: list[dict]) -> list[dict]:
 
 
 def _fill(drawn: DataFrame, rest: dict[str, int]) -> DataFrame:
-    """Documents that enter once more: in order of _key until rest tokens of their source are full.
+    """Documents drawn in order of _key until rest tokens of their source are full.
 
     Where the next document is too large, the order goes on behind it with those that still
     fit, up to ROUNDS times; in the last round one enters if at least half of it fits.
@@ -88,17 +88,21 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, path: str = TOK
     sums = items.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum(F.pow(F.col("tokens"), F.lit(1 - SHORT_BIAS))).alias("weight"))
     known = [r.asDict() for r in goals.join(sums, "source", "left").collect()]  # as many rows as there are targets
     weight = {r["source"]: r["weight"] for r in known}
-    rows = [(p["source"], p["whole"], p["rest"], p["wanted"], p["rest"] / weight[p["source"]]) for p in plan(known)]
-    plans = spark.createDataFrame(rows, "source string, whole int, rest long, wanted long, rate double")
+    total = {r["source"]: r["tokens"] for r in known}
+    # Where more than half enters once more, those left out are drawn instead, from the other end of the order.
+    rows = [(p["source"], p["whole"], p["rest"], p["wanted"], p["rest"] / weight[p["source"]], 2 * p["rest"] > total[p["source"]]) for p in plan(known)]
+    plans = spark.createDataFrame(rows, "source string, whole int, rest long, wanted long, rate double, _left_out boolean")
     drawn = items.join(F.broadcast(plans), "source")
     chance = F.least(F.greatest(F.col("rate") * F.pow(F.col("tokens"), F.lit(-SHORT_BIAS)), F.lit(_EDGE)), F.lit(1 - _EDGE))
     u = _uniform(seed, "doc_id")
     odds = (u / (1 - u)) / (chance / (1 - chance))
     # odds / (1 + odds) keeps the order and lies in (0, 1), which makes buckets of it.
-    drawn = written(drawn.withColumn("_key", odds / (1 + odds)).withColumn("_bucket", F.floor(F.col("_key") * BUCKETS)))
-    extra = _fill(drawn, {p[0]: p[2] for p in rows})
-    out = drawn.where(F.col("whole") > 0).select("doc_id", "source", "tokens", F.col("whole").alias("copies")).unionByName(extra.select("doc_id", "source", "tokens", F.lit(1).alias("copies")))
-    out = out.groupBy("doc_id", "source", "tokens").agg(F.sum("copies").cast("int").alias("copies"))
+    key = odds / (1 + odds)
+    drawn = drawn.withColumn("_key", F.when(F.col("_left_out"), 1 - key).otherwise(key)).withColumn("_bucket", F.least(F.floor(F.col("_key") * BUCKETS), F.lit(BUCKETS - 1)))
+    drawn = written(drawn.select("doc_id", "source", "tokens", "whole", "_left_out", "_key", "_bucket"))
+    picked = _fill(drawn, {p[0]: total[p[0]] - p[2] if p[5] else p[2] for p in rows}).select("doc_id", F.lit(True).alias("_picked"))
+    copies = F.col("whole") + (F.coalesce("_picked", F.lit(False)) != F.col("_left_out")).cast("int")
+    out = drawn.join(picked, "doc_id", "left").withColumn("copies", copies).where(F.col("copies") > 0).select("doc_id", "source", "tokens", "copies")
     return out, goals.join(F.broadcast(plans), "source", "left").select("source", "target_share", "max_repeats", F.coalesce("wanted", F.lit(0)).alias("wanted"))
 
 
