@@ -59,6 +59,11 @@ _KANA_HANGUL = re.compile(r"[ぁ-ヿ가-힣]")
 _HEAD = re.compile(
     r"[ \t　]*(?:[*•‣·▪◦–—-][ \t　]|・|[(（]\d{1,3}[)）]|\d{1,3}[.)．）、][ \t　]|[①-⑳]|#{1,6}[ \t]|[\[(（]?\d{1,2}[:：]\d{2}(?:[:：]\d{2})?(?:[.,]\d+)?[\])）]?(?=\s|$)|>{1,3}[ \t]|<v[ .]|(?:SPEAKER|Speaker|speaker|SPK|spk|話者|发言人|화자)[ _-]?\d+[ \t]*[:：]|(?:[^\W\d_][^\W\d_.'’-]*[ 　]?){1,3}[:：](?=\s|[^\x00-\x7f]|[A-Za-z]))"
 )
+_NUMBER_HEAD = re.compile(r"[ \t　]*(?:[(（]?\d{1,3}[.)．）、]|[\[(（]?\d{1,2}[:：]\d{2})")
+_NAME_HEAD = re.compile(r"[ \t　]*(?:[^\W\d_][^\W\d_.'’-]*[ 　]?){1,3}[:：]")
+_NUMBERED_LABEL = re.compile(r"[ \t　]*(?:SPEAKER|SPK|話者|发言人|화자)[ _-]?\d", re.I)
+_LIST_HEAD = re.compile(r"[ \t　]*(?:[*•‣·▪◦–—-][ \t　]|・|[(（]?\d{1,3}[.)．）、][ \t　]|[①-⑳]|[\[(（]?\d{1,2}[:：]\d{2})")
+_PARTICLE_END = re.compile(r"(?:ครับ|ค่ะ|คะ|จ้ะ|จ๊ะ)\Z")
 _ITEM_AT_END = re.compile(r"(?:^|\n)[ \t　]*(?:\d{1,3}|[A-Za-z])[.)．]\Z")
 _END_OF_LINE = re.compile(rf"[.!?…。．！？।॥؟۔](?:\s?»|[{_CLOSE}])*[ \t　]*\Z")
 _SPACE = re.compile(r"[ \t　]*\n?[ \t　]*")
@@ -92,7 +97,7 @@ GENERAL_NO_BREAK = [
     _rule(False, r"(?<!\d )(?<!\d)(?<![\w])[A-Za-zÀ-ɏ][.]", r"\s*\S"),  # initials and one-letter abbreviations, but not units after a number
     _rule(False, rf"{_EDGE}(?:{_any([a for v in ABBREVIATIONS.values() for a in v])})[.]", r"\s"),
     _rule(False, rf"{_EDGE}(?:{_any(BEFORE_NUMBER)})[.]", r"\s*\d"),
-    _rule(False, r"(?<![\w])(?:dem|der|den|des|das|die|am|im|zum|zur|vom|beim|seit|bis) \d{1,4}[.]", r"\s+[A-ZÄÖÜ]"),  # German ordinals
+    _rule(False, r"(?<![\w])(?:dem|der|den|des|das|die|am|im|zum|zur|vom|beim|seit|bis)\s\d{1,4}[.]", r"\s+[A-ZÄÖÜ]"),  # German ordinals
 ]
 GLUED = [
     _rule(True, r"[^\W\d_A-Z]{2,}[.!?…]+", r"[A-ZÀ-ÖØ-Þ¿¡„«][^\W\d_A-Z]|[A-ZÀÉ]['’]", case=True),  # the space after the mark is missing
@@ -222,7 +227,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     if not text.isascii():
         pattern = _CANDIDATE_THAI if _THAI.search(text) else _CANDIDATE_OPEN if _KANA_HANGUL.search(text) else _CANDIDATE
     cuts: list[int] = []
-    line_start = 0
+    line_start, fresh = 0, True  # fresh: the line begins a sentence
     for m in pattern.finditer(text):
         a, p = m.span()
         first = text[a]
@@ -230,7 +235,8 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
             got = m[0]
             line = text[line_start:a]
             line_start = a + 1
-            if got.count("\n") > 1 or _breaks(text, a, a + 1, line):
+            fresh = got.count("\n") > 1 or _breaks(text, a, a + 1, line, fresh)
+            if fresh:
                 cuts.append(a)
             continue
         while k < n_spans and spans[k][1] <= a:
@@ -248,7 +254,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
                 continue
         mark = text[a:p]
         if first in ".!?…。．｡！？।॥؟۔":
-            if first == "." and _ITEM_AT_END.search(text[max(0, a - 8) : a + 1] if a > 8 else "\n" + text[: a + 1]):
+            if first == "." and fresh and _ITEM_AT_END.search(text[max(0, a - 8) : a + 1] if a > 8 else "\n" + text[: a + 1]):
                 continue
             if _decide(text, p, mark, lower, quote):
                 cuts.append(p)
@@ -268,17 +274,32 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def _breaks(text: str, a: int, nxt: int, line: str) -> bool:
-    """Whether the single line break at a ends a sentence rather than wraps the line."""
-    if _HEAD.match(text, nxt):
-        return True
+def _breaks(text: str, a: int, nxt: int, line: str, fresh: bool) -> bool:
+    """Whether the single line break at a ends a sentence rather than wraps the line.
+
+    A number or a word with a colon at the head of the next line may be an item's or a
+    speaker's, or the wrapped line's next word: it is the latter where a wide line without an
+    end mark stands before that is no item, or has no label, itself.
+    """
     body = line.rstrip()
     if not body:
         return True
-    if _END_OF_LINE.search(body[-8:]):
+    ended = _END_OF_LINE.search(body[-8:]) is not None
+    wide = _width(body) >= 40
+    if _HEAD.match(text, nxt):
+        loose = wide and not ended and not _PARTICLE_END.search(body)
+        if loose and _NUMBER_HEAD.match(text, nxt):
+            loose = not (fresh and _LIST_HEAD.match(body))
+        elif loose and _NAME_HEAD.match(text, nxt) and not _NUMBERED_LABEL.match(text, nxt):
+            loose = not (fresh and _HEAD.match(body))
+        else:
+            loose = False
+        if not loose:
+            return True
+    if ended:
         m = re.search(rf"{_MARKS}(?:\s?»|[{_CLOSE}]+)*\Z", body)
         return m is None or not m[0].startswith(".") or _first(GENERAL_NO_BREAK, text, a - (len(line) - len(body))) is None
-    return _width(body) < 40
+    return not wide
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
