@@ -121,6 +121,8 @@ def run_job(spark: SparkSession, job_dir: str | Path, config: dict, clean: bool
     todo = checkpoint.targets(ready.chunks.select("job_id", "chunk_index"), table.completed(), selected, force)
     asked = prompts(ready, glossary).join(todo, ["job_id", "chunk_index"], "left_semi")
     api = config["api"]
+    if config["logging"]["log_level"] == "DEBUG":  # the prompts as they are first sent
+        asked.select("job_id", "chunk_index", "body").write.mode("overwrite").json(str(paths["temp_dir"] / "prompts"))
     table.save(annotate.annotate(asked, provider or api["provider"], None, dual, context, api["max_retries"], api["max_validation_retries"], api["backoff_base_sec"]))
     mapping = side.read_speaker_map(paths.get("speaker_map_file"))
     names = spark.createDataFrame([(name, k, v) for k, v in mapping.items()], "job_id string, speaker_label string, display_name string") if mapping else None

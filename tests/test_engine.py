@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from cueloom import cli
+from cueloom import cli, glossary
 from cueloom.config import DEFAULTS, deep_merge, load_config
 from cueloom.operators import annotate, checkpoint, restore
 from cueloom.plans import engine
@@ -150,6 +150,15 @@ def test_config_and_cli(tmp_path, capsys):
         cli.parse_args(["--job", "x", "--offset-sec", "1", "--offset-skip"])
 
 
+def test_glossary(tmp_path, capsys):
+    (tmp_path / "input").mkdir()
+    assert glossary.main(["--job", str(tmp_path)]) == 1
+    (tmp_path / "input" / "glossary.txt").write_text("# c\n東京\n\n大阪\n", encoding="utf-8")
+    assert glossary.main(["--job", str(tmp_path)]) == 0
+    assert [x.split("\t")[0] for x in (tmp_path / "input" / "glossary_confirmed.tsv").read_text(encoding="utf-8").splitlines()] == ["東京", "大阪"]
+    assert glossary.main(["--job", str(tmp_path), "--provider", "none"]) == 1
+
+
 def test_empty_render(spark):
     none = spark.createDataFrame([], "job_id string, chunk_index int, pos int, id string, speaker string, text string, category string, uncertain boolean, uncertain_reason string, source string, source_ids array<string>, vtt_supplemented boolean, edit_type string, edit_note string, start double, end double")
     assert render.txt_lines(none).count() == render.srt_lines(none).count() == render.vtt_lines(none).count() == 0
