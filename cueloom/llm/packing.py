@@ -234,7 +234,8 @@ def pack(documents: DataFrame, capacity: int, path: str = TOKENIZER, salts: int
     offset = Window.partitionBy("tokens").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     before = buckets.withColumn("_before", F.coalesce(F.sum("n").over(offset), F.lit(0))).drop("n")
     ranked = items.withColumn("_rank", F.row_number().over(Window.partitionBy("tokens", "_salt").orderBy("doc_id", "piece")) - 1)
-    ranked = ranked.join(F.broadcast(before), ["tokens", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    # Both sides lie by size and bucket already, so this join moves nothing.
+    ranked = ranked.join(before, ["tokens", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     put = ranked.join(F.broadcast(places), "tokens").where((F.col("_rank") >= F.col("first")) & (F.col("_rank") < F.col("until")))
     return put.select((F.col("container") + F.floor((F.col("_rank") - F.col("first")) / F.col("each"))).alias("container_id"), "doc_id", "piece", "tokens", "from_char", "to_char")
 
