@@ -97,20 +97,43 @@ def split_label(text: str, known=None) -> tuple[str | None, str]:
         return label, rest
 
 
+_CJK_FILLERS = tuple(f for f in FILLERS if not f[0].isascii() and f[0] > "\u2e7f")
+_LATIN_FILLERS = frozenset(f for f in FILLERS if f[0] < "\u0250")
+_TO_SPACES = str.maketrans(dict.fromkeys("、。，,.…!！?？「」『』()（）:：<>[]~～-", " "))
+_HEAD_SIGNS = frozenset(":：>[［【<(（*♪♫♬")
+_NOTE_SIGNS = frozenset("[［【(（<*♪♫♬")
+_SAYS = regex.compile(r"[\p{L}\p{N}\p{Extended_Pictographic}]")
+
+
+def _has_filler(text: str) -> bool:
+    if any(f in text for f in _CJK_FILLERS):
+        return True
+    return not _LATIN_FILLERS.isdisjoint(text.lower().translate(_TO_SPACES).split())
+
+
 def said(text: str | None, known=None) -> Said:
     """Label and words of a cue text; both empty for a text that says nothing."""
     if not text:
         return Said(None, "")
-    label, rest = split_label(canonicalize(text), known)
-    rest = CLOCK_RE.sub(" ", rest.replace("</v>", " "))
-    rest = NOTE_RE.sub(" ", rest)
-    rest = FILLER_RE.sub(" ", rest)
-    rest = regex.sub(r"\s+", " ", rest).strip()
-    rest = regex.sub(r"^[\s,、，.。…]+", "", rest)
-    return Said(label, rest if regex.search(r"[\p{L}\p{N}\p{Extended_Pictographic}]", rest) else "")
+    plain = canonicalize(text)
+    chars = set(plain)
+    label, rest = split_label(plain, known) if not chars.isdisjoint(_HEAD_SIGNS) else (None, plain)
+    if ":" in chars or "：" in chars:
+        rest = CLOCK_RE.sub(" ", rest)
+    if "<" in chars:
+        rest = rest.replace("</v>", " ")
+    if not chars.isdisjoint(_NOTE_SIGNS):
+        rest = NOTE_RE.sub(" ", rest)
+    if _has_filler(rest):
+        rest = FILLER_RE.sub(" ", rest)
+    rest = " ".join(rest.split()).lstrip(" ,、，.。…\u3000")
+    return Said(label, rest if _SAYS.search(rest) else "")
+
+
+_UNSAID = regex.compile(r"[^\p{L}\p{M}\p{N}\p{So}]+")
 
 
 def said_key(text: str | None, known=None) -> str:
     """The words of a cue for comparison: letters and digits only, without case."""
     words = said(text, known).words
-    return regex.sub(r"[^\p{L}\p{M}\p{N}\p{So}]+", "", words).casefold()
+    return _UNSAID.sub("", words).casefold()

@@ -11,13 +11,12 @@ its own, and a job of any size is decoded slot by slot.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,11 +109,9 @@ def spoken(cues: DataFrame, speaker_map: DataFrame) -> DataFrame:
 
 def features(words: str) -> np.ndarray:
     """Counts of hashed neighbouring character pairs."""
-    out = np.zeros(BUCKETS, dtype=np.int64)
-    low = words.casefold()
-    for pair in zip(low, low[1:], strict=False):
-        out[zlib.crc32("".join(pair).encode()) % BUCKETS] += 1
-    return out
+    codes = np.frombuffer(words.casefold().encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    pairs = codes[:-1] * np.uint64(2654435761) + codes[1:] * np.uint64(40503)
+    return np.bincount((pairs >> np.uint64(7)).astype(np.int64) % BUCKETS, minlength=BUCKETS)
 
 
 def _partial_profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,24 +178,24 @@ _DECODED = "job_id string, cue_index int, start_ms long, words string, named boo
 
 
 def _decode_slot(cues: pd.DataFrame, profile: pd.DataFrame) -> pd.DataFrame:
+    """Decodes the open cues of a slot; of the others only those beside an open one are here."""
+    columns = ["job_id", "cue_index", "start_ms", "words", "named", "label", "probability"]
     if cues.empty:
-        return pd.DataFrame({c: [] for c in ("job_id", "cue_index", "start_ms", "words", "named", "label", "probability")})
-    cues = cues.sort_values(["start_ms", "cue_index"], kind="stable")
+        return pd.DataFrame({c: [] for c in columns})
+    cues = cues.sort_values("at", kind="stable")
     labels = [list(x) if x is not None else [] for x in cues["labels"]]
     states = sorted({*profile["label"], *(s for x in labels for s in x)})
     n = len(cues)
-    named = [bool(x) for x in labels]
     out, sure = [x[0] if len(x) == 1 else None for x in labels], np.ones(n)
-    if states and any(x is None for x in out):
+    if states:
         at = {s: i for i, s in enumerate(states)}
         counts = np.full((len(states), BUCKETS), SMOOTH)
         for label, c in zip(profile["label"], profile["counts"], strict=True):
             counts[at[label]] += np.asarray(c, dtype=float)
         log_p = np.log(counts / counts.sum(axis=1, keepdims=True))
         fixed = [at[x] if x is not None else -1 for x in out]
-        pairs = [(a, b) for a, b in zip(fixed, fixed[1:], strict=False) if a >= 0 and b >= 0]
-        stay = min(0.95, (sum(a == b for a, b in pairs) + 4) / (len(pairs) + 6))
-        words = cues["words"].tolist()
+        stay = min(0.95, (float(cues["same"].iloc[0]) + 4) / (float(cues["pairs"].iloc[0]) + 6))
+        words, place = cues["words"].tolist(), cues["at"].tolist()
         i = 0
         while i < n:
             if fixed[i] >= 0:
@@ -207,7 +204,8 @@ def _decode_slot(cues: pd.DataFrame, profile: pd.DataFrame) -> pd.DataFrame:
             j = i
             while j < n and fixed[j] < 0:
                 j += 1
-            a, b = max(0, i - 1), min(n, j + 1)  # with the labelled neighbours on either side
+            a = i - 1 if i and place[i - 1] == place[i] - 1 else i  # with the labelled neighbours on either side
+            b = j + 1 if j < n and place[j] == place[j - 1] + 1 else j
             allowed = np.zeros((b - a, len(states)), dtype=bool)
             emit = np.zeros((b - a, len(states)))
             for t in range(a, b):
@@ -220,7 +218,8 @@ def _decode_slot(cues: pd.DataFrame, profile: pd.DataFrame) -> pd.DataFrame:
             for t in range(i, j):
                 out[t], sure[t] = states[path[t - a]], post[t - a]
             i = j
-    return pd.DataFrame({"job_id": cues["job_id"], "cue_index": cues["cue_index"], "start_ms": cues["start_ms"], "words": cues["words"], "named": named, "label": out, "probability": sure})
+    got = pd.DataFrame({"job_id": cues["job_id"], "cue_index": cues["cue_index"], "start_ms": cues["start_ms"], "words": cues["words"], "named": [bool(x) for x in labels], "label": out, "probability": sure})
+    return got[cues["open"].to_numpy()]
 
 
 def labelled(cues: DataFrame, speaker_map: DataFrame, slot_ms: int = SLOT_MS) -> DataFrame:
@@ -228,19 +227,27 @@ def labelled(cues: DataFrame, speaker_map: DataFrame, slot_ms: int = SLOT_MS) ->
 
     Columns: job_id, cue_index, start_ms, words (clean text), named (whether speaker or text
     name anyone), label (null only where a job knows no speaker) and probability (1 for
-    cues that name exactly one). Slots whose cues all name one speaker never leave the
-    JVM; in the others each stretch between labelled cues is decoded. A stretch that
-    reaches over a slot's edge is decoded in parts.
+    cues that name exactly one). Each stretch of open cues is decoded with its labelled
+    neighbours; all other cues never leave the JVM. A stretch that reaches over a slot's
+    edge is decoded in parts.
     """
-    rows = written(spoken(cues, speaker_map).withColumn("_slot", slot_of(F.col("start_ms"), slot_ms)))
     one = F.coalesce(F.size("labels") == 1, F.lit(False))
-    known = rows.where(one).select("job_id", F.col("labels")[0].alias("label"), "words")
-    open_slots = rows.where(~one).select("job_id", "_slot").distinct()
-    inside = rows.join(open_slots, ["job_id", "_slot"], "left_semi")
-    beside = rows.join(open_slots, ["job_id", "_slot"], "left_anti")
-    per_slot = open_slots.join(profiles(known), "job_id").select(F.col("job_id").alias("job"), F.col("_slot").alias("at"), "label", "counts")
-    decoded = inside.groupBy("job_id", "_slot").cogroup(per_slot.groupBy("job", "at")).applyInPandas(_decode_slot, _DECODED)
-    plain = beside.select("job_id", "cue_index", "start_ms", "words", F.lit(True).alias("named"), F.col("labels")[0].alias("label"), F.lit(1.0).alias("probability"))
+    slot = Window.partitionBy("job_id", "_slot")
+    order = slot.orderBy("start_ms", "cue_index")
+    label = F.when(one, F.col("labels")[0])
+    rows = spoken(cues, speaker_map).withColumn("_slot", slot_of(F.col("start_ms"), slot_ms)).withColumn("open", ~one).withColumn("_label", label)
+    rows = rows.withColumn("at", F.row_number().over(order)).withColumn("_before", F.lag("_label").over(order))
+    rows = rows.withColumn("_beside", F.coalesce(F.lag("open").over(order), F.lit(False)) | F.coalesce(F.lead("open").over(order), F.lit(False)))
+    pair = F.col("_label").isNotNull() & F.col("_before").isNotNull()
+    rows = written(rows.withColumn("pairs", F.count_if(pair).over(slot)).withColumn("same", F.count_if(pair & (F.col("_label") == F.col("_before"))).over(slot)).drop("_before"))
+    known = rows.where(~F.col("open")).select("job_id", F.col("_label").alias("label"), "words")
+    # Python sees the open cues and their neighbours, with their job's profiles beside them.
+    open_slots = rows.where("open").select(F.col("job_id").alias("job"), F.col("_slot").alias("_at")).distinct()
+    by_job = profiles(known).select(F.col("job_id").alias("job"), "label", "counts")
+    per_slot = open_slots.join(by_job, "job")
+    asked = rows.where(F.col("open") | F.col("_beside")).select("job_id", "_slot", "cue_index", "start_ms", "words", "labels", "open", "at", "pairs", "same")
+    decoded = asked.groupBy("job_id", "_slot").cogroup(per_slot.groupBy("job", "_at")).applyInPandas(_decode_slot, _DECODED)
+    plain = rows.where(~F.col("open")).select("job_id", "cue_index", "start_ms", "words", F.lit(True).alias("named"), F.col("_label").alias("label"), F.lit(1.0).alias("probability"))
     return plain.unionByName(decoded)
 
 
