@@ -177,25 +177,25 @@ def decode(emit: np.ndarray, allowed: np.ndarray, stay: float) -> tuple[np.ndarr
 _DECODED = "job_id string, cue_index int, start_ms long, words string, named boolean, label string, probability double"
 
 
-def _decode_slot(cues: pd.DataFrame, profile: pd.DataFrame) -> pd.DataFrame:
-    """Decodes the open cues of a slot; of the others only those beside an open one are here."""
-    columns = ["job_id", "cue_index", "start_ms", "words", "named", "label", "probability"]
-    if cues.empty:
-        return pd.DataFrame({c: [] for c in columns})
-    cues = cues.sort_values("at", kind="stable")
-    labels = [list(x) if x is not None else [] for x in cues["labels"]]
-    states = sorted({*profile["label"], *(s for x in labels for s in x)})
+_OUT = ["job_id", "cue_index", "start_ms", "words", "named", "label", "probability"]
+_CUE = ["cue_index", "start_ms", "words", "labels", "open", "at", "pairs", "same"]
+
+
+def decode_slot(job: str | None, cues: list[tuple], profile: list[tuple[str, list[int]]]) -> Iterator[tuple]:
+    """Decodes the open cues of a slot, rows of _CUE in order; the others stand beside an open one."""
+    labels = [list(c[3]) if c[3] is not None else [] for c in cues]
+    states = sorted({*(p[0] for p in profile), *(s for x in labels for s in x)})
     n = len(cues)
-    out, sure = [x[0] if len(x) == 1 else None for x in labels], np.ones(n)
+    out, sure = [x[0] if len(x) == 1 else None for x in labels], [1.0] * n
     if states:
         at = {s: i for i, s in enumerate(states)}
         counts = np.full((len(states), BUCKETS), SMOOTH)
-        for label, c in zip(profile["label"], profile["counts"], strict=True):
+        for label, c in profile:
             counts[at[label]] += np.asarray(c, dtype=float)
         log_p = np.log(counts / counts.sum(axis=1, keepdims=True))
         fixed = [at[x] if x is not None else -1 for x in out]
-        stay = min(0.95, (float(cues["same"].iloc[0]) + 4) / (float(cues["pairs"].iloc[0]) + 6))
-        words, place = cues["words"].tolist(), cues["at"].tolist()
+        stay = min(0.95, (cues[0][7] + 4) / (cues[0][6] + 6))
+        place = [c[5] for c in cues]
         i = 0
         while i < n:
             if fixed[i] >= 0:
@@ -213,13 +213,38 @@ def _decode_slot(cues: pd.DataFrame, profile: pd.DataFrame) -> pd.DataFrame:
                     allowed[t - a, fixed[t]] = True
                 else:
                     allowed[t - a, [at[s] for s in labels[t]] if labels[t] else slice(None)] = True
-                    emit[t - a] = TEMPER * (log_p @ features(words[t]))
+                    emit[t - a] = TEMPER * (log_p @ features(cues[t][2]))
             path, post = decode(emit, allowed, stay)
             for t in range(i, j):
-                out[t], sure[t] = states[path[t - a]], post[t - a]
+                out[t], sure[t] = states[path[t - a]], float(post[t - a])
             i = j
-    got = pd.DataFrame({"job_id": cues["job_id"], "cue_index": cues["cue_index"], "start_ms": cues["start_ms"], "words": cues["words"], "named": [bool(x) for x in labels], "label": out, "probability": sure})
-    return got[cues["open"].to_numpy()]
+    for c, label, p, x in zip(cues, out, sure, labels, strict=True):
+        if c[4]:
+            yield job, c[0], c[1], c[2], bool(x), label, p
+
+
+def _decode_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by job and slot, profiles before cues, so one slot is held at a time."""
+    key: tuple | None = None
+    cues: list[tuple] = []
+    profile: list[tuple[str, list[int]]] = []
+    done: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch[c].tolist() for c in ("job_id", "_slot", "profile_label", "counts", *_CUE)), strict=True):
+            if row[:2] != key:
+                if cues:
+                    done.extend(decode_slot(key[0], cues, profile))
+                key, cues, profile = row[:2], [], []
+            if row[2] is not None:
+                profile.append(row[2:4])
+            else:
+                cues.append(row[4:])
+        if len(done) > 10_000:
+            yield pd.DataFrame(done, columns=_OUT)
+            done = []
+    if cues:
+        done.extend(decode_slot(key[0], cues, profile))
+    yield pd.DataFrame(done, columns=_OUT)
 
 
 def labelled(cues: DataFrame, speaker_map: DataFrame, slot_ms: int = SLOT_MS) -> DataFrame:
@@ -242,11 +267,12 @@ def labelled(cues: DataFrame, speaker_map: DataFrame, slot_ms: int = SLOT_MS) ->
     rows = written(rows.withColumn("pairs", F.count_if(pair).over(slot)).withColumn("same", F.count_if(pair & (F.col("_label") == F.col("_before"))).over(slot)).drop("_before"))
     known = rows.where(~F.col("open")).select("job_id", F.col("_label").alias("label"), "words")
     # Python sees the open cues and their neighbours, with their job's profiles beside them.
-    open_slots = rows.where("open").select(F.col("job_id").alias("job"), F.col("_slot").alias("_at")).distinct()
-    by_job = profiles(known).select(F.col("job_id").alias("job"), "label", "counts")
-    per_slot = open_slots.join(by_job, "job")
-    asked = rows.where(F.col("open") | F.col("_beside")).select("job_id", "_slot", "cue_index", "start_ms", "words", "labels", "open", "at", "pairs", "same")
-    decoded = asked.groupBy("job_id", "_slot").cogroup(per_slot.groupBy("job", "_at")).applyInPandas(_decode_slot, _DECODED)
+    open_slots = rows.where("open").select("job_id", "_slot").distinct()
+    blank = {"cue_index": F.lit(0), "start_ms": F.lit(0).cast("long"), "words": F.lit(None).cast("string"), "labels": F.lit(None).cast("array<string>"), "open": F.lit(False), "at": F.lit(0), "pairs": F.lit(0).cast("long"), "same": F.lit(0).cast("long")}
+    per_slot = open_slots.join(profiles(known), "job_id").select("job_id", "_slot", F.col("label").alias("profile_label"), "counts", *(blank[c].alias(c) for c in _CUE))
+    asked = rows.where(F.col("open") | F.col("_beside")).select("job_id", "_slot", F.lit(None).cast("string").alias("profile_label"), F.lit(None).cast("array<long>").alias("counts"), *_CUE)
+    both = per_slot.unionByName(asked).repartition("job_id", "_slot").sortWithinPartitions("job_id", "_slot", "at")
+    decoded = both.mapInPandas(_decode_all, _DECODED)
     plain = rows.where(~F.col("open")).select("job_id", "cue_index", "start_ms", "words", F.lit(True).alias("named"), F.col("_label").alias("label"), F.lit(1.0).alias("probability"))
     return plain.unionByName(decoded)
 
