@@ -38,6 +38,7 @@ def runs(
     payload: list[str],
     differs: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
     slot_ms: int = SLOT_MS,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """One row for each longest run of neighbours that do not differ.
 
@@ -45,7 +46,7 @@ def runs(
     ties are broken by payload) and payload columns. ``differs(before, now)`` gets two
     accessors from column name to Column and returns whether a run ends between the rows;
     null counts as a difference. Result: group columns, ``first`` and ``last`` (structs of
-    order and payload) and ``n`` (rows of the run). An empty table gives an empty result; a
+    order and payload, or of order and the payload columns named in ``keep``) and ``n`` (rows of the run). An empty table gives an empty result; a
     group of one row gives a run of one.
 
     Boundary rows alone go on: position differences between successive boundaries are
@@ -57,26 +58,29 @@ def runs(
     all_rows = body.withColumn("_carry", F.lit(False)).unionByName(head.select(*body.columns, "_carry"))
     w = Window.partitionBy(*group, "_slot").orderBy(order, *payload)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    me = F.struct(*cols)
     before = lambda c: F.col(f"_prev.{c}")
+    kept = F.struct(order, *(payload if keep is None else keep))
     marked = (
-        all_rows.withColumn("_me", me)
-        .withColumn("_prev", F.lag("_me").over(w))
+        all_rows.withColumn("_kept", kept)
+        .withColumn("_prev", F.lag(F.struct(*cols)).over(w))
+        .withColumn("_prev_kept", F.lag("_kept").over(w))
         .withColumn("_pos", F.row_number().over(w))
         .withColumn("_was_carry", F.lag("_carry").over(w))
-        .withColumn("_final", F.last("_me").over(whole))
+        .withColumn("_final", F.last("_kept").over(whole))
         .withColumn("_size", F.count(F.lit(1)).over(whole))
         .where(~F.col("_carry"))
         .withColumn("_new", F.coalesce(differs(before, F.col), F.lit(True)) | F.col("_prev").isNull())
         .withColumn("_opens", F.col("_prev").isNull() | F.coalesce(F.col("_was_carry"), F.lit(False)))
         .where(F.col("_new") | F.col("_opens"))
+        .select(*group, "_slot", "_pos", "_kept", "_prev_kept", "_final", "_size", "_new", "_opens")
     )
+    wp = Window.partitionBy(*group, "_slot").orderBy("_pos")
     frags = (
-        marked.withColumn("_next", F.lead("_pos").over(w))
-        .withColumn("last", F.coalesce(F.lead("_prev").over(w), F.col("_final")))
+        marked.withColumn("_next", F.lead("_pos").over(wp))
+        .withColumn("last", F.coalesce(F.lead("_prev_kept").over(wp), F.col("_final")))
         .withColumn("n", F.coalesce(F.col("_next"), F.col("_size") + 1) - F.col("_pos"))
         .withColumn("_tail", F.col("_next").isNull())
-        .select(*group, "_slot", F.col("_me").alias("first"), "last", "n", "_new", "_opens", "_tail")
+        .select(*group, "_slot", F.col("_kept").alias("first"), "last", "n", "_new", "_opens", "_tail")
     )
     # Inner fragments keep their slot as bucket and stay alone; those at an edge share one bucket.
     edge = F.col("_tail") | ~F.col("_new")
