@@ -84,6 +84,14 @@ def _differs(before, now) -> Column:
     return (a != b) & ~_alike(open_pair, b)
 
 
+def _cue_runs(cues: DataFrame, slot_ms: int, keep: list[str]) -> DataFrame:
+    slim = cues.where(F.col("start_sec").isNotNull()).select(
+        "job_id", "source", "cue_index", F.round(F.col("start_sec") * 1000).cast("long").alias("start_ms"), F.round(F.col("end_sec") * 1000).cast("long").alias("end_ms"), spoken_key("text").alias("key")
+    )
+    once = slim.where(F.col("key") != "").withColumn("_slot", F.floor(F.col("start_ms") / slot_ms)).repartition("job_id", "source", "_slot").dropDuplicates(["job_id", "source", "_slot", "cue_index"]).drop("_slot")
+    return runs(written(once), ["job_id", "source"], "start_ms", ["cue_index", "end_ms", "key"], _differs, slot_ms, keep)
+
+
 def cue_events(cues: DataFrame, slot_ms: int = SLOT_MS) -> DataFrame:
     """Each longest run of cues of a job and source that say the same thing, as one event.
 
@@ -92,12 +100,7 @@ def cue_events(cues: DataFrame, slot_ms: int = SLOT_MS) -> DataFrame:
     without a start, and cues that say nothing, take no part; a null end counts as the start.
     Extra columns of the input are ignored.
     """
-    slim = cues.where(F.col("start_sec").isNotNull()).select(
-        "job_id", "source", "cue_index", F.round(F.col("start_sec") * 1000).cast("long").alias("start_ms"), F.round(F.col("end_sec") * 1000).cast("long").alias("end_ms"), spoken_key("text").alias("key")
-    )
-    once = slim.where(F.col("key") != "").withColumn("_slot", F.floor(F.col("start_ms") / slot_ms)).repartition("job_id", "source", "_slot").dropDuplicates(["job_id", "source", "_slot", "cue_index"]).drop("_slot")
-    found = runs(written(once), ["job_id", "source"], "start_ms", ["cue_index", "end_ms", "key"], _differs, slot_ms)
-    return found.select(
+    return _cue_runs(cues, slot_ms, ["cue_index", "end_ms", "key"]).select(
         "job_id", "source", F.col("first.cue_index").alias("first_cue_index"), F.col("last.cue_index").alias("last_cue_index"), "n",
         F.col("first.start_ms").alias("start_ms"), (F.greatest(F.coalesce("last.end_ms", "last.start_ms"), F.col("last.start_ms")) - F.col("first.start_ms")).alias("duration_ms"), F.col("first.key").alias("said"),
     )
@@ -105,4 +108,5 @@ def cue_events(cues: DataFrame, slot_ms: int = SLOT_MS) -> DataFrame:
 
 def repeated(cues: DataFrame, slot_ms: int = SLOT_MS) -> DataFrame:
     """The events of two cues or more: job_id, source, first_cue_index, last_cue_index."""
-    return cue_events(cues, slot_ms).where(F.col("n") >= 2).select("job_id", "source", "first_cue_index", "last_cue_index")
+    found = _cue_runs(cues, slot_ms, ["cue_index"]).where(F.col("n") >= 2)
+    return found.select("job_id", "source", F.col("first.cue_index").alias("first_cue_index"), F.col("last.cue_index").alias("last_cue_index"))
