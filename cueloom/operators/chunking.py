@@ -9,11 +9,13 @@ slots, for every row by which a slot can be entered, and then over slots.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueloom.functions.timecode import cue_id
+from cueloom.operators.grouped import map_groups
 from cueloom.operators.ids import number_rows
 from cueloom.session import written
 
@@ -94,29 +96,27 @@ def successors(marked: DataFrame, target_sec: float, stage1: float, stage2: floa
     return found.join(ends, "job_id").select("job_id", "pos", "start", F.when(F.col("target") < F.col("_total"), F.col("next")).alias("next"))
 
 
-def _exits(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each row by which the slot can be entered: the first row beyond it, if any."""
-    nxt = dict(zip(rows["pos"].tolist(), [None if x != x or x is None else int(x) for x in rows["next"].tolist()], strict=True))
-    entry = set(rows.loc[rows["entry"], "pos"].tolist())
+def _exits(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
+    """For each row by which the slot can be entered: the first row beyond it, if any.
+
+    Rows: job_id, _slot, pos, next, entry, in order of pos; successors lie behind.
+    """
     out: dict[int, int | None] = {}
-    for p in sorted(nxt, reverse=True):
-        n = nxt[p]
-        out[p] = out[n] if n in out else n
-    got = pd.DataFrame({"pos": sorted(entry)})
-    got["next"] = pd.Series([out[p] for p in got["pos"]], dtype="Int64")
-    got.insert(0, "job_id", rows["job_id"].iloc[0])
-    return got
-
-
-def _walk(rows: pd.DataFrame) -> pd.DataFrame:
-    """The rows reached from those marked as begin."""
-    nxt = dict(zip(rows["pos"].tolist(), [None if x != x or x is None else int(x) for x in rows["next"].tolist()], strict=True))
-    seen: set[int] = set()
-    for p in rows.loc[rows["begin"], "pos"].tolist():
-        while p is not None and p in nxt and p not in seen:
-            seen.add(p)
-            p = nxt[p]
-    return pd.DataFrame({"job_id": rows["job_id"].iloc[0], "pos": sorted(seen)})
+    for _, _, p, n, _ in reversed(rows):
+        out[p] = out.get(n, n)
+    for job, _, p, _, entry in rows:
+        if entry:
+            yield job, p, out[p]
+
+
+def _walk(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
+    """The rows reached from those marked as begin. Rows: job_id, ..., pos, next, begin in order of pos."""
+    due: set[int] = set()
+    for *_, p, n, begin in rows:
+        if begin or p in due:
+            yield key[0], p
+            if n is not None:
+                due.add(n)
 
 
 def walk(succ: DataFrame, slot_sec: float = WALK_SLOT_SEC, limit: int = GROUP_LIMIT) -> DataFrame:
@@ -131,17 +131,18 @@ def walk(succ: DataFrame, slot_sec: float = WALK_SLOT_SEC, limit: int = GROUP_LI
     largest = succ.groupBy("job_id").count().agg(F.max("count")).first()[0] or 0
     rows = succ.select("job_id", "pos", "start", "next")
     if largest <= limit:
-        return rows.withColumn("begin", F.col("pos") == 1).groupBy("job_id").applyInPandas(_walk, "job_id string, pos long")
+        begun = rows.select("job_id", "pos", "next", (F.col("pos") == 1).alias("begin"))
+        return map_groups(begun, ["job_id"], ["pos"], _walk, "job_id string, pos long")
     cut = rows.withColumn("_slot", F.floor(F.col("start") / F.lit(slot_sec)))
     where = cut.select("job_id", F.col("pos").alias("next"), F.col("_slot").alias("_to"))
     from_outside = cut.join(where, ["job_id", "next"]).where(F.col("_slot") != F.col("_to")).select("job_id", F.col("next").alias("pos")).distinct()
     entries = from_outside.unionByName(cut.where(F.col("pos") == 1).select("job_id", "pos")).distinct().withColumn("entry", F.lit(True))
     marked = written(cut.join(entries, ["job_id", "pos"], "left").withColumn("entry", F.coalesce("entry", F.lit(False))))
-    reduced = marked.groupBy("job_id", "_slot").applyInPandas(_exits, "job_id string, pos long, next long")
+    reduced = map_groups(marked.select("job_id", "_slot", "pos", "next", "entry"), ["job_id", "_slot"], ["pos"], _exits, "job_id string, pos long, next long")
     times = marked.where("entry").select("job_id", "pos", "start")
     reached = walk(written(reduced.join(times, ["job_id", "pos"])), slot_sec * 32, limit).withColumn("begin", F.lit(True))
     inner = marked.join(reached, ["job_id", "pos"], "left").withColumn("begin", F.coalesce("begin", F.lit(False)))
-    return inner.groupBy("job_id", "_slot").applyInPandas(_walk, "job_id string, pos long")
+    return map_groups(inner.select("job_id", "_slot", "pos", "next", "begin"), ["job_id", "_slot"], ["pos"], _walk, "job_id string, pos long")
 
 
 def split_into_chunks(cues: DataFrame, target_sec: float = 300, stage1: float = 180, stage2: float = 300, gap_sec: float = 1.2) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import difflib
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cueloom.functions.text import WEIGHTS, normalize_for_matching, normalize_plain
+from cueloom.operators.grouped import map_groups
 
 # Confidence limits and the drift flag.
 HIGH_PAIRS, HIGH_SIGMA, MEDIUM_SIGMA, DRIFT_SEC = 5, 1.0, 2.0, 1.0
@@ -98,25 +100,25 @@ def _grams(text: str, n: int = 3) -> set[str]:
 
 
 def _match(threshold: float, sequence: bool):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos", kind="stable")
-        right = rows[rows["side"] == 1]
-        pool = [(s, t, _grams(t), frozenset(regex.findall(r"\d+", t))) for s, t in zip(right["start"], right["norm"], strict=True)]
-        pos = right["pos"].tolist()
+    def run(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
+        """Rows: job_id, window_name, side, pos, start, norm, in order of pos."""
+        pool, where = [], []
+        for *_, one, p, s, t in rows:
+            if one == 1:
+                pool.append((s, t, _grams(t), frozenset(regex.findall(r"\d+", t))))
+                where.append(p)
         by_gram: dict[str, list[int]] = defaultdict(list)
         for i, p in enumerate(pool):
             for g in p[2]:
                 by_gram[g].append(i)
-        out = []
-        left = rows[rows["side"] == 0]
         seen: dict[str, tuple[float, int]] = {}
-        for p, s, t in zip(left["pos"], left["start"], left["norm"], strict=True):
-            if t not in seen:
-                seen[t] = best_match(t, _grams(t), pool, by_gram, sequence, threshold)
-            score, i = seen[t]
-            if i >= 0 and score >= threshold:
-                out.append((rows["job_id"].iloc[0], rows["window_name"].iloc[0], int(p), int(pos[i]), float(score), float(pool[i][0] - s)))
-        return pd.DataFrame(out, columns=["job_id", "window_name", "pos", "secondary_pos", "score", "delta"])
+        for *_, one, p, s, t in rows:
+            if one == 0:
+                if t not in seen:
+                    seen[t] = best_match(t, _grams(t), pool, by_gram, sequence, threshold)
+                score, i = seen[t]
+                if i >= 0 and score >= threshold:
+                    yield *key, p, where[i], score, pool[i][0] - s
 
     return run
 
@@ -139,7 +141,7 @@ def match_windows(primary: DataFrame, secondary: DataFrame, windows: DataFrame,
     around = windows.select("job_id", "window_name", F.greatest(F.lit(0.0), F.col("lo") - max_offset - margin).alias("lo"), (F.col("hi") + max_offset + margin).alias("hi"))
     right = in_windows(secondary, around).select(*cols[:2], F.lit(1).alias("side"), *cols[3:])
     both = left.unionByName(right).where(F.length("norm") > 0)
-    found = both.groupBy("job_id", "window_name").applyInPandas(_match(threshold, sequence), _MATCHES)
+    found = map_groups(both, ["job_id", "window_name"], ["pos"], _match(threshold, sequence), _MATCHES)
     return found.where(F.abs("delta") <= max_offset)
 
 

@@ -4,18 +4,38 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application.
+
+    Workers on other machines, or started from another folder, could not import it else.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_cueloom_shipped", False):
+        return
+    root = Path(__file__).parent
+    target = Path(tempfile.mkdtemp(prefix="cueloom-")) / "cueloom.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._cueloom_shipped = True
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory; column pruning and filters reach the scan."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def local_session(app: str = "cueloom", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session with the settings that the operators expect of a cluster."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -26,6 +46,8 @@ def local_session(app: str = "cueloom", cores: str = "*", shuffle_partitions: in
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
+    ship_package(spark)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
