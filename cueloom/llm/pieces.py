@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cueloom.operators.grouped import map_groups
+
 CONTEXT_SLOT_MS = 60_000
 _SENTENCE_END = "。．.！？!?…"
 
@@ -55,24 +57,20 @@ def balanced_cuts(start: list[int], end: list[int], strength: list[float], limit
 
 
 def _split(limit_ms: int):
-    def run(chunk: pd.DataFrame) -> pd.DataFrame:
-        c = chunk.sort_values(["start_ms", "pos"], kind="stable")
-        start = c["start_ms"].astype("int64").tolist()
-        end = [max(s, int(e)) if e == e and e is not None else s for s, e in zip(start, c["end_ms"].tolist(), strict=True)]
-        speaker, text = c["speaker"].tolist(), c["raw_text"].tolist()
+    def run(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
+        """Rows: job_id, chunk_index, start_ms, pos, uid, end_ms, speaker, raw_text, body_ms, by start."""
+        start = [r[2] for r in rows]
+        end = [max(r[2], r[5]) if r[5] is not None else r[2] for r in rows]
         strength, until = [0.0], end[0]
-        for i in range(1, len(start)):
+        for i in range(1, len(rows)):
             pause = max(0, start[i] - until) / 1000
-            change = bool(speaker[i]) and bool(speaker[i - 1]) and speaker[i] != speaker[i - 1]
-            closed = bool(text[i - 1]) and text[i - 1].rstrip()[-1:] in _SENTENCE_END
+            change = bool(rows[i][6]) and bool(rows[i - 1][6]) and rows[i][6] != rows[i - 1][6]
+            closed = bool(rows[i - 1][7]) and rows[i - 1][7].rstrip()[-1:] in _SENTENCE_END
             strength.append(min(pause, 5.0) + 1.0 * change + 0.3 * closed)
             until = max(until, end[i])
-        cuts = balanced_cuts(start, end, strength, limit_ms)
-        edges = [0, *cuts, len(start)]
-        rows = []
+        edges = [0, *balanced_cuts(start, end, strength, limit_ms), len(rows)]
         for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-            rows.append((c["job_id"].iloc[0], int(c["chunk_index"].iloc[0]), k, len(edges) - 1, c["uid"].iloc[a:b].tolist(), start[a], max(end[a:b]), start[b - 1], int(c["body_ms"].iloc[0])))
-        return pd.DataFrame(rows, columns=PIECE_COLUMNS)
+            yield *key, k, len(edges) - 1, [r[4] for r in rows[a:b]], start[a], max(end[a:b]), start[b - 1], rows[0][8]
 
     return run
 
@@ -101,7 +99,8 @@ def chunk_pieces(chunks: DataFrame, id_index: DataFrame, limit_ms: int) -> DataF
         .agg(F.sort_array(F.collect_list(F.struct("start_ms", "pos", "uid"))).alias("e"), F.min("start_ms").alias("start_ms"), F.max(F.greatest("end_ms", "start_ms")).alias("end_ms"), F.max("start_ms").alias("last_start_ms"), F.first("body_ms").alias("body_ms"))
         .select("job_id", "chunk_index", F.lit(0).alias("piece_index"), F.lit(1).alias("n_pieces"), F.col("e.uid").alias("srt_ids"), "start_ms", "end_ms", "last_start_ms", "body_ms")
     )
-    large = body.where(F.col("body_ms") > limit_ms).groupBy("job_id", "chunk_index").applyInPandas(_split(limit_ms), _PIECE_SCHEMA)
+    over = body.where(F.col("body_ms") > limit_ms).select("job_id", "chunk_index", "start_ms", "pos", "uid", "end_ms", "speaker", "raw_text", "body_ms")
+    large = map_groups(over, ["job_id", "chunk_index"], ["start_ms", "pos"], _split(limit_ms), _PIECE_SCHEMA)
     return small.unionByName(large.select(*small.columns))
 
 
