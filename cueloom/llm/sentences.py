@@ -54,7 +54,7 @@ _MARKS = r"[.!?…。．｡！？।॥؟۔]+"
 _CANDIDATE = re.compile(rf"{_MARKS}(?:\s?»|[{_CLOSE}]+)*|\n[ \t\r　]*(?:\n\s*)?")
 _CANDIDATE_THAI = re.compile(rf"{_MARKS}(?:\s?»|[{_CLOSE}]+)*|(?:ครับ|ค่ะ|คะ|จ้ะ|จ๊ะ)(?=[ \t　])|\n[ \t\r　]*(?:\n\s*)?")
 _FORMS_JA = r"(?:ました|ません|ます|ですか|です|でした|ましょう|ください|ますか|たぶん|ですね|だ|である)"
-_CANDIDATE_OPEN = re.compile(rf"{_MARKS}(?:\s?»|[{_CLOSE}]+)*|{_FORMS_JA}(?=[ 　])|(?:습니다|ㅂ니다|입니다|합니다|니다|세요|어요|아요|나요|까요|네요|지요|죠)(?=[ 　])|\n[ \t\r　]*(?:\n\s*)?")
+_CANDIDATE_OPEN = re.compile(rf"{_MARKS}(?:\s?»|[{_CLOSE}]+)*|(?:{_FORMS_JA}|니다|세요|어요|아요|나요|까요|네요|지요|죠)(?=[ 　]+[^\s(（\[])|\n[ \t\r　]*(?:\n\s*)?")
 _KANA_HANGUL = re.compile(r"[ぁ-ヿ가-힣]")
 _HEAD = re.compile(
     r"[ \t　]*(?:[*•‣·▪◦–—-][ \t　]|・|[(（]\d{1,3}[)）]|\d{1,3}[.)．）、][ \t　]|[①-⑳]|#{1,6}[ \t]|[\[(（]?\d{1,2}[:：]\d{2}(?:[:：]\d{2})?(?:[.,]\d+)?[\])）]?(?=\s|$)|>{1,3}[ \t]|<v[ .]|(?:SPEAKER|Speaker|speaker|SPK|spk|話者|发言人|화자)[ _-]?\d+[ \t]*[:：]|(?:[^\W\d_][^\W\d_.'’-]*[ 　]?){1,3}[:：](?=\s|[^\x00-\x7f]|[A-Za-z]))"
