@@ -51,7 +51,7 @@ def main(argv: list[str] | None = None) -> int:
         print("--chunk takes numbers from 0", file=sys.stderr)
         return 1
     config = load_config(args.config, job, {"offset_sec": args.offset_sec, "offset_skip": args.offset_skip, "single_vtt": args.single_vtt, "best_effort": args.best_effort, "debug": args.debug})
-    setup_logging(config["_resolved"]["logs_dir"] / "merger.log", config["logging"]["log_level"])
+    setup_logging(config["_resolved"]["logs_dir"] / "run.log", config["logging"]["log_level"])
     try:
         run_job(local_session(), job, config, args.clean, args.chunk, args.provider, args.force)
     except Exception:
