@@ -88,10 +88,21 @@ def mapping() -> dict[str, str]:
     return out
 
 
+def _as_ranges(codes: list[int]) -> str:
+    """A character class of sorted code points, neighbours as ranges."""
+    out, start = [], 0
+    for i, c in enumerate(codes):
+        if i + 1 == len(codes) or codes[i + 1] != c + 1:
+            out.append(f"\\U{codes[start]:08X}-\\U{c:08X}")
+            start = i + 1
+    return "".join(out)
+
+
 @lru_cache(maxsize=1)
 def _machine() -> tuple:
     table = mapping()
     marks = {chr(c) for c in range(0x300, 0x370)} | {chr(c) for lo, hi in ((0x1100, 0x1200), (0xA960, 0xA97D), (0xD7B0, 0xD800)) for c in range(lo, hi)} | set("゙゚゛゜⃣")
+    single = _as_ranges(sorted(map(ord, table)))
     always = frozenset(table) | frozenset(LATIN_LOOKALIKES) | marks
     # These are suspicious beside certain neighbours only.
     beside = frozenset(KATAKANA_LOOKALIKES) | frozenset("ーニハ")
@@ -103,11 +114,14 @@ def _machine() -> tuple:
         rf"|(?P<word>[\p{{Latin}}\p{{Greek}}\p{{Cyrillic}}](?:[\p{{Latin}}\p{{Greek}}\p{{Cyrillic}}̀-ͯ{inv}])*)"
         rf"|(?P<indic>(?<=[\p{{Devanagari}}\p{{Arabic}}\p{{Bengali}}\p{{Tamil}}\p{{Malayalam}}])[‌‍](?=[\p{{Devanagari}}\p{{Arabic}}\p{{Bengali}}\p{{Tamil}}\p{{Malayalam}}]))"
         rf"|(?P<narrow>[ｦ-ﾟ][ｦ-ﾟ{inv}]*)"
-        rf"|(?P<jamo>[가-힣ᄀ-ᇿ][ᄀ-ᇿ{inv}]*)"
+        rf"|(?P<jamo>[가-힣]?[ᄀ-ᇿ][ᄀ-ᇿ{inv}]*)"
         rf"|(?P<like>[{''.join(KATAKANA_LOOKALIKES)}ーニハ])"
-        rf"|(?P<cluster>\X)",
+        # Any other cluster with marks, or a single character of the mapping; the rest is passed over.
+        rf"|(?P<cluster>\P{{M}}[\p{{M}}‌‍]*\p{{M}}[\p{{M}}‌‍]*|[{single}゛゜])",
     )
-    return table, always, beside, suspect, token
+    # Characters that map alone, whatever stands beside them; narrow kana join their voiced marks.
+    alone = {ord(c): plain for c, plain in table.items() if not "ｦ" <= c <= "ﾟ"}
+    return table, always, beside, suspect, token, alone
 
 
 def _single(text: str, table: dict[str, str]) -> str:
@@ -115,6 +129,8 @@ def _single(text: str, table: dict[str, str]) -> str:
 
 
 def _word(word: str, latin_line: bool, table: dict[str, str]) -> str:
+    if word.isascii():
+        return word
     plain = unicodedata.normalize("NFC", _single(word, table))
     apart = unicodedata.normalize("NFD", plain)
     if not any(c in LATIN_LOOKALIKES for c in apart):
@@ -161,10 +177,15 @@ def canonicalize(text: str | None) -> str | None:
         return text
     if text.isascii():
         return text
-    table, always, beside, suspect, token = _machine()
+    table, always, beside, suspect, token, alone = _machine()
     chars = set(text)
-    if chars.isdisjoint(always) and (chars.isdisjoint(beside) or not suspect.search(text)):
+    odd = chars & always
+    if not odd and (chars.isdisjoint(beside) or not suspect.search(text)):
         return text
+    if odd and all(ord(c) in alone for c in odd) and (odd.isdisjoint(_JOINERS) or not any(_shaped(c) for c in chars)):
+        out = text.translate(alone)  # no cluster of several characters is concerned
+        if chars.isdisjoint(beside) or not suspect.search(out):
+            return out
     latin = len(regex.findall(r"[A-Za-z]", text))
     latin_line = latin > 2 and not regex.search(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]", text)
 
@@ -195,6 +216,14 @@ def canonicalize(text: str | None) -> str | None:
     return out
 
 
+_JOINERS = frozenset(["\u200c", "\u200d", *map(chr, range(0xFE00, 0xFE10))])
+
+
+def _shaped(c: str) -> bool:
+    """Whether joiners and selectors beside this character may belong there: emoji and scripts that join."""
+    return c >= "\U0001f000" or "\u2190" <= c <= "\u2bff" or "\u0600" <= c <= "\u0dff" or c in "©®‼⁉™ℹ〰〽㊗㊙#*"
+
+
 @lru_cache(maxsize=1)
 def _drop() -> dict[int, None]:
     return {ord(c): None for c in _INVISIBLE}

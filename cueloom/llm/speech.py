@@ -105,10 +105,13 @@ _NOTE_SIGNS = frozenset("[［【(（<*♪♫♬")
 _SAYS = regex.compile(r"[\p{L}\p{N}\p{Extended_Pictographic}]")
 
 
-def _has_filler(text: str) -> bool:
-    if any(f in text for f in _CJK_FILLERS):
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def _has_filler(text: str, chars: set[str]) -> bool:
+    if not text.isascii() and any(f in text for f in _CJK_FILLERS):
         return True
-    return not _LATIN_FILLERS.isdisjoint(text.lower().translate(_TO_SPACES).split())
+    return not chars.isdisjoint(_LETTERS) and not _LATIN_FILLERS.isdisjoint(text.lower().translate(_TO_SPACES).split())
 
 
 def said(text: str | None, known=None) -> Said:
@@ -124,7 +127,7 @@ def said(text: str | None, known=None) -> Said:
         rest = rest.replace("</v>", " ")
     if not chars.isdisjoint(_NOTE_SIGNS):
         rest = NOTE_RE.sub(" ", rest)
-    if _has_filler(rest):
+    if _has_filler(rest, chars):
         rest = FILLER_RE.sub(" ", rest)
     rest = " ".join(rest.split()).lstrip(" ,、，.。…\u3000")
     return Said(label, rest if _SAYS.search(rest) else "")
