@@ -11,6 +11,7 @@ its own, and a job of any size is decoded slot by slot.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,10 +108,12 @@ def spoken(cues: DataFrame, speaker_map: DataFrame) -> DataFrame:
     return by_name.select(*cols).unionByName(rest.select(*cols))
 
 
-def features(words: str) -> np.ndarray:
-    """Counts of hashed neighbouring character pairs."""
-    codes = np.frombuffer(words.casefold().encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    pairs = codes[:-1] * np.uint64(2654435761) + codes[1:] * np.uint64(40503)
+def features(*words: str) -> np.ndarray:
+    """Counts of hashed neighbouring character pairs over all texts given."""
+    codes = np.frombuffer("\0".join(words).casefold().encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    left, right = codes[:-1], codes[1:]
+    inside = (left != 0) & (right != 0)
+    pairs = left[inside] * np.uint64(2654435761) + right[inside] * np.uint64(40503)
     return np.bincount((pairs >> np.uint64(7)).astype(np.int64) % BUCKETS, minlength=BUCKETS)
 
 
@@ -124,12 +127,12 @@ def _partial_profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
         return out
 
     for batch in batches:
-        for job, label, words in zip(batch["job_id"], batch["label"], batch["words"], strict=True):
-            got = features(words)
-            if (job, label) in held:
-                held[job, label] += got
-            else:
-                held[job, label] = got
+        texts: dict[tuple, list[str]] = defaultdict(list)
+        for job, label, words in zip(batch["job_id"].tolist(), batch["label"].tolist(), batch["words"].tolist(), strict=True):
+            texts[job, label].append(words)
+        for key, some in texts.items():
+            got = features(*some)
+            held[key] = held[key] + got if key in held else got
         if len(held) > 20_000:
             yield frame()
     if held:
