@@ -21,16 +21,30 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-# Abbreviations never at a sentence's end, by language.
+# Abbreviations never at a sentence's end, by language, that are words in no other.
 ABBREVIATIONS = {
-    "en": ["mr", "mrs", "ms", "dr", "prof", "st", "mt", "rev", "gen", "col", "capt", "lt", "sgt", "hon", "messrs", "vs", "cf", "approx", "viz", "i.e", "e.g", "ver"],
-    "de": ["hr", "fr", "dr", "prof", "dipl", "ing", "bzw", "inkl", "exkl", "ca", "evtl", "ggf", "vgl", "zzgl", "sog", "bspw", "z. b", "d. h", "z.b", "d.h", "u. a", "o. ä", "mo", "di", "mi", "do", "sa", "so"],
-    "fr": ["m", "mm", "mme", "mmes", "mlle", "dr", "me", "mgr", "env", "av", "apr", "cf", "p. ex", "boul", "c.-à-d"],
-    "es": ["sr", "sra", "srta", "sres", "dr", "dra", "ing", "lic", "arq", "prof", "d", "dña", "p. ej", "ud", "uds", "avda"],
+    "en": ["mr", "mrs", "ms", "dr", "prof", "st", "mt", "messrs", "vs", "cf", "approx", "viz", "i.e", "e.g"],
+    "de": ["fr", "dipl", "ing", "bzw", "inkl", "exkl", "ca", "evtl", "ggf", "vgl", "zzgl", "bspw", "z. b", "d. h", "z.b", "d.h", "u. a", "o. ä"],
+    "fr": ["m", "mme", "mmes", "mlle", "mgr", "av", "apr", "p. ex", "boul", "c.-à-d"],
+    "es": ["sr", "sra", "srta", "sres", "dra", "lic", "arq", "d", "dña", "p. ej", "avda"],
     "hi": ["डॉ", "श्री", "श्रीमती", "पृ", "प्रो", "सं"],
     "ar": ["د", "أ", "م", "ص", "ج", "ت"],
     "th": ["ดร", "น", "พ.ศ", "ค.ศ", "นพ", "รศ", "ผศ"],
 }
+# Abbreviations of one language that are words or units in this or another one. Those of
+# TITLES count where written with a capital, as do German days where a date or other days stand beside.
+ONLY_IN = {"de": ["sog"], "fr": ["me", "env"], "es": []}
+TITLES = {"en": ["rev", "gen", "col", "capt", "lt", "sgt", "hon"], "de": ["hr"], "fr": ["mm"], "es": ["gen", "col"]}
+ONLY_IN_MAY_END = {"es": ["ud", "uds"]}
+DAYS = "mo|di|mi|do|fr|sa|so"
+MONTHS = "jan|feb|mär|apr|mai|jun|jul|aug|sep|okt|nov|dez"
+# Frequent words that tell the language of a passage.
+STOP_WORDS = {
+    "en": "the a an and of to in is are was were that this it for on with as at by from be has have had not you we they he she my our your will would who what why nobody half all there good sounds do me i let to him them".split(),
+    "de": "der die das den dem des ein eine einen einem und ist sind war nicht zu mit auf für von im am wir ich sie er es wird hat haben noch auch nur wer was warum niemand unsere unser passt so schon dann bis oder bei nach mir uns".split(),
+    "fr": "le la les un une des du de et est sont était ne pas que qui pour dans sur avec au aux ce cette il elle nous vous je on mais ou pourquoi personne tout a avant après notre".split(),
+    "es": "el la los las un una unos unas de del y es son era no que por para en con al se lo su sus nos yo ella ellos pero o qué quién nadie todo esta este hasta nuestra vamos más".split(),
+}
 # Abbreviations that stand before a number.
 BEFORE_NUMBER = ["no", "nos", "nr", "nrn", "núm", "num", "fig", "figs", "sec", "sect", "ch", "chap", "vol", "art", "abs", "p", "pp", "pág", "pag", "págs", "s", "abb", "kap", "ver", "v", "ext", "ref", "line", "approx", "ca", "env", "पृ", "ص"]
 # Abbreviations that may end a sentence, if a capital follows.
@@ -99,6 +113,29 @@ GENERAL_NO_BREAK = [
     _rule(False, rf"{_EDGE}(?:{_any(BEFORE_NUMBER)})[.]", r"\s*\d"),
     _rule(False, r"(?<![\w])(?:dem|der|den|des|das|die|am|im|zum|zur|vom|beim|seit|bis)\s\d{1,4}[.]", r"\s+[A-ZÄÖÜ]"),  # German ordinals
 ]
+# Tables of one Latin language, asked if the passage is in it, for texts with capitals and without.
+def _language_table(lang: str, lower: bool) -> list[Rule]:
+    table = []
+    # A title needs its capital unless the text has none at all.
+    if titles := TITLES.get(lang):
+        table.append(_rule(False, rf"(?<!\d )(?<!\d){_EDGE}(?:{_any(titles if lower else [w.capitalize() for w in titles] + [w.upper() for w in titles if w == 'mm'])})[.]", r"\s+[^\W\d_]" if lower else r"\s+[^\W\d_a-z]", case=not lower))
+    if words := ONLY_IN.get(lang):
+        table.append(_rule(False, rf"{_EDGE}(?:{_any(words)})[.]", r"\s"))
+    if words := ONLY_IN_MAY_END.get(lang):
+        table.append(_rule(False, rf"{_EDGE}(?:{_any(words)})[.]", r"\s" if lower else r"\s+[^\W\d_A-ZÀ-ÖØ-Þ]"))
+    if lang == "de":
+        days = DAYS if lower else "|".join(d.capitalize() for d in DAYS.split("|"))
+        table += [
+            _rule(False, rf"{_EDGE}(?:{days})[.]?\s*(?:und|oder|bis|[,/–-])\s*(?:{days})[.]", r"\s+[^\W\d_A-ZÄÖÜ]|\s+\d", case=not lower),
+            _rule(False, rf"{_EDGE}(?:[Aa]m|[Vv]om|[Bb]is|[Aa]b|[Ss]eit|[Jj]eden|[Nn]ächsten|[Dd]iesen|[Kk]ommenden|[Ll]etzten)\s(?:{days})[.]", r"\s+[^\W\d_A-ZÄÖÜ]|\s+\d", case=not lower),
+            _rule(False, rf"{_EDGE}(?:{days})[.]", rf"\s+(?:(?:und|oder|bis)\s|[/–-]\s?)(?:{days})\b|\s+(?:den\s)?\d{{1,2}}(?:[.:]\s?\d|[.]?\s(?i:{MONTHS}|uhr))", case=not lower),
+        ]
+    return table
+
+
+LANGUAGE_NO_BREAK = {lang: (_language_table(lang, False), _language_table(lang, True)) for lang in STOP_WORDS}
+_ONE_LANGUAGE = re.compile(rf"{_EDGE}(?:{_any([w for t in (ONLY_IN, TITLES, ONLY_IN_MAY_END) for v in t.values() for w in v] + DAYS.split('|'))})[.]\Z", re.I)
+_STOP_SETS = {lang: frozenset(words) for lang, words in STOP_WORDS.items()}
 GLUED = [
     _rule(True, r"[^\W\d_A-Z]{2,}[.!?…]+", r"[A-ZÀ-ÖØ-Þ¿¡„«][^\W\d_A-Z]|[A-ZÀÉ]['’]", case=True),  # the space after the mark is missing
     _rule(True, r"\d[.!?…]+", r"[A-ZÀ-ÖØ-Þ][a-zß-ÿ]+[ ,.]", case=True),
@@ -106,7 +143,6 @@ GLUED = [
 ]
 MAY_END_TABLE = [_rule(False, rf"{_EDGE}(?:{_any(MAY_END)})[.]", r"\s+[^\W\d_A-ZÀ-ÖØ-Þ]|\s*[,;:]")]
 MAY_END_LOWER = [_rule(False, rf"{_EDGE}(?:{_any([w for w in MAY_END if w not in ('etc', 'usw')])})[.]", r"\s|\s*[,;:]")]
-_ALL_ABBREVIATIONS = GENERAL_NO_BREAK + GLUED
 _QUICK = re.compile(r"[^\W\d_]{7,}[.]\Z")  # longer than any abbreviation of the tables
 _LATIN_OR_DIGIT = re.compile(r"[A-Za-zÀ-ÿ0-9]")
 
@@ -127,22 +163,22 @@ def _decide(text: str, p: int, mark: str, lower: bool, from_quote: int) -> bool:
     if nxt in ",;:、，；：":
         return False
     if text[p - len(mark) - 1 : p - len(mark)] > "\u2e7f" or "가" <= nxt <= "힣" or last in "。．｡！？" or nxt > "\u2e7f" and last in "!?…" or last == "." and not spaced and nxt > "\u2e7f":
-        return _decide_cjk(text, p, q, mark, last, closed, spaced, nxt, from_quote)
+        return _decide_cjk(text, p, q, mark, last, closed, spaced, nxt, lower, from_quote)
     if last in "।॥":
         return not (closed and text.startswith(tuple(CARRY_ON["hi"]), q))
     if "\u0600" <= nxt <= "\u06ff":
-        if last == "." and not closed and _first(GENERAL_NO_BREAK, text, p) is False:
+        if last == "." and not closed and _no_break(text, p, lower):
             return False
         return not (closed and text.startswith(("ثم", "وقال", "لكن"), q))
     if "\u0900" <= nxt <= "\u097f" or "\u0e00" <= nxt <= "\u0e7f":
         if "\u0e00" <= nxt <= "\u0e7f" or last == ".":
-            if _first(GENERAL_NO_BREAK, text, p) is False or "\u0e00" <= nxt <= "\u0e7f" and last == ".":
+            if _no_break(text, p, lower) or "\u0e00" <= nxt <= "\u0e7f" and last == ".":
                 return False
         return not (closed and text.startswith(tuple(CARRY_ON["hi"]), q))
     if last == "." and not closed:
         if mark.count(".") == 1:
             if not (spaced and _QUICK.search(text, max(0, p - 20), p)):
-                got = _first(_ALL_ABBREVIATIONS, text, p)
+                got = False if _no_break(text, p, lower) else _first(GLUED, text, p)
                 if got is None:
                     got = _first(MAY_END_LOWER if lower else MAY_END_TABLE, text, p)
                 if got is not None:
@@ -173,10 +209,31 @@ def _first(table: list[Rule], text: str, p: int) -> bool | None:
     return None
 
 
-def _decide_cjk(text: str, p: int, q: int, mark: str, last: str, closed: bool, spaced: bool, nxt: str, from_quote: int) -> bool:
+def _language(text: str, p: int) -> str | None:
+    """The language of the passage around p by its frequent words: of the line, else of the text near it; None if none stands out."""
+    start, end = text.rfind("\n", 0, p) + 1, text.find("\n", p)
+    for a, b in ((max(start, p - 160), min(end if end >= 0 else len(text), p + 80)), (max(0, p - 600), p + 600)):
+        words = [w.lower() for w in _WORD.findall(text, a, b)]
+        counts = sorted(((sum(w in known for w in words), lang) for lang, known in _STOP_SETS.items()), reverse=True)
+        if counts[0][0] > counts[1][0]:
+            return counts[0][1]
+    return None
+
+
+def _no_break(text: str, p: int, lower: bool) -> bool:
+    """Whether an abbreviation, of the general table or of that of the passage's language, ends at p."""
+    if _first(GENERAL_NO_BREAK, text, p) is False:
+        return True
+    if not _ONE_LANGUAGE.search(text, max(0, p - 7), p):
+        return False
+    lang = _language(text, p)
+    return lang is not None and _first(LANGUAGE_NO_BREAK[lang][lower], text, p) is False
+
+
+def _decide_cjk(text: str, p: int, q: int, mark: str, last: str, closed: bool, spaced: bool, nxt: str, lower: bool, from_quote: int) -> bool:
     hangul = "가" <= nxt <= "힣"
     if hangul:
-        if last == "." and not closed and mark == "." and _first(GENERAL_NO_BREAK, text, p) is False:
+        if last == "." and not closed and mark == "." and _no_break(text, p, lower):
             return False
         if closed and (not spaced or text.startswith(tuple(CARRY_ON["ko"]), q)):
             return False
@@ -235,7 +292,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
             got = m[0]
             line = text[line_start:a]
             line_start = a + 1
-            fresh = got.count("\n") > 1 or _breaks(text, a, a + 1, line, fresh)
+            fresh = got.count("\n") > 1 or _breaks(text, a, a + 1, line, fresh, lower)
             if fresh:
                 cuts.append(a)
             continue
@@ -274,7 +331,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def _breaks(text: str, a: int, nxt: int, line: str, fresh: bool) -> bool:
+def _breaks(text: str, a: int, nxt: int, line: str, fresh: bool, lower: bool) -> bool:
     """Whether the single line break at a ends a sentence rather than wraps the line.
 
     A number or a word with a colon at the head of the next line may be an item's or a
@@ -298,7 +355,7 @@ def _breaks(text: str, a: int, nxt: int, line: str, fresh: bool) -> bool:
             return True
     if ended:
         m = re.search(rf"{_MARKS}(?:\s?»|[{_CLOSE}]+)*\Z", body)
-        return m is None or not m[0].startswith(".") or _first(GENERAL_NO_BREAK, text, a - (len(line) - len(body))) is None
+        return m is None or not m[0].startswith(".") or not _no_break(text, a - (len(line) - len(body)), lower)
     return not wide
 
 

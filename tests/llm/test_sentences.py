@@ -21,6 +21,18 @@ def test_one_paragraph(want):
     assert [text[a:b] for a, b in sentences(text)] == want
 
 
+@pytest.mark.parametrize(
+    "want",
+    [
+        ["Sounds good to me.", "Step 37 is next."], ["Das passt so.", "Schritt 37 ist fertig."], ["das passt so.", "die liste ist fertig.", "der rest ist hier."], ["Vamos a ver.", "El punto 14 está cerrado."], ["That will do.", "Nobody asked."],
+        ["Wir haben den Saal am Mo. oder Di. noch frei.", "Das reicht."], ["Die Runde ist am Do. 14 Uhr im Saal."], ["C'est pour Me. Valbrisset et les autres."], ["The file of Gen. Thornquay is in the binder."], ["Es el último gen.", "La sesión es larga."], ["Gracias a Ud.", "La sesión es larga."],
+    ],
+)
+def test_words_that_are_abbreviations_elsewhere(want):
+    text = " ".join(want)
+    assert [text[a:b] for a, b in sentences(text)] == want
+
+
 def test_lines():
     text = "Decisions\n\n* First item\n(7) Second item.\n\n12:06 hello there\n12:07 bye\n\nSPEAKER_01: A line that is wrapped at a width of sixty or so and\ngoes on here. Next one.The glued one.\nLinderly: short\n"
     assert [text[a:b] for a, b in sentences(text)] == ["Decisions", "* First item", "(7) Second item.", "12:06 hello there", "12:07 bye", "SPEAKER_01: A line that is wrapped at a width of sixty or so and\ngoes on here.", "Next one.", "The glued one.", "Linderly: short"]
