@@ -1,11 +1,13 @@
 """Sentence boundaries across languages and scripts.
 
-Segmentation rules stand in ordered tables: each rule has a pattern for what precedes a
-position, one for what follows, and says whether a sentence ends there. For each
-position the tables are asked in turn, those of the script first and the general ones
-last, and the first rule that matches decides. Positions are those after end marks, after
-polite particles in Thai, after sentence-final verb forms before a space where marks
-are missing, and at line breaks.
+Segmentation rules stand in ordered tables: each rule has patterns for what precedes a
+position and what follows, asks for signs of the position, and says whether a sentence
+ends there. For each position after end marks and at line breaks the tables of its script's
+cascade are asked in turn (abbreviations of all languages, those of the passage's language,
+then the script's own), and the first rule that fits decides. No table is asked where the
+candidate patterns alone decide: inside quotations and brackets and after item numbers (no
+end), at blank lines, after polite particles in Thai and after sentence-final verb forms
+before a space where marks are missing (an end).
 
 Defined results: null, empty and blank texts have no sentences; every non-blank
 character belongs to exactly one sentence; texts of any length are read whole.
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache, lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -84,16 +87,27 @@ _SPACE = re.compile(r"[ \t　]*\n?[ \t　]*")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+# What is known of a position besides its text; rules ask for these signs or their absence.
+CLOSED, SPACED, LOWER, DOT, DOTS, LONG, ASKS, STOPS, BRACKET, ELLIPSIS, INTRODUCED, NEXT_LOWER, NEXT_ALPHA, NEXT_ALNUM, TRAILING, HEAD, ENDED, WIDE, FRESH, PARTICLE = (1 << i for i in range(20))
+# CLOSED: by a quotation sign or bracket. LOWER: the text has no capitals. DOT: the mark is a full stop, DOTS: it has more
+# or none. LONG: a full stop after a word longer than any abbreviation. ASKS, STOPS: ? or !; those or a full stop.
+# INTRODUCED: the quotation follows a colon or comma. TRAILING: the mark begins with dots. From HEAD on they are of line breaks.
+
+
 class Rule(NamedTuple):
-    """One row of a segmentation table: whether a sentence ends between before and after."""
+    """One row of a segmentation table: whether a sentence ends at a position that it fits."""
 
     ends: bool
-    before: re.Pattern[str]  # searched in the 26 characters up to the position, anchored at its end
-    after: re.Pattern[str]  # matched from the position
+    mask: int  # the signs that matter
+    signs: int  # those of them that must be there
+    before: re.Pattern[str] | None  # searched in the characters up to the position, anchored at its end
+    after: re.Pattern[str] | None  # matched from the position
+    then: re.Pattern[str] | None  # matched from the next character that is not blank
+    line: re.Pattern[str] | None  # matched from the start of the line
 
 
-def _rule(ends: bool, before: str, after: str, case: bool = False) -> Rule:
-    return Rule(ends, re.compile(rf"(?:{before})\Z", 0 if case else re.I), re.compile(after))
+def _rule(ends: bool, before: str = "", after: str | re.Pattern[str] = "", case: bool = False, then: str | re.Pattern[str] = "", line: str | re.Pattern[str] = "", on: int = 0, off: int = 0) -> Rule:
+    return Rule(ends, on | off, on, re.compile(rf"(?:{before})\Z", (0 if case else re.I) | re.S) if before else None, *(re.compile(x) if x else None for x in (after, then, line)))
 
 
 def _any(words: list[str]) -> str:
@@ -144,68 +158,161 @@ GLUED = [
 MAY_END_TABLE = [_rule(False, rf"{_EDGE}(?:{_any(MAY_END)})[.]", r"\s+[^\W\d_A-ZÀ-ÖØ-Þ]|\s*[,;:]")]
 MAY_END_LOWER = [_rule(False, rf"{_EDGE}(?:{_any([w for w in MAY_END if w not in ('etc', 'usw')])})[.]", r"\s|\s*[,;:]")]
 _QUICK = re.compile(r"[^\W\d_]{7,}[.]\Z")  # longer than any abbreviation of the tables
-_LATIN_OR_DIGIT = re.compile(r"[A-Za-zÀ-ÿ0-9]")
+_MARKS_BEFORE = r"[.!?…。．｡！？।॥؟۔]+"
+
+# Tables of scripts and of line breaks: a cascade holds tables, each with the signs it needs and must not see. The table of
+# the passage's language is looked up where LANGUAGE stands.
+LANGUAGE: list[Rule] = []
+ANY_SCRIPT = [_rule(True, then=r"\Z", off=NEXT_ALNUM), _rule(False, then=r"[,;:、，；：]", off=NEXT_ALNUM)]
+HANGUL = [
+    _rule(False, on=CLOSED, off=SPACED),
+    _rule(False, then=_any(CARRY_ON["ko"]), on=CLOSED),
+    _rule(True, rf"[다요까죠네군]{_MARKS_BEFORE}", on=TRAILING, off=CLOSED),
+    _rule(False, on=TRAILING, off=CLOSED),
+    _rule(True, rf"[다요까죠네군]{_MARKS_BEFORE}", on=DOT, off=SPACED),
+    _rule(False, on=DOT, off=SPACED),
+    _rule(True),
+]
+KANA_HAN = [
+    _rule(True, on=CLOSED | BRACKET | SPACED | STOPS),
+    _rule(False, on=CLOSED | BRACKET),
+    _rule(False, then=_CARRY_JA_DOTS, on=ELLIPSIS),
+    _rule(False, after=_CARRY_CJK, on=ELLIPSIS),
+    _rule(True, on=ELLIPSIS),
+    _rule(False, then=_CARRY_JA_QUOTE, on=CLOSED),
+    _rule(False, then=_any(CARRY_ON["ja"]), on=ASKS, off=CLOSED),
+    _rule(True, then=r"[ぁ-ん]"),
+    _rule(False, after=_CARRY_CJK, then=r"[一-鿿]", on=CLOSED),
+    _rule(True, then=r"[一-鿿]", on=CLOSED | INTRODUCED),
+    _rule(False, then=r"[一-鿿]", on=CLOSED | ASKS),
+    _rule(True, then=r"[一-鿿]", on=CLOSED),
+    _rule(True, r"[⺀-\U0010ffff].", on=DOT, off=SPACED),
+    _rule(False, on=DOT, off=SPACED),  # Dr.テルマス, Ver.2
+    _rule(True),
+]
+DEVANAGARI = [_rule(False, then=_any(CARRY_ON["hi"]), on=CLOSED), _rule(True)]
+ARABIC = [_rule(False, then=r"ثم|وقال|لكن", on=CLOSED), _rule(True)]
+THAI = [_rule(False, on=DOT), _rule(True)]
+LATIN = [
+    _rule(False, on=DOT | DOTS | NEXT_LOWER, off=CLOSED | SPACED),
+    _rule(True, on=DOT | DOTS, off=CLOSED | SPACED),
+    _rule(True, on=NEXT_ALPHA, off=DOT | CLOSED | SPACED | NEXT_LOWER),
+    _rule(True, then=r"[¿¡«„“]", off=DOT | CLOSED | SPACED),
+    _rule(False, off=DOT | CLOSED | SPACED),
+    _rule(False, on=CLOSED | NEXT_ALNUM, off=SPACED),
+    _rule(False, then=r"[a-zß-ÿ]", off=LOWER),
+    _rule(False, after=_CARRY_LATIN, then=r"[a-zß-ÿ]", on=CLOSED),
+    _rule(False, after=_CARRY_LATIN, then=r"[a-zß-ÿ]", off=DOT),
+    _rule(False, after=_CARRY_LATIN, then=r"[a-zß-ÿ]", on=DOTS),
+    _rule(True, then=r"[a-zß-ÿ]"),
+    _rule(False, on=CLOSED | BRACKET, off=STOPS | ELLIPSIS),
+    _rule(True),
+]
+# A number or a word with a colon at the head of the next line may be an item's or a speaker's, or the wrapped line's next
+# word: it is the latter where a wide line without an end mark stands before that is no item, or has no label, itself.
+LINE_HEADS = [
+    _rule(True, on=HEAD | ENDED),
+    _rule(True, on=HEAD | PARTICLE),
+    _rule(True, on=HEAD, off=WIDE),
+    _rule(True, after=_NUMBER_HEAD, line=_LIST_HEAD, on=HEAD | FRESH),
+    _rule(False, after=_NUMBER_HEAD, on=HEAD),
+    _rule(True, after=_NUMBERED_LABEL, on=HEAD),
+    _rule(True, after=_NAME_HEAD, line=_HEAD, on=HEAD | FRESH),
+    _rule(False, after=_NAME_HEAD, on=HEAD),
+    _rule(True, on=HEAD),
+]
+LINE_ENDS = [_rule(True, on=ENDED), _rule(False, on=WIDE), _rule(True)]
+
+Cascade = list[tuple[int, int, list[Rule]]]
+
+
+def _after(on: int, off: int, *tables: list[Rule]) -> Cascade:
+    return [(on | off, on, table) for table in tables]
+
+
+CASCADES: dict[str, Cascade] = {
+    "hangul": [*_after(0, 0, ANY_SCRIPT), *_after(DOT, CLOSED, GENERAL_NO_BREAK, LANGUAGE), *_after(0, 0, HANGUL)],
+    "kana_han": _after(0, 0, ANY_SCRIPT, KANA_HAN),
+    "danda": _after(0, 0, ANY_SCRIPT, DEVANAGARI),
+    "devanagari": [*_after(0, 0, ANY_SCRIPT), *_after(DOT, 0, GENERAL_NO_BREAK, LANGUAGE), *_after(0, 0, DEVANAGARI)],
+    "arabic": [*_after(0, 0, ANY_SCRIPT), *_after(DOT, CLOSED, GENERAL_NO_BREAK, LANGUAGE), *_after(0, 0, ARABIC)],
+    "thai": _after(0, 0, ANY_SCRIPT, GENERAL_NO_BREAK, LANGUAGE, THAI),
+    "latin": [*_after(0, 0, ANY_SCRIPT), *_after(DOT, CLOSED | DOTS | LONG, GENERAL_NO_BREAK, LANGUAGE, GLUED), *_after(DOT, CLOSED | DOTS | LONG | LOWER, MAY_END_TABLE), *_after(DOT | LOWER, CLOSED | DOTS | LONG, MAY_END_LOWER), *_after(0, 0, LATIN)],
+    "line_head": _after(HEAD, 0, LINE_HEADS),
+    "line": [*_after(ENDED, 0, GENERAL_NO_BREAK, LANGUAGE), *_after(0, 0, LINE_ENDS)],
+}
+
+
+@cache
+def _rules(script: str, signs: int) -> list[Rule | None]:
+    """The rules of a cascade, in order, that such signs leave over; None stands for those of the passage's language."""
+    return [r for mask, needed, table in CASCADES[script] if signs & mask == needed for r in ([None] if table is LANGUAGE else table) if r is None or signs & r.mask == r.signs]
+
+
+def _script(nxt: str, stem: str, last: str, spaced: bool) -> str:
+    """Whose tables are asked, by the characters beside the mark and the mark itself."""
+    if "가" <= nxt <= "힣":
+        return "hangul"
+    if stem > "\u2e7f" or last in "。．｡！？" or nxt > "\u2e7f" and (last in "!?…" or last == "." and not spaced):
+        return "kana_han"
+    if last in "।॥":
+        return "danda"
+    if "\u0600" <= nxt <= "\u06ff":
+        return "arabic"
+    if "\u0900" <= nxt <= "\u097f":
+        return "devanagari"
+    return "thai" if "\u0e00" <= nxt <= "\u0e7f" else "latin"
+
+
+@lru_cache(4096)
+def _mark_signs(mark: str) -> tuple[str, int]:
+    """The last end mark before any closing signs, and the signs that the mark gives."""
+    last = mark.rstrip("\"”’»“」』）)]】〉》 \u00a0\u202f")[-1:]
+    signs = CLOSED * (mark[-1] in "\"”’»“」』）)]】〉》") | BRACKET * (mark[-1] in "）)]】")
+    signs |= DOT * (last == ".") | ASKS * (last in "！？!?") | STOPS * (last in "。！？.!?")
+    return last, signs | ELLIPSIS * (last == "…" or mark.startswith("...")) | TRAILING * mark.startswith(("..", "…")) | DOTS * (mark.count(".") != 1)
+
+
+@lru_cache(4096)
+def _next_signs(nxt: str) -> int:
+    return NEXT_ALNUM * nxt.isalnum() | NEXT_ALPHA * nxt.isalpha() | NEXT_LOWER * nxt.islower()
 
 
 def _decide(text: str, p: int, mark: str, lower: bool, from_quote: int) -> bool:
     """Whether a sentence ends at p, where mark (end marks and closing signs) has just ended."""
-    after = text[p : p + 1]
-    if not after:
-        return True
-    m = _SPACE.match(text, p)
-    q = m.end()
+    q = _SPACE.match(text, p).end()
     nxt = text[q : q + 1]
-    if not nxt:
-        return True
-    spaced = q > p
-    closed = mark[-1] in "\"”’»“」』）)]】〉》"
-    last = mark.rstrip("\"”’»“」』）)]】〉》 \u00a0\u202f")[-1:]
-    if nxt in ",;:、，；：":
-        return False
-    if text[p - len(mark) - 1 : p - len(mark)] > "\u2e7f" or "가" <= nxt <= "힣" or last in "。．｡！？" or nxt > "\u2e7f" and last in "!?…" or last == "." and not spaced and nxt > "\u2e7f":
-        return _decide_cjk(text, p, q, mark, last, closed, spaced, nxt, lower, from_quote)
-    if last in "।॥":
-        return not (closed and text.startswith(tuple(CARRY_ON["hi"]), q))
-    if "\u0600" <= nxt <= "\u06ff":
-        if last == "." and not closed and _no_break(text, p, lower):
-            return False
-        return not (closed and text.startswith(("ثم", "وقال", "لكن"), q))
-    if "\u0900" <= nxt <= "\u097f" or "\u0e00" <= nxt <= "\u0e7f":
-        if "\u0e00" <= nxt <= "\u0e7f" or last == ".":
-            if _no_break(text, p, lower) or "\u0e00" <= nxt <= "\u0e7f" and last == ".":
-                return False
-        return not (closed and text.startswith(tuple(CARRY_ON["hi"]), q))
-    if last == "." and not closed:
-        if mark.count(".") == 1:
-            if not (spaced and _QUICK.search(text, max(0, p - 20), p)):
-                got = False if _no_break(text, p, lower) else _first(GLUED, text, p)
-                if got is None:
-                    got = _first(MAY_END_LOWER if lower else MAY_END_TABLE, text, p)
-                if got is not None:
-                    return got
-        elif not spaced:
-            return not nxt.islower()
-    elif not spaced and not closed:
-        return nxt.isalpha() and not nxt.islower() or nxt in "¿¡«„“"
-    if closed and not spaced and nxt.isalnum():
-        return False
-    if nxt.islower() and nxt.isascii() or "ß" <= nxt <= "ÿ":
-        if not lower:
-            return False
-        return not ((closed or last != "." or mark.count(".") > 1) and _CARRY_LATIN.match(text, p))
-    if closed and (mark[-1] in "）)]】") and last not in ".!?…":
-        return False
-    if closed and not lower and _CARRY_LATIN.match(text, p) and nxt.islower():
-        return False
-    return True
-
-
-def _first(table: list[Rule], text: str, p: int) -> bool | None:
-    """The first rule of a table that matches at p, or None."""
-    window = text[max(0, p - 26) : p]
-    for ends, before, after in table:
-        if after.match(text, p) and before.search(window):
-            return ends
+    last, signs = _mark_signs(mark)
+    signs |= _next_signs(nxt)
+    stem = text[p - len(mark) - 1 : p - len(mark)]
+    if q > p:
+        signs |= SPACED
+        if last == "." and _QUICK.search(text, max(0, p - 20), p):
+            signs |= LONG
+    if lower:
+        signs |= LOWER
+    if from_quote >= 0 and text[max(0, from_quote - 1) : from_quote] in "：:，,":
+        signs |= INTRODUCED
+    return bool(_first(_rules(_script(nxt, stem, last, q > p), signs), text, p, q, lower, len(mark)))
+
+
+def _first(rules: list[Rule | None], text: str, p: int, q: int, lower: bool, mark: int = 0, line: int = 0) -> bool | None:
+    """What the first of the rules that fits p says, or None."""
+    window = None
+    for rule in rules:
+        if rule is None:
+            if (got := _first(_language_rules(text, p, lower), text, p, q, lower, mark)) is not None:
+                return got
+            continue
+        ends, _, _, before, after, then, start = rule
+        if then and not then.match(text, q) or after and not after.match(text, p) or start and not start.match(text, line):
+            continue
+        if before:
+            if window is None:
+                window = text[max(0, p - 26 - mark) : p]
+            if not before.search(window):
+                continue
+        return ends
     return None
 
 
@@ -220,47 +327,12 @@ def _language(text: str, p: int) -> str | None:
     return None
 
 
-def _no_break(text: str, p: int, lower: bool) -> bool:
-    """Whether an abbreviation, of the general table or of that of the passage's language, ends at p."""
-    if _first(GENERAL_NO_BREAK, text, p) is False:
-        return True
+def _language_rules(text: str, p: int, lower: bool) -> list[Rule]:
+    """The table of the passage's language if a word of such a table stands before p."""
     if not _ONE_LANGUAGE.search(text, max(0, p - 7), p):
-        return False
+        return []
     lang = _language(text, p)
-    return lang is not None and _first(LANGUAGE_NO_BREAK[lang][lower], text, p) is False
-
-
-def _decide_cjk(text: str, p: int, q: int, mark: str, last: str, closed: bool, spaced: bool, nxt: str, lower: bool, from_quote: int) -> bool:
-    hangul = "가" <= nxt <= "힣"
-    if hangul:
-        if last == "." and not closed and mark == "." and _no_break(text, p, lower):
-            return False
-        if closed and (not spaced or text.startswith(tuple(CARRY_ON["ko"]), q)):
-            return False
-        if mark.startswith(("..", "…")) and not closed:
-            return text[p - len(mark) - 1 : p - len(mark)] in "다요까죠네군"
-        if last == "." and not spaced:
-            return text[p - len(mark) - 1 : p - len(mark)] in "다요까죠네군"
-        return True
-    kana = "ぁ" <= nxt <= "ん"
-    if closed and mark[-1] in "）)]】":
-        return spaced and last in "。！？.!?"
-    if last in "…" or mark.startswith("..."):
-        return not _CARRY_JA_DOTS.match(text, q) and not _CARRY_CJK.match(text, p)
-    if kana:
-        if closed:
-            return not _CARRY_JA_QUOTE.match(text, q)
-        if last in "！？!?":
-            return not text.startswith(tuple(CARRY_ON["ja"]), q)
-        return True
-    if closed and "一" <= nxt <= "鿿":
-        if _CARRY_CJK.match(text, p):
-            return False
-        introduced = from_quote >= 0 and text[max(0, from_quote - 1) : from_quote] in "：:，,"
-        return introduced or last not in "？！?!"
-    if last == "." and not spaced:  # Dr.テルマス, Ver.2
-        return text[p - 2 : p - 1] > "\u2e7f"
-    return True
+    return LANGUAGE_NO_BREAK[lang][lower] if lang else []
 
 
 def _width(s: str) -> int:
@@ -290,9 +362,8 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
         first = text[a]
         if first == "\n":
             got = m[0]
-            line = text[line_start:a]
+            fresh = got.count("\n") > 1 or _breaks(text, a, line_start, fresh, lower)
             line_start = a + 1
-            fresh = got.count("\n") > 1 or _breaks(text, a, a + 1, line, fresh, lower)
             if fresh:
                 cuts.append(a)
             continue
@@ -331,32 +402,16 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def _breaks(text: str, a: int, nxt: int, line: str, fresh: bool, lower: bool) -> bool:
-    """Whether the single line break at a ends a sentence rather than wraps the line.
-
-    A number or a word with a colon at the head of the next line may be an item's or a
-    speaker's, or the wrapped line's next word: it is the latter where a wide line without an
-    end mark stands before that is no item, or has no label, itself.
-    """
-    body = line.rstrip()
+def _breaks(text: str, a: int, line_start: int, fresh: bool, lower: bool) -> bool:
+    """Whether the single line break at a ends a sentence rather than wraps the line."""
+    body = text[line_start:a].rstrip()
     if not body:
         return True
-    ended = _END_OF_LINE.search(body[-8:]) is not None
-    wide = _width(body) >= 40
-    if _HEAD.match(text, nxt):
-        loose = wide and not ended and not _PARTICLE_END.search(body)
-        if loose and _NUMBER_HEAD.match(text, nxt):
-            loose = not (fresh and _LIST_HEAD.match(body))
-        elif loose and _NAME_HEAD.match(text, nxt) and not _NUMBERED_LABEL.match(text, nxt):
-            loose = not (fresh and _HEAD.match(body))
-        else:
-            loose = False
-        if not loose:
-            return True
-    if ended:
-        m = re.search(rf"{_MARKS}(?:\s?»|[{_CLOSE}]+)*\Z", body)
-        return m is None or not m[0].startswith(".") or not _no_break(text, a - (len(line) - len(body)), lower)
-    return not wide
+    signs = FRESH * fresh | WIDE * (_width(body) >= 40) | ENDED * (_END_OF_LINE.search(body[-8:]) is not None)
+    if _HEAD.match(text, a + 1):
+        signs |= HEAD | PARTICLE * (_PARTICLE_END.search(body) is not None)
+        return bool(_first(_rules("line_head", signs), text, a + 1, a + 1, lower, 0, line_start))
+    return bool(_first(_rules("line", signs), text, line_start + len(body), a + 1, lower))
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@ import hypothesis.strategies as st
 import pytest
 from hypothesis import given, settings
 
+from cueloom.llm import sentences as tables
 from cueloom.llm.sentences import sentences, split_sentences
 
 CASES = [
@@ -33,6 +34,24 @@ def test_words_that_are_abbreviations_elsewhere(want):
     assert [text[a:b] for a, b in sentences(text)] == want
 
 
+@pytest.mark.parametrize(
+    ("script", "text"),
+    [("latin", "One is here. Two is there."), ("latin", "Ready? Go!"), ("kana_han", "終わりました。次です。"), ("hangul", "끝났습니다. 다음입니다."), ("danda", "यह है। वह है।"), ("devanagari", "यह है? वह है।"), ("arabic", "لماذا ضاع؟ ضاع مرة."), ("thai", "พร้อมไหม? ไปกัน"), ("line", "First line\nsecond line"), ("line_head", "First line\n* second line")],
+)
+def test_first_rule_of_the_scripts_tables_decides(monkeypatch, script, text):
+    assert len(sentences(text)) == 2
+    monkeypatch.setitem(tables.CASCADES, script, [(0, 0, [tables._rule(False)]), *tables.CASCADES[script]])
+    tables._rules.cache_clear()
+    try:
+        assert len(sentences(text)) == 1
+    finally:
+        tables._rules.cache_clear()
+
+
+def test_dots_at_the_start():
+    assert len(sentences("…하고 갔습니다.")) == 1
+
+
 def test_lines():
     text = "Decisions\n\n* First item\n(7) Second item.\n\n12:06 hello there\n12:07 bye\n\nSPEAKER_01: A line that is wrapped at a width of sixty or so and\ngoes on here. Next one.The glued one.\nLinderly: short\n"
     assert [text[a:b] for a, b in sentences(text)] == ["Decisions", "* First item", "(7) Second item.", "12:06 hello there", "12:07 bye", "SPEAKER_01: A line that is wrapped at a width of sixty or so and\ngoes on here.", "Next one.", "The glued one.", "Linderly: short"]
