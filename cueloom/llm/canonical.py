@@ -180,11 +180,12 @@ def canonicalize(text: str | None) -> str | None:
     table, always, beside, suspect, token, alone = _machine()
     chars = set(text)
     odd = chars & always
-    if not odd and (chars.isdisjoint(beside) or not suspect.search(text)):
+    # Marks of any kind may stand apart from their letters: texts not in NFC take no short way, whatever else they hold.
+    if not odd and (chars.isdisjoint(beside) or not suspect.search(text)) and unicodedata.is_normalized("NFC", text):
         return text
     if odd and all(ord(c) in alone for c in odd) and (odd.isdisjoint(_JOINERS) or not any(_shaped(c) for c in chars)):
         out = text.translate(alone)  # no cluster of several characters is concerned
-        if chars.isdisjoint(beside) or not suspect.search(out):
+        if (chars.isdisjoint(beside) or not suspect.search(out)) and unicodedata.is_normalized("NFC", out):
             return out
     latin = len(regex.findall(r"[A-Za-z]", text))
     latin_line = latin > 2 and not regex.search(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]", text)

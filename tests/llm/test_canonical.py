@@ -33,3 +33,9 @@ def test_column(spark):
     assert sorted(r["k"] for r in canonical.disguised(df, ["k"]).collect()) == [1]
     assert canonical.with_canonical(df, "text").where("k = 1").first()["canonical"] == "AB"
     assert canonical.disguised(df.limit(0), ["k"]).count() == 0
+
+
+def test_marks_come_out_alike_whatever_else_stands_in_the_text():
+    for apart, joined in (("न\u093c", "\u0929"), ("o\u0302", "ô")):
+        got = {canonical.canonicalize(before + apart + "x")[-2:] for before in ("", "Ａ", "\u200b", "か\u3099", "①Ａ")}
+        assert got == {joined + "x"}
