@@ -24,7 +24,7 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--single-vtt", action="store_true", help="primary recording only")
     p.add_argument("--clean", action="store_true", help="drop checkpoints first")
     p.add_argument("--best-effort", action="store_true", help="write output although chunks failed")
-    p.add_argument("--chunk", type=int, nargs="+", help="only these chunks")
+    p.add_argument("--chunk", type=int, action="append", help="only this chunk; may be given several times")
     p.add_argument("--force", action="store_true", help="annotate completed chunks again")
     p.add_argument("--provider", help="annotator to use instead of the configured one")
     p.add_argument("--debug", action="store_true", help="detailed log")

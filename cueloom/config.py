@@ -11,12 +11,23 @@ DEFAULTS: dict[str, Any] = {
     "api": {"provider": "google", "model": "gemini-2.0-flash", "api_key_env": "GEMINI_API_KEY", "max_retries": 3, "max_validation_retries": 2, "backoff_base_sec": 2, "timeout_sec": 120, "rate_limit_respect": True, "include_chunk_summary": False},
     "chunking": {"target_duration_sec": 300, "search_window_stage1_sec": 180, "search_window_stage2_sec": 300, "gap_threshold_sec": 1.2, "overlap_sec": 15},
     "offset": {"mode": "auto", "manual_offset_sec": 0.0, "sample_windows": ["head", "mid", "tail"], "window_duration_sec": 300, "vtt_search_margin_sec": 300, "similarity_threshold": 0.6, "min_valid_pairs": 3, "mad_k": 3.0, "max_offset_sec": 600, "use_reading_normalization": False},
-    "input": {"primary_vtt_filename": "whisper_output.vtt", "zoom_vtt_filename": "zoom_output.vtt", "use_secondary_vtt": True},
+    "input": {"primary_vtt_filename": "whisper_output.vtt", "zoom_vtt_filename": "zoom_output.vtt", "use_secondary_vtt": True, "dictionary_path": None, "speaker_map_path": None},
     "output": {"formats": ["txt", "srt", "vtt", "json"], "completion_mode": "strict", "txt_mode": "clean"},
-    "logging": {"log_level": "INFO"},
+    "logging": {"log_level": "INFO", "save_prompt": False, "save_raw_response": False},
 }
 
 
+GIVEN = object()
+# What each option of the command line sets, later rows over earlier ones: section, name and value, or the value given.
+OPTION_SETTINGS: dict[str, list[tuple[str, str, Any]]] = {
+    "offset_sec": [("offset", "mode", "manual"), ("offset", "manual_offset_sec", GIVEN)],
+    "offset_skip": [("offset", "mode", "skip")],
+    "single_vtt": [("input", "use_secondary_vtt", False), ("offset", "mode", "skip")],
+    "best_effort": [("output", "completion_mode", "best_effort")],
+    "debug": [("logging", "log_level", "DEBUG")],
+}
+
+
 def deep_merge(base: dict, override: dict) -> dict:
     """A new dict: nested dicts merge, everything else in override replaces."""
     out = copy.deepcopy(base)
@@ -39,33 +50,24 @@ def load_yaml(path: str | Path) -> dict:
 
 def apply_cli_overrides(config: dict, cli: dict) -> dict:
     """The layer of command-line options: offset_sec, offset_skip, single_vtt, best_effort, debug."""
-    layer: dict[str, dict] = {}
-    if cli.get("offset_sec") is not None:
-        layer["offset"] = {"mode": "manual", "manual_offset_sec": cli["offset_sec"]}
-    if cli.get("offset_skip"):
-        layer["offset"] = {"mode": "skip"}
-    if cli.get("single_vtt"):
-        layer["input"] = {"use_secondary_vtt": False}
-        layer["offset"] = {"mode": "skip"}
-    if cli.get("best_effort"):
-        layer["output"] = {"completion_mode": "best_effort"}
-    if cli.get("debug"):
-        layer["logging"] = {"log_level": "DEBUG"}
-    return deep_merge(config, layer)
+    for option, settings in OPTION_SETTINGS.items():
+        given = cli.get(option)
+        if given is None or given is False:
+            continue
+        for section, name, value in settings:
+            config = deep_merge(config, {section: {name: given if value is GIVEN else value}})
+    return config
 
 
 def resolve_paths(config: dict, job_dir: str | Path) -> dict:
-    """Where a job's files lie; optional files are relative to the job folder."""
+    """Where a job's files lie; optional files are relative to the job folder unless absolute."""
     job = Path(job_dir)
     inp = config["input"]
     out = {
         "job_dir": job, "input_dir": job / "input", "temp_dir": job / "working" / "temp", "logs_dir": job / "working" / "logs", "output_dir": job / "output",
         "primary_vtt": job / "input" / inp["primary_vtt_filename"], "zoom_vtt": job / "input" / inp["zoom_vtt_filename"],
     }
-    for name in ("dictionary_file", "speaker_map_file", "glossary_file"):
-        if inp.get(name):
-            out[name] = job / inp[name]
-    return out
+    return out | {name: job / inp[name] if inp.get(name) else None for name in ("dictionary_path", "speaker_map_path")}
 
 
 def load_config(app_config: str | Path | None = None, job_dir: str | Path | None = None, cli: dict | None = None) -> dict:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 import time
+import traceback
 from collections.abc import Callable, Iterator
 from typing import Any, Protocol
 
@@ -216,11 +217,16 @@ for _name in ("google", "openai", "anthropic"):
     ANNOTATORS.setdefault(_name, _no_network(_name))
 
 
-def get_annotator(name: str, **options: Any) -> Annotator:
-    """The annotator of a name; ValueError for a name that is not registered."""
+def annotator_factory(name: str) -> Callable[..., Annotator]:
+    """What makes the annotator of a name; ValueError for a name that is not registered."""
     if name not in ANNOTATORS:
         raise ValueError(f"unknown provider {name!r}")
-    return ANNOTATORS[name](**options)
+    return ANNOTATORS[name]
+
+
+def get_annotator(name: str, **options: Any) -> Annotator:
+    """The annotator of a name; ValueError for a name that is not registered."""
+    return annotator_factory(name)(**options)
 
 
 def check_ids(output: dict, expected: list[str]) -> list[str]:
@@ -247,10 +253,14 @@ def check_ids(output: dict, expected: list[str]) -> list[str]:
     return errors
 
 
-RESULT_SCHEMA = "job_id string, chunk_index int, status string, result string, retries int, errors array<string>, error_type string, error_message string"
+RESULT_SCHEMA = (
+    "job_id string, chunk_index int, status string, result string, retries int, errors array<string>, error_type string, error_message string, "
+    "traceback string, id_validation struct<passed:boolean,retries:int,errors:array<string>>, prompts array<string>, answers array<string>"
+)
+RESULT_FIELDS = [f.strip().split()[0] for f in RESULT_SCHEMA.split(", ")]
 
 
-def _annotate(provider: str, options: dict, dual: bool, context_prompt: str | None, max_retries: int, validation_retries: int, backoff: float):
+def _annotate(make: Callable[..., Annotator], options: dict, dual: bool, context_prompt: str | None, max_retries: int, validation_retries: int, backoff: float, save_prompt: bool, save_answer: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         service: Annotator | None = None
         for batch in batches:
@@ -259,34 +269,44 @@ def _annotate(provider: str, options: dict, dual: bool, context_prompt: str | No
                 expected = list(expected)
                 todo = [dict(x) if isinstance(x, dict) else x.asDict() for x in lines]
                 errors: list[str] = []
+                sent: list[str] | None = [] if save_prompt else None
+                got: list[str] | None = [] if save_answer else None
+                checked: dict | None = None
                 try:
                     for attempt in range(validation_retries + 1):
                         if service is None:
-                            service = get_annotator(provider, **options)
+                            service = make(**options)
                         prompt = build_prompt(body, dual, context_prompt, errors)
+                        if sent is not None:
+                            sent.append(prompt)
                         answer = call_with_retry(lambda p=prompt, e=expected, t=todo: service.call(p, e, t), max_retries, backoff)
+                        if got is not None:
+                            got.append(json.dumps(answer, ensure_ascii=False))
                         errors = check_ids(answer, expected)
+                        checked = {"passed": not errors, "retries": attempt, "errors": errors}
                         if not errors:
                             break
                     if errors:
                         raise ValueError("; ".join(errors))
-                    rows.append((job, chunk, "ok", json.dumps(answer, ensure_ascii=False), attempt, [], None, None))
+                    rows.append((job, chunk, "ok", json.dumps(answer, ensure_ascii=False), attempt, [], None, None, None, checked, sent, got))
                 except Exception as e:  # a chunk that fails is a row, never a failed task
-                    rows.append((job, chunk, "error", None, 0, errors, type(e).__name__, str(e)))
-            yield pd.DataFrame(rows, columns=["job_id", "chunk_index", "status", "result", "retries", "errors", "error_type", "error_message"])
+                    rows.append((job, chunk, "error", None, checked["retries"] if checked else 0, errors, type(e).__name__, str(e), traceback.format_exc(), checked, sent, got))
+            yield pd.DataFrame(rows, columns=RESULT_FIELDS)
 
     return run
 
 
-def annotate(prompts: DataFrame, provider: str = "identity", options: dict | None = None, dual: bool = True, context_prompt: str | None = None, max_retries: int = 3, validation_retries: int = 2, backoff: float = 2) -> DataFrame:
+def annotate(prompts: DataFrame, provider: str = "identity", options: dict | None = None, dual: bool = True, context_prompt: str | None = None, max_retries: int = 3, validation_retries: int = 2, backoff: float = 2, save_prompt: bool = False, save_answer: bool = False) -> DataFrame:
     """One row a chunk in RESULT_SCHEMA: status ok with the answer, or error with its reason.
 
     ``prompts``: job_id, chunk_index, expected_ids, body and lines (ARRAY<STRUCT<uid, speaker, text>> of
-    the body in order). Calls to the outside happen here and nowhere else; write the result
-    before it is used, so that no later action repeats them.
+    the body in order). The service is looked up here, so that one registered on the driver reaches the
+    workers. Calls to the outside happen here and nowhere else; write the result
+    before it is used, so that no later action repeats them. ``prompts`` and ``answers`` of the result hold every
+    attempt if asked for, else null; id_validation is null where no answer came to be checked.
     """
     spread = prompts.select("job_id", "chunk_index", "expected_ids", "body", "lines").repartition("job_id", "chunk_index")
-    return spread.mapInPandas(_annotate(provider, options or {}, dual, context_prompt, max_retries, validation_retries, backoff), RESULT_SCHEMA)
+    return spread.mapInPandas(_annotate(annotator_factory(provider), options or {}, dual, context_prompt, max_retries, validation_retries, backoff, save_prompt, save_answer), RESULT_SCHEMA)
 
 
 def body_lines(parts: DataFrame) -> DataFrame:

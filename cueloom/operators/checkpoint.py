@@ -10,7 +10,8 @@ from pyspark.sql.utils import AnalysisException
 
 from cueloom.operators.annotate import RESULT_SCHEMA
 
-_SCHEMA = f"{RESULT_SCHEMA}, saved_at timestamp, run_id string"
+META_SCHEMA = "chunk_time_range struct<start_sec:double,end_sec:double>, input_counts struct<primary_cues:long,zoom_cues:long>, api_provider string, api_model string, offset_applied_sec double"
+_SCHEMA = f"{RESULT_SCHEMA}, {META_SCHEMA}, saved_at timestamp, run_id string"
 
 
 class CheckpointTable:
@@ -24,7 +25,7 @@ class CheckpointTable:
         self.spark, self.path = spark, path
 
     def save(self, results: DataFrame) -> str:
-        """Writes results (RESULT_SCHEMA) of one run, once; returns the run's id."""
+        """Writes results (RESULT_SCHEMA, with or without the columns of META_SCHEMA) of one run, once; returns the run's id."""
         run = uuid.uuid4().hex
         results.withColumn("saved_at", F.current_timestamp()).withColumn("run_id", F.lit(run)).write.mode("append").partitionBy("job_id").parquet(self.path)
         return run
@@ -52,6 +53,20 @@ class CheckpointTable:
         self.spark.catalog.refreshByPath(self.path)
 
 
+def with_meta(results: DataFrame, chunks: DataFrame, parts: DataFrame, offsets: DataFrame, provider: str, model: str) -> DataFrame:
+    """Results with the columns of META_SCHEMA: what each chunk was made from and by what.
+
+    ``chunks``: job_id, chunk_index, time_start, time_end; ``parts``: job_id, chunk_index, role;
+    ``offsets``: job_id, applied_offset_sec.
+    """
+    key = ["job_id", "chunk_index"]
+    counts = parts.groupBy(*key).agg(F.struct(F.count_if(F.col("role") == "BODY").alias("primary_cues"), F.count_if(F.col("role") == "ZOOM").alias("zoom_cues")).alias("input_counts"))
+    span = chunks.select(*key, F.struct(F.col("time_start").alias("start_sec"), F.col("time_end").alias("end_sec")).alias("chunk_time_range"))
+    by = offsets.select("job_id", F.col("applied_offset_sec").alias("offset_applied_sec"))
+    about = span.join(counts, key, "left").join(by, "job_id", "left").withColumn("api_provider", F.lit(provider)).withColumn("api_model", F.lit(model))
+    return results.join(about, key, "left")
+
+
 def targets(chunks: DataFrame, done: DataFrame, selected: list[int] | None = None, force: bool = False) -> DataFrame:
     """Chunks still to be annotated: the selected ones (all by default) that are not completed.
 

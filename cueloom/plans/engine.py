@@ -95,6 +95,15 @@ def read_job(spark: SparkSession, job_dir: Path, config: dict) -> tuple[DataFram
     return primary, cues(paths["zoom_vtt"]) if dual else primary.limit(0)
 
 
+def dump_exchanges(results: DataFrame, folder: Path) -> None:
+    """Files of the prompts and raw answers that results hold, chunk by chunk; earlier attempts have their number in the name."""
+    for row in results.select("chunk_index", "prompts", "answers").where(F.col("prompts").isNotNull() | F.col("answers").isNotNull()).toLocalIterator():
+        for kind, suffix, texts in (("prompt", "txt", row["prompts"]), ("raw", "json", row["answers"])):
+            for i, text in enumerate(texts or [], 1):
+                attempt = "" if i == len(texts) else f"_try{i}"
+                (folder / f"{kind}_chunk_{row['chunk_index']:03d}{attempt}.{suffix}").write_text(text, encoding="utf-8")
+
+
 def run_job(spark: SparkSession, job_dir: str | Path, config: dict, clean: bool = False, selected: list[int] | None = None, provider: str | None = None, force: bool = False) -> dict:
     """Runs one job folder and writes its output files; returns the metadata.
 
@@ -116,15 +125,17 @@ def run_job(spark: SparkSession, job_dir: str | Path, config: dict, clean: bool
     table = checkpoint.CheckpointTable(spark, str(paths["temp_dir"] / "chunks"))
     if clean:
         table.clean()
-    glossary = side.read_glossary(spark, str(paths["input_dir"] / "glossary_confirmed.tsv")) or (side.read_dictionary(paths["dictionary_file"]) if "dictionary_file" in paths else None)
+    glossary = side.read_glossary(spark, str(paths["input_dir"] / "glossary_confirmed.tsv")) or side.read_dictionary(paths["dictionary_path"])
     context = side.read_context_prompt(paths["input_dir"])
     todo = checkpoint.targets(ready.chunks.select("job_id", "chunk_index"), table.completed(), selected, force)
     asked = prompts(ready, glossary).join(todo, ["job_id", "chunk_index"], "left_semi")
-    api = config["api"]
-    if config["logging"]["log_level"] == "DEBUG":  # the prompts as they are first sent
-        asked.select("job_id", "chunk_index", "body").write.mode("overwrite").json(str(paths["temp_dir"] / "prompts"))
-    table.save(annotate.annotate(asked, provider or api["provider"], None, dual, context, api["max_retries"], api["max_validation_retries"], api["backoff_base_sec"]))
-    mapping = side.read_speaker_map(paths.get("speaker_map_file"))
+    api, logs = config["api"], config["logging"]
+    service = provider or api["provider"]
+    answers = annotate.annotate(asked, service, None, dual, context, api["max_retries"], api["max_validation_retries"], api["backoff_base_sec"], logs["save_prompt"], logs["save_raw_response"])
+    # The outside is called while this is written; a join before the write could move the calls into a stage that runs twice.
+    run = table.save(checkpoint.with_meta(written(answers), ready.chunks, ready.parts, ready.offsets, service, api["model"]))
+    dump_exchanges(table.load().where(F.col("run_id") == run), paths["temp_dir"])
+    mapping = side.read_speaker_map(paths["speaker_map_path"])
     names = spark.createDataFrame([(name, k, v) for k, v in mapping.items()], "job_id string, speaker_label string, display_name string") if mapping else None
     mode = config["output"]["completion_mode"]
     results = table.load()

@@ -40,13 +40,11 @@ def read_glossary(spark: SparkSession, path: str) -> dict[str, list[str]] | None
     return {GLOSSARY_KEY: terms} if terms else None
 
 
-def read_dictionary(path: str | Path) -> dict[str, list[str]] | None:
-    """A dictionary file: a list becomes one category without a name."""
-    path = Path(path)
-    if not path.exists():
+def read_dictionary(path: str | Path | None) -> dict[str, list[str]] | list[str] | None:
+    """A dictionary file: terms by category, or a plain list; None if it is missing or holds nothing."""
+    if not path or not Path(path).exists():
         return None
-    data = json.loads(path.read_text(encoding="utf-8"))
-    return {"": data} if isinstance(data, list) else data or None
+    return json.loads(Path(path).read_text(encoding="utf-8")) or None
 
 
 def read_context_prompt(folder: str | Path) -> str | None:

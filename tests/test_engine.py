@@ -23,8 +23,9 @@ def job(tmp_path):
     cues = [(i * 5.0, i * 5.0 + 4.5, f"SPEAKER_0{i % 2}", f"{i}番目の発言は議題{i * 7}についてです。") for i in range(150)]
     (folder / "input" / "whisper_output.vtt").write_text(vtt(cues), encoding="utf-8")
     (folder / "input" / "zoom_output.vtt").write_text(vtt([(a + 12.0, b + 12.0, "x", t) for a, b, _, t in cues]), encoding="utf-8")
-    (folder / "job.yaml").write_text("input:\n  speaker_map_file: map.json\noutput:\n  completion_mode: strict\n")
+    (folder / "job.yaml").write_text("input:\n  speaker_map_path: map.json\n  dictionary_path: terms.json\nlogging:\n  save_prompt: true\n  save_raw_response: true\noutput:\n  completion_mode: strict\n")
     (folder / "map.json").write_text(json.dumps({"SPEAKER_00": "山田"}), encoding="utf-8")
+    (folder / "terms.json").write_text(json.dumps(["議題", "梅田"]), encoding="utf-8")
     return folder
 
 
@@ -38,6 +39,16 @@ def test_whole_job(spark, job):
     data = json.loads((out / "final_transcript.json").read_text(encoding="utf-8"))
     assert len(data["utterances"]) == 150 and data["utterances"][0]["speaker"] == "山田" and "uncertain_span_ids" not in data["utterances"][0]
     txt = (out / "final_transcript.txt").read_text(encoding="utf-8")
+    for name in ("final_transcript.srt", "final_transcript.vtt"):
+        assert "山田" in (out / name).read_text(encoding="utf-8")
+    temp = job / "working" / "temp"
+    prompt = (temp / "prompt_chunk_000.txt").read_text(encoding="utf-8")
+    assert f"{annotate.HEAD_DICTIONARY}\n" in prompt and prompt.endswith("- 議題\n- 梅田")
+    assert json.loads((temp / "raw_chunk_000.json").read_text(encoding="utf-8"))["utterances"][0]["id"] == "U000001"
+    saved = checkpoint.CheckpointTable(spark, str(temp / "chunks")).load().where("chunk_index = 0").first()
+    assert saved["id_validation"]["passed"] and saved["id_validation"]["retries"] == 0 and saved["traceback"] is None
+    assert saved["input_counts"]["primary_cues"] == 60 and saved["input_counts"]["zoom_cues"] > 0 and saved["offset_applied_sec"] == pytest.approx(12.0)
+    assert saved["chunk_time_range"]["start_sec"] == 0.0 and (saved["api_provider"], saved["api_model"]) == ("merge", "gemini-2.0-flash")
     assert txt.startswith("山田\n0番目") and "\n\nSPEAKER_01\n" in txt
     assert (out / "final_transcript.srt").read_text(encoding="utf-8").startswith("1\n00:00:00,000 --> 00:00:04,500\n山田: ")
     back = parse_vtt(spark.createDataFrame([("a", (out / "final_transcript.vtt").read_text(encoding="utf-8"))], "k string, content string"), ["k"])
@@ -58,6 +69,10 @@ def test_policies(spark, job):
     assert "処理失敗" in (job / "output" / "final_transcript.txt").read_text(encoding="utf-8")
     with pytest.raises(ValueError):
         engine.run_job(spark, job, strict, selected=[0, 99], provider="identity")
+    failed = checkpoint.CheckpointTable(spark, str(job / "working" / "temp" / "chunks")).load().where("chunk_index = 0").first()
+    assert failed["error_type"] == "ValueError" and "Traceback" in failed["traceback"] and not failed["id_validation"]["passed"] and failed["id_validation"]["retries"] == 2
+    assert len(failed["prompts"]) == len(failed["answers"]) == 3 and (job / "working" / "temp" / "prompt_chunk_000_try1.txt").exists()
+    assert annotate.HEAD_FEEDBACK in (job / "working" / "temp" / "prompt_chunk_000.txt").read_text(encoding="utf-8")
     meta = engine.run_job(spark, job, best, selected=[0], provider="identity")
     assert meta["completed_chunks"] == 1
     with pytest.raises(FileNotFoundError):
@@ -125,7 +140,7 @@ def test_txt_exclusion(spark):
 def test_checkpoint(spark, tmp_path):
     table = checkpoint.CheckpointTable(spark, str(tmp_path / "t"))
     assert table.load().count() == 0
-    row = lambda c, s: ("j", c, s, None, 0, [], None, None)
+    row = lambda c, s: ("j", c, s, None, 0, [], None, None, None, None, None, None)
     table.save(spark.createDataFrame([row(0, "error"), row(1, "ok")], annotate.RESULT_SCHEMA))
     table.save(spark.createDataFrame([row(0, "ok")], annotate.RESULT_SCHEMA))
     assert sorted(r["chunk_index"] for r in table.completed().collect()) == [0, 1]
@@ -146,6 +161,13 @@ def test_config_and_cli(tmp_path, capsys):
     assert cli.main(["--job", str(tmp_path / "none")]) == 1
     assert cli.main(["--job", str(tmp_path), "--clean", "--chunk", "1"]) == 1
     assert cli.main(["--job", str(tmp_path), "--chunk", "-1"]) == 1
+    assert cli.parse_args(["--job", "x", "--chunk", "12", "--chunk", "31"]).chunk == [12, 31]
+    (tmp_path / "job.yaml").write_text("input:\n  dictionary_path: input/d.json\n  speaker_map_path: /elsewhere/map.json\n")
+    paths = load_config(None, tmp_path, {"single_vtt": True})["_resolved"]
+    assert paths["dictionary_path"] == tmp_path / "input" / "d.json" and str(paths["speaker_map_path"]) == "/elsewhere/map.json"
+    single = load_config(None, None, {"single_vtt": True, "debug": True, "best_effort": True})
+    assert (single["offset"]["mode"], single["input"]["use_secondary_vtt"], single["logging"]["log_level"], single["output"]["completion_mode"]) == ("skip", False, "DEBUG", "best_effort")
+    assert load_config(None, None, {"offset_sec": 0.0})["offset"]["mode"] == "manual"
     with pytest.raises(SystemExit):
         cli.parse_args(["--job", "x", "--offset-sec", "1", "--offset-skip"])
 
