@@ -9,7 +9,7 @@ from pathlib import Path
 
 from cueloom.config import load_config
 from cueloom.plans.engine import run_job
-from cueloom.session import local_session
+from cueloom.session import drop_cuts, local_session
 
 
 def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
@@ -52,11 +52,14 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     config = load_config(args.config, job, {"offset_sec": args.offset_sec, "offset_skip": args.offset_skip, "single_vtt": args.single_vtt, "best_effort": args.best_effort, "debug": args.debug})
     setup_logging(config["_resolved"]["logs_dir"] / "run.log", config["logging"]["log_level"])
+    spark = local_session()
     try:
-        run_job(local_session(), job, config, args.clean, args.chunk, args.provider, args.force)
+        run_job(spark, job, config, args.clean, args.chunk, args.provider, args.force)
     except Exception:
         logging.getLogger("cueloom").exception("job failed")
         return 1
+    finally:
+        drop_cuts(spark)
     return 0
 
 

@@ -21,7 +21,7 @@ from cueloom.session import written
 
 SLOT_SEC = 3600.0
 WALK_SLOT_SEC = 21600.0
-GROUP_LIMIT = 200_000
+WALK_GROWTH = 32
 # The marks that end a sentence here.
 SENTENCE_END = "[。.！？?]"
 TIERS = {"gap": 1, "speaker": 2, "sentence": 3, "any": 4}
@@ -57,29 +57,30 @@ def _pick(window: float, side: dict[tuple[int, str], Column], pos: Column, targe
             b = side[tier, where]
             dist = F.abs(b["start"] - target)
             ok = b.isNotNull() & (dist <= window) & (b["pos"] > pos)
-            options.append(F.when(ok, F.struct(F.lit(tier).alias("tier"), dist.alias("dist"), b["pos"].alias("pos"))))
-    return F.array_min(F.array_compact(F.array(*options)))["pos"]
+            options.append(F.when(ok, F.struct(F.lit(tier).alias("tier"), dist.alias("dist"), b["pos"].alias("pos"), b["start"].alias("start"))))
+    return F.array_min(F.array_compact(F.array(*options)))
 
 
 def successors(marked: DataFrame, target_sec: float, stage1: float, stage2: float, slot_sec: float = SLOT_SEC) -> DataFrame:
-    """job_id, pos, start, next: where the chunk that begins at pos ends, null for the last.
+    """job_id, pos, start, next, next_start: where the chunk that begins at pos ends, null for the last.
 
     Position 1 stands for the start of the job, whose first target is target_sec itself. A
     boundary lies behind the row it is reached from. Rows whose target is not before the
-    job's last end have no successor.
+    job's last end have no successor: that end is put as a mark into each slot that later targets can lie in.
     """
     reach = max(stage1, stage2)
     if slot_sec < 2 * reach:
         slot_sec = 2 * reach
     slot = lambda c: F.floor(c / F.lit(slot_sec))
-    ends = marked.groupBy("job_id").agg(F.max_by("end", "pos").alias("_total"))
+    ends = marked.groupBy("job_id").agg(F.max_by("end", "pos").alias("_total"), slot(F.max("start") + F.lit(float(target_sec))).alias("_far"))
+    ends = ends.withColumn("_slot", F.explode(F.when(slot(F.col("_total")) <= F.col("_far"), F.sequence(slot(F.col("_total")), F.col("_far"))))).select("job_id", "_slot", F.lit(2).alias("_kind"), "_total")
     first = F.col("pos") == 1
     base = marked.select("job_id", "pos", "start", F.when(first, F.lit(float(target_sec))).otherwise(F.col("start") + F.lit(float(target_sec))).alias("target"))
     sources = base.select("job_id", F.col("target").alias("_at"), slot(F.col("target")).alias("_slot"), F.lit(0).alias("_kind"), F.struct("pos", "start").alias("src"))
     cand = marked.where(F.col("tier").isNotNull()).select("job_id", F.col("start").alias("_at"), "pos", "start", "tier")
     cand = cand.withColumn("_slot", F.explode(F.sequence(slot(F.col("_at") - reach), slot(F.col("_at") + reach))))
     cand = cand.select("job_id", "_at", "_slot", F.lit(1).alias("_kind"), "tier", F.struct("pos", "start").alias("b"))
-    both = sources.unionByName(cand, allowMissingColumns=True)
+    both = sources.unionByName(cand, allowMissingColumns=True).unionByName(ends, allowMissingColumns=True)
     # Of boundaries at one time the first in position is seen from both sides.
     w = Window.partitionBy("job_id", "_slot")
     back = w.orderBy(F.col("_at"), F.col("_kind").desc(), F.col("b.pos").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -87,62 +88,66 @@ def successors(marked: DataFrame, target_sec: float, stage1: float, stage2: floa
     for tier in TIERS.values():
         of = F.when(F.col("tier") == tier, F.col("b"))
         both = both.withColumn(f"_b{tier}", F.last(of, ignorenulls=True).over(back)).withColumn(f"_a{tier}", F.last(of, ignorenulls=True).over(ahead))
-    seen = both.where(F.col("_kind") == 0)
+    seen = both.withColumn("_total", F.max("_total").over(w)).where(F.col("_kind") == 0)
     # "Any" admits every boundary; a better tier never hides one in the wider sense.
     side = {(t, "before"): F.col(f"_b{t}") for t in TIERS.values()} | {(t, "after"): F.col(f"_a{t}") for t in TIERS.values()}
     near1 = _pick(stage1, side, F.col("src.pos"), F.col("_at"))
     near2 = _pick(stage2, side, F.col("src.pos"), F.col("_at"))
-    found = seen.select("job_id", "src.pos", "src.start", F.col("_at").alias("target"), F.coalesce(near1, near2).alias("next"))
-    return found.join(ends, "job_id").select("job_id", "pos", "start", F.when(F.col("target") < F.col("_total"), F.col("next")).alias("next"))
+    found = seen.select("job_id", "src.pos", "src.start", F.when(F.col("_total").isNull() | (F.col("_at") < F.col("_total")), F.coalesce(near1, near2)).alias("n"))
+    return found.select("job_id", "pos", "start", F.col("n.pos").alias("next"), F.col("n.start").alias("next_start"))
 
 
 def _exits(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
-    """For each row by which the slot can be entered: the first row beyond it, if any.
+    """For each row by which the slot can be entered: the first row beyond the slot, if any.
 
-    Rows: job_id, _slot, pos, next, entry, in order of pos; successors lie behind.
+    Rows: job_id, _slot, pos, start, next, next_start, _to (the slot of next), mark, in order of
+    pos. Successors lie behind. Marks say of a pos that it is an entry, once or more often.
     """
-    out: dict[int, int | None] = {}
-    for _, _, p, n, _ in reversed(rows):
-        out[p] = out.get(n, n)
-    for job, _, p, _, entry in rows:
-        if entry:
-            yield job, p, out[p]
+    entries = {r[2] for r in rows if r[7]}
+    out: dict[int, tuple] = {}
+    for _, slot, p, start, n, at, to, mark in reversed(rows):
+        if not mark:
+            out[p] = (start, n, at) if n is None or to != slot else (start, *out[n][1:])
+    for p in entries:
+        yield key[0], p, *out[p]
 
 
 def _walk(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
-    """The rows reached from those marked as begin. Rows: job_id, ..., pos, next, begin in order of pos."""
-    due: set[int] = set()
-    for *_, p, n, begin in rows:
-        if begin or p in due:
-            yield key[0], p
-            if n is not None:
-                due.add(n)
-
-
-def walk(succ: DataFrame, slot_sec: float = WALK_SLOT_SEC, limit: int = GROUP_LIMIT) -> DataFrame:
-    """job_id and pos of every row reached from position 1.
-
-    A job of up to ``limit`` rows is walked as it is. Longer jobs are first reduced: inside
-    each slot, each row that is reached from outside is mapped to where the walk leaves the
-    slot; the reduced table is walked in the same way with longer slots, and the slots
-    entered are then walked for their inner rows. No group outgrows the limit unless a
-    single slot does.
+    """The rows reached from those marked. Rows: job_id, ..., pos, start, next, mark in order of pos."""
+    due = {r[-4] for r in rows if r[-1]}
+    for *_, p, start, n, mark in rows:
+        if not mark and p in due:
+            yield key[0], p, start
+            due.add(n)
+
+
+def walk(succ: DataFrame, slot_sec: float = WALK_SLOT_SEC, growth: int = WALK_GROWTH) -> DataFrame:
+    """job_id, pos and start of every row reached from position 1.
+
+    ``succ``: job_id, pos, start, next, next_start. Inside each slot of time, each row by which the
+    slot can be entered is mapped to where the walk leaves the slot; the reduced table is walked
+    over slots, in longer slots again while it reaches beyond one, and the slots are then walked
+    from the rows that were entered. A group holds the rows of one slot, however long its job.
     """
-    largest = succ.groupBy("job_id").count().agg(F.max("count")).first()[0] or 0
-    rows = succ.select("job_id", "pos", "start", "next")
-    if largest <= limit:
-        begun = rows.select("job_id", "pos", "next", (F.col("pos") == 1).alias("begin"))
-        return map_groups(begun, ["job_id"], ["pos"], _walk, "job_id string, pos long")
-    cut = rows.withColumn("_slot", F.floor(F.col("start") / F.lit(slot_sec)))
-    where = cut.select("job_id", F.col("pos").alias("next"), F.col("_slot").alias("_to"))
-    from_outside = cut.join(where, ["job_id", "next"]).where(F.col("_slot") != F.col("_to")).select("job_id", F.col("next").alias("pos")).distinct()
-    entries = from_outside.unionByName(cut.where(F.col("pos") == 1).select("job_id", "pos")).distinct().withColumn("entry", F.lit(True))
-    marked = written(cut.join(entries, ["job_id", "pos"], "left").withColumn("entry", F.coalesce("entry", F.lit(False))))
-    reduced = map_groups(marked.select("job_id", "_slot", "pos", "next", "entry"), ["job_id", "_slot"], ["pos"], _exits, "job_id string, pos long, next long")
-    times = marked.where("entry").select("job_id", "pos", "start")
-    reached = walk(written(reduced.join(times, ["job_id", "pos"])), slot_sec * 32, limit).withColumn("begin", F.lit(True))
-    inner = marked.join(reached, ["job_id", "pos"], "left").withColumn("begin", F.coalesce("begin", F.lit(False)))
-    return map_groups(inner.select("job_id", "_slot", "pos", "next", "begin"), ["job_id", "_slot"], ["pos"], _walk, "job_id string, pos long")
+    slot = lambda c: F.floor(c / F.lit(slot_sec))
+    rows = succ.select("job_id", slot(F.col("start")).alias("_slot"), "pos", "start", "next", "next_start", slot(F.col("next_start")).alias("_to"))
+    none = lambda kind: F.lit(None).cast(kind)
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    blank = [none(kinds[c]).alias(c) for c in ("start", "next", "next_start", "_to")]
+    crossing = rows.where(F.col("_to") != F.col("_slot")).select("job_id", F.col("_to").alias("_slot"), F.col("next").alias("pos"), *blank)
+    begins = rows.where(F.col("pos") == 1).select("job_id", "_slot", "pos", *blank)
+    marks = crossing.unionByName(begins).withColumn("mark", F.lit(True))
+    both = rows.withColumn("mark", F.lit(False)).unionByName(marks)
+    reduced = written(map_groups(both, ["job_id", "_slot"], ["pos"], _exits, "job_id string, pos long, start double, next long, next_start double"))
+    if (reduced.agg(F.max("start")).first()[0] or 0) < slot_sec * growth:
+        whole = reduced.select("job_id", "pos", "start", "next", F.lit(False).alias("mark"))
+        firsts = reduced.where(F.col("pos") == 1).select("job_id", "pos", none("double").alias("start"), none("long").alias("next"), F.lit(True).alias("mark"))
+        reached = map_groups(whole.unionByName(firsts), ["job_id"], ["pos"], _walk, "job_id string, pos long, start double")
+    else:
+        reached = walk(reduced, slot_sec * growth, growth)
+    entered = reached.select("job_id", slot(F.col("start")).alias("_slot"), "pos", "start", none("long").alias("next"), F.lit(True).alias("mark"))
+    inner = rows.select("job_id", "_slot", F.col("pos").cast("long").alias("pos"), "start", F.col("next").cast("long").alias("next"), F.lit(False).alias("mark"))
+    return map_groups(inner.unionByName(entered), ["job_id", "_slot"], ["pos"], _walk, "job_id string, pos long, start double")
 
 
 def split_into_chunks(cues: DataFrame, target_sec: float = 300, stage1: float = 180, stage2: float = 300, gap_sec: float = 1.2) -> DataFrame:
@@ -158,28 +163,24 @@ def split_into_chunks(cues: DataFrame, target_sec: float = 300, stage1: float =
 
 
 def ranges(starts: DataFrame, cues: DataFrame) -> DataFrame:
-    """Chunk ranges from the positions at which chunks begin.
+    """Chunk ranges from the rows at which chunks begin (job_id, pos, start).
 
     Chunks are numbered in slots of positions and meet their successor by number, so that
-    no window holds all chunks of a job.
+    no window holds all chunks of a job; only its last chunk asks for the job's length.
     """
-    numbered = number_rows(starts, ["job_id"], ["pos"], "_k", slot=F.floor(F.col("pos") / 65536)).select("job_id", (F.col("_k") - 1).alias("chunk_index"), "pos")
+    numbered = number_rows(starts, ["job_id"], ["pos"], "_k", slot=F.floor(F.col("pos") / 65536)).select("job_id", (F.col("_k") - 1).alias("chunk_index"), "pos", F.col("start").alias("time_start"))
     after = numbered.select("job_id", (F.col("chunk_index") - 1).alias("chunk_index"), F.col("pos").alias("_next"))
-    ends = cues.groupBy("job_id").agg(F.max("pos").alias("_n"))
-    cut = numbered.join(after, ["job_id", "chunk_index"], "left").join(ends, "job_id").select("job_id", "chunk_index", F.col("pos").alias("first_pos"), F.coalesce(F.col("_next") - 1, F.col("_n")).alias("last_pos"))
-    a = cues.select("job_id", F.col("pos").alias("first_pos"), F.col("start").alias("time_start"))
+    ends = cues.groupBy("job_id").agg(F.max("pos").alias("_n")).withColumn("_ask", F.lit(0))
+    asking = numbered.join(after, ["job_id", "chunk_index"], "left").withColumn("_ask", F.when(F.col("_next").isNull(), 0).otherwise(F.col("chunk_index") + 1))
+    cut = asking.join(ends, ["job_id", "_ask"], "left").select("job_id", "chunk_index", F.col("pos").alias("first_pos"), F.coalesce(F.col("_next") - 1, F.col("_n")).alias("last_pos"), "time_start")
     b = cues.select("job_id", F.col("pos").alias("last_pos"), F.col("end").alias("time_end"))
-    return cut.join(a, ["job_id", "first_pos"]).join(b, ["job_id", "last_pos"]).select("job_id", "chunk_index", "first_pos", "last_pos", "time_start", "time_end")
-
+    return cut.join(b, ["job_id", "last_pos"]).select("job_id", "chunk_index", "first_pos", "last_pos", "time_start", "time_end")
 
-def members(chunks: DataFrame, cues: DataFrame) -> DataFrame:
-    """job_id, chunk_index, pos, uid of the body of every chunk.
 
-    Chunk bodies are disjoint runs of positions, so each cue belongs to the chunk that
-    began last: positions are joined, not compared in pairs.
-    """
-    ids = chunks.select("job_id", "chunk_index", F.explode(F.sequence("first_pos", "last_pos")).alias("pos"))
-    return ids.join(cues.select("job_id", F.col("pos").cast("long").alias("pos")), ["job_id", "pos"], "left_semi").select("job_id", "chunk_index", "pos", cue_id(F.col("pos")).alias("uid"))
+def members(chunks: DataFrame) -> DataFrame:
+    """job_id, chunk_index, pos, uid of the body of every chunk: positions are dense, so its range says all."""
+    ids = chunks.select("job_id", "chunk_index", F.explode(F.sequence(F.col("first_pos").cast("long"), F.col("last_pos").cast("long"))).alias("pos"))
+    return ids.select("job_id", "chunk_index", "pos", cue_id(F.col("pos")).alias("uid"))
 
 
 def contexts(chunks: DataFrame, cues: DataFrame, overlap_sec: float = 15, slot_sec: float = 60.0) -> DataFrame:
@@ -189,7 +190,8 @@ def contexts(chunks: DataFrame, cues: DataFrame, overlap_sec: float = 15, slot_s
     first chunk. After: cues behind the body that end within overlap_sec of its end, but for
     the last. Cues meet chunks through one-minute slots of the tested time.
     """
-    framed = chunks.join(chunks.groupBy("job_id").agg(F.max("chunk_index").alias("_last")), "job_id")
+    more = chunks.select("job_id", (F.col("chunk_index") - 1).alias("chunk_index"), F.lit(True).alias("_more"))
+    framed = chunks.join(more, ["job_id", "chunk_index"], "left")
     slot = lambda c: F.floor(c / F.lit(slot_sec))
     lo = F.greatest(F.lit(0.0), F.col("time_start") - overlap_sec)
     before = framed.where(F.col("chunk_index") > 0).withColumn("_lo", lo).withColumn("_s", F.explode(F.sequence(slot(F.col("_lo")), F.greatest(slot(F.col("time_start")), slot(F.col("_lo"))))))
@@ -197,7 +199,7 @@ def contexts(chunks: DataFrame, cues: DataFrame, overlap_sec: float = 15, slot_s
     b = before.join(by_start, ["job_id", "_s"]).where((F.col("pos") < F.col("first_pos")) & (F.col("start") >= F.col("_lo"))).select("job_id", "chunk_index", F.lit("CTX_BEFORE").alias("role"), "pos")
     # A cue behind the body starts no earlier than the body's last cue, so its end lies in a bounded stretch.
     tail = cues.select("job_id", F.col("pos").alias("last_pos"), F.col("start").alias("_from"))
-    after = framed.where(F.col("chunk_index") < F.col("_last")).join(tail, ["job_id", "last_pos"]).withColumn("_hi", F.col("time_end") + overlap_sec)
+    after = framed.where(F.col("_more")).join(tail, ["job_id", "last_pos"]).withColumn("_hi", F.col("time_end") + overlap_sec)
     after = after.where(F.col("_hi") >= F.col("_from")).withColumn("_s", F.explode(F.sequence(slot(F.col("_from")), slot(F.col("_hi")))))
     # Only cues whose end is not before their start can be placed by start; others are placed by end.
     by_end = cues.where(F.col("end").isNotNull()).select("job_id", "pos", "end", slot(F.greatest("end", "start")).alias("_s"))
@@ -234,9 +236,8 @@ def secondary_slices(chunks: DataFrame, secondary: DataFrame) -> DataFrame:
     """job_id, chunk_index, pos of the secondary cues that go with each chunk.
 
     From the cue nearest to the chunk's start to the one nearest to its end, both included;
-    a cue at an edge can belong to two chunks; a reversed range is empty.
+    a cue at an edge can belong to two chunks; a reversed range is empty. Positions are dense.
     """
     a = nearest_starts(chunks.select("job_id", "chunk_index", "time_start", "time_end"), secondary, "time_start", "_from")
     b = nearest_starts(a, secondary, "time_end", "_to")
-    kept = b.where(F.col("_from") <= F.col("_to")).select("job_id", "chunk_index", F.explode(F.sequence("_from", "_to")).alias("pos"))
-    return kept.join(secondary.select("job_id", "pos"), ["job_id", "pos"], "left_semi").select("job_id", "chunk_index", "pos")
+    return b.where(F.col("_from") <= F.col("_to")).select("job_id", "chunk_index", F.explode(F.sequence("_from", "_to")).alias("pos"))

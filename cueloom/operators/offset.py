@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 from cueloom.functions.text import WEIGHTS, normalize_for_matching, normalize_plain
 from cueloom.operators.grouped import map_groups
+from cueloom.operators.ids import with_group_values
+from cueloom.session import written
 
 # Confidence limits and the drift flag.
 HIGH_PAIRS, HIGH_SIGMA, MEDIUM_SIGMA, DRIFT_SEC = 5, 1.0, 2.0, 1.0
@@ -23,6 +25,8 @@ SAMPLE_WINDOWS = ["head", "mid", "tail"]
 
 # Fields of a result and of its report.
 RESULT_FIELDS = ["estimated_offset_sec", "confidence", "valid_pairs", "total_pairs_before_filter", "mad", "std_dev", "method", "sample_windows_used", "drift_detected", "drift_delta_sec", "top_candidates", "applied_offset_sec", "override", "excluded_vtt_cues"]
+WINDOW_SLOT_SEC = 600.0
+ROW_SLOT = 65536
 _CANDIDATES = "array<struct<offset_sec:double,score:double,pair_count:int>>"
 
 
@@ -48,8 +52,14 @@ def sample_windows(cues: DataFrame, names: list[str], duration: float) -> DataFr
 
 
 def in_windows(cues: DataFrame, windows: DataFrame) -> DataFrame:
-    """Cues with each window of their job that contains them whole; a job has three at most."""
-    return cues.join(windows, "job_id").where((F.col("start") >= F.col("lo")) & (F.col("end") <= F.col("hi")))
+    """Cues with each window of their job that contains them whole.
+
+    Windows are a bounded stretch of seconds, so they are given to each slot of time they
+    cover, and cues meet them by job and slot.
+    """
+    slot = lambda c: F.floor(c / F.lit(WINDOW_SLOT_SEC))
+    cut = windows.where(F.col("lo") <= F.col("hi")).withColumn("_slot", F.explode(F.sequence(slot(F.col("lo")), slot(F.col("hi")))))
+    return cues.withColumn("_slot", slot(F.col("start"))).join(cut, ["job_id", "_slot"]).where((F.col("start") >= F.col("lo")) & (F.col("end") <= F.col("hi"))).drop("_slot")
 
 
 def best_match(a: str, grams: set[str], pool: list[tuple[float, str, set[str], frozenset[str]]], by_gram: dict[str, list[int]], sequence: bool, threshold: float) -> tuple[float, int]:
@@ -150,25 +160,22 @@ def robust_stats(deltas: DataFrame, mad_k: float, min_pairs: int) -> DataFrame:
 
     ``deltas``: job_id, window, delta. The filter keeps what lies within mad_k deviations of
     the median; it keeps all where the deviation is 0 or nothing would remain. Drift compares
-    the medians of tail and head over all deltas.
+    the medians of tail and head over all deltas. The deltas of a job come from three windows of
+    bounded length, so they are gathered once and all else is array arithmetic within the row.
     """
-    med = deltas.groupBy("job_id").agg(
-        F.median("delta").alias("median"), F.count(F.lit(1)).cast("int").alias("total_pairs"),
-        F.median(F.when(F.col("window_name") == "head", F.col("delta"))).alias("_head"), F.median(F.when(F.col("window_name") == "tail", F.col("delta"))).alias("_tail"),
-    )
-    dev = deltas.join(med, "job_id").withColumn("_dev", F.abs(F.col("delta") - F.col("median")))
-    mad = dev.groupBy("job_id").agg(F.median("_dev").alias("mad"))
-    judged = dev.join(mad, "job_id").withColumn("_in", (F.col("mad") == 0) | (F.col("_dev") <= mad_k * F.col("mad")))
-    kept = judged.groupBy("job_id").agg(
-        F.count_if("_in").cast("int").alias("_n_in"), F.median(F.when(F.col("_in"), F.col("delta"))).alias("_m_in"), F.stddev_samp(F.when(F.col("_in"), F.col("delta"))).alias("_s_in"),
-        F.stddev_samp("delta").alias("_s_all"), F.first("median").alias("median"), F.first("mad").alias("mad"), F.first("total_pairs").alias("total_pairs"), F.first("_head").alias("_head"), F.first("_tail").alias("_tail"),
-    )
-    some = F.col("_n_in") > 0
-    n = F.when(some, F.col("_n_in")).otherwise(F.col("total_pairs"))
-    offset = F.when(some, F.col("_m_in")).otherwise(F.col("median"))
-    sigma = F.coalesce(F.when(some, F.col("_s_in")).otherwise(F.col("_s_all")), F.lit(0.0))
-    drift = F.abs(F.col("_tail") - F.col("_head"))
-    return kept.select("job_id", "median", "mad", "total_pairs", n.alias("valid_pairs"), offset.alias("offset"), sigma.alias("sigma"), confidence(n, sigma, min_pairs).alias("confidence"), drift.alias("drift"), F.coalesce(drift > DRIFT_SEC, F.lit(False)).alias("drift_detected"))
+    med = lambda a: F.try_divide(F.get(a, F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(a, F.floor(F.size(a) / 2).cast("int")), F.lit(2.0))
+    part = lambda name: F.sort_array(F.collect_list(F.when(F.col("window_name") == name, F.col("delta"))))
+    rows = deltas.groupBy("job_id").agg(F.sort_array(F.collect_list("delta")).alias("_all"), part("head").alias("_h"), part("tail").alias("_t"))
+    rows = rows.withColumn("median", med(F.col("_all"))).withColumn("total_pairs", F.size("_all"))
+    rows = rows.withColumn("mad", med(F.array_sort(F.transform("_all", lambda d: F.abs(d - F.col("median"))))))
+    rows = rows.withColumn("_in", F.filter("_all", lambda d: (F.col("mad") == 0) | (F.abs(d - F.col("median")) <= mad_k * F.col("mad"))))
+    rows = rows.withColumn("_kept", F.when(F.size("_in") > 0, F.col("_in")).otherwise(F.col("_all")))
+    total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, d: s + f(d))
+    n = F.size("_kept")
+    rows = rows.withColumn("_mean", total("_kept", lambda d: d) / n)
+    rows = rows.withColumn("sigma", F.when(n > 1, F.sqrt(total("_kept", lambda d: (d - F.col("_mean")) * (d - F.col("_mean"))) / (n - 1))).otherwise(F.lit(0.0)))
+    drift = F.abs(med(F.col("_t")) - med(F.col("_h")))
+    return rows.select("job_id", "median", "mad", "total_pairs", n.alias("valid_pairs"), med(F.col("_kept")).alias("offset"), "sigma", confidence(n, F.col("sigma"), min_pairs).alias("confidence"), drift.alias("drift"), F.coalesce(drift > DRIFT_SEC, F.lit(False)).alias("drift_detected"))
 
 
 def confidence(n: Column, sigma: Column, min_pairs: int) -> Column:
@@ -186,11 +193,12 @@ def half_even(value: Column, digits: int) -> Column:
     return run(value)
 
 
-def detect_offsets(jobs: DataFrame, primary: DataFrame, secondary: DataFrame, config: dict) -> DataFrame:
+def detect_offsets(jobs: DataFrame, primary: DataFrame, secondary: DataFrame, config: dict, sequence: bool = True, compatibility: bool = True) -> DataFrame:
     """One offset result a job: job_id and RESULT_FIELDS.
 
     ``jobs``: job_id of every job wanted. Modes: skip gives 0, manual the set value, both with
     HIGH confidence; auto estimates. A job without matches gets LOW confidence and zeros.
+    Without ``sequence`` or ``compatibility`` the matches do without those parts.
     """
     mode = config.get("mode", "auto")
     if mode in ("skip", "manual"):
@@ -199,7 +207,7 @@ def detect_offsets(jobs: DataFrame, primary: DataFrame, secondary: DataFrame, co
     if mode != "auto":
         raise ValueError(f"unknown offset mode {mode!r}")
     windows = sample_windows(primary, config["sample_windows"], config["window_duration_sec"])
-    deltas = match_windows(primary, secondary, windows, config["similarity_threshold"], config["vtt_search_margin_sec"], config["max_offset_sec"], config.get("use_reading_normalization", False))
+    deltas = match_windows(primary, secondary, windows, config["similarity_threshold"], config["vtt_search_margin_sec"], config["max_offset_sec"], config.get("use_reading_normalization", False), sequence, compatibility)
     stats = robust_stats(deltas, config["mad_k"], config["min_valid_pairs"])
     used = windows.groupBy("job_id").agg(F.collect_set("window_name").alias("_w"))  # three names at most
     order = F.array(*(F.lit(n) for n in config["sample_windows"])).cast("array<string>")
@@ -237,18 +245,22 @@ def apply_offset(cues: DataFrame, offsets: DataFrame) -> DataFrame:
     Starts are held at 0. Jobs without an offset are not shifted.
     """
     by = F.coalesce("applied_offset_sec", F.lit(0.0))
-    moved = cues.join(offsets.select("job_id", "applied_offset_sec"), "job_id", "left").withColumn("start", F.greatest(F.lit(0.0), F.col("start") - by)).withColumn("end", F.col("end") - by)
+    moved = with_group_values(cues, offsets.select("job_id", "applied_offset_sec"), "job_id", F.floor(F.col("pos") / ROW_SLOT)).withColumn("start", F.greatest(F.lit(0.0), F.col("start") - by)).withColumn("end", F.col("end") - by)
     return moved.where(F.col("end") > 0).drop("applied_offset_sec").select(*cues.columns)
 
 
 def excluded_counts(cues: DataFrame, offsets: DataFrame) -> DataFrame:
     """How many cues of each job the shift drops."""
     by = F.coalesce("applied_offset_sec", F.lit(0.0))
-    return cues.join(offsets.select("job_id", "applied_offset_sec"), "job_id", "left").groupBy("job_id").agg(F.count_if(F.col("end") - by <= 0).alias("excluded"))
+    return with_group_values(cues, offsets.select("job_id", "applied_offset_sec"), "job_id", F.floor(F.col("pos") / ROW_SLOT)).groupBy("job_id").agg(F.count_if(F.col("end") - by <= 0).alias("excluded"))
 
 
 def with_excluded(results: DataFrame, cues: DataFrame) -> DataFrame:
-    """Results with the number of secondary cues that their offset drops."""
+    """Results with the number of secondary cues that their offset drops.
+
+    The results are written once, as they are read both here and for the count.
+    """
+    results = written(results)
     got = excluded_counts(cues, results)
     return results.drop("excluded_vtt_cues").join(got, "job_id", "left").withColumn("excluded_vtt_cues", F.coalesce("excluded", F.lit(0))).drop("excluded")
 

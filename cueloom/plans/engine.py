@@ -44,7 +44,7 @@ def prepare(jobs: DataFrame, primary: DataFrame, secondary: DataFrame, config: d
     shifted = written(number_rows(offset.apply_offset(secondary, offsets).withColumnRenamed("pos", "_old"), ["job_id"], ["_old"], "pos", slot=F.floor(F.col("_old") / 4096)).drop("_old")) if dual else secondary.limit(0)
     index = written(primary.withColumn("uid", ids.cue_id(F.col("pos"))))
     chunks = written(chunking.split_into_chunks(primary, c["target_duration_sec"], c["search_window_stage1_sec"], c["search_window_stage2_sec"], c["gap_threshold_sec"]))
-    body = chunking.members(chunks, index).select("job_id", "chunk_index", F.lit("BODY").alias("role"), "pos")
+    body = chunking.members(chunks).select("job_id", "chunk_index", F.lit("BODY").alias("role"), "pos")
     around = chunking.contexts(chunks, index, c["overlap_sec"])
     cols = ["job_id", "chunk_index", "role", "pos", "uid", "speaker", "text"]
     own = body.unionByName(around.withColumn("pos", F.col("pos").cast("long"))).join(index.select("job_id", F.col("pos").cast("long").alias("pos"), "uid", "speaker", "text"), ["job_id", "pos"]).select(*cols)
@@ -67,7 +67,7 @@ def finalize(ready: Prepared, results: DataFrame, speaker_map: DataFrame | None,
         checkpoint.require_complete(status)
     utts = restore.with_defaults(restore.parse_results(results.join(ready.chunks.select("job_id", "chunk_index"), ["job_id", "chunk_index"], "left_semi")))
     if mode == "best_effort":
-        members = chunking.members(ready.chunks, ready.id_index)
+        members = chunking.members(ready.chunks)
         utts = utts.unionByName(restore.missing_chunks(ready.chunks, members, results))
     elif mode != "strict":
         raise ValueError(f"unknown completion mode {mode!r}")

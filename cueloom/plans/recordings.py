@@ -51,7 +51,7 @@ def chunk_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The body of every chunk."""
     chunks, cues = _chunks(spark, sf_dir)
-    return chunking.members(chunks, cues).withColumn("pos", F.col("pos").cast("long"))
+    return chunking.members(chunks).withColumn("pos", F.col("pos").cast("long"))
 
 
 def chunk_context(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,7 +148,7 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     chunks, cues = _chunks(spark, sf_dir)
-    body = chunking.members(chunks, cues).select("job_id", "chunk_index", F.lit("BODY").alias("role"), "pos")
+    body = chunking.members(chunks).select("job_id", "chunk_index", F.lit("BODY").alias("role"), "pos")
     ctx = chunking.contexts(chunks, cues).withColumn("pos", F.col("pos").cast("long"))
     look = cues.select("job_id", F.col("pos").cast("long").alias("pos"), "uid", "speaker", "text")
     return written(body.unionByName(ctx).join(look, ["job_id", "pos"])), chunks

@@ -12,25 +12,29 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cueloom.operators.intervals import IntervalMap
 
-_STATE = T.StructType([T.StructField(c, T.ArrayType(T.LongType())) for c in ("lo", "hi", "n")] + [T.StructField("until", T.LongType())])
+_STATE = T.StructType([T.StructField(c, T.ArrayType(T.LongType())) for c in ("lo", "hi", "n")] + [T.StructField("until", T.LongType()), T.StructField("bound", T.LongType())])
 
 
-def _update(entity: list[str], names: list[str]):
+def _update(names: list[str]):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        lo, hi, n, until = state.get if state.exists else ([], [], [], -1)
+        lo, hi, n, until, passed = state.get if state.exists else ([], [], [], None, None)
         held = IntervalMap(list(lo), list(hi), list(n))
+        rows: list[tuple] = []
         for batch in batches:
             for a, b in zip(batch["lo"].tolist(), batch["hi"].tolist(), strict=True):
-                held.insert(a, b)
+                if passed is not None and a < passed:  # what it may touch has been given out
+                    rows.append((*key, "late", a, b, 1))
+                else:
+                    held.insert(a, b)
         bound = state.getCurrentWatermarkMs()
-        closed = held.take_before(bound) if bound > 0 else []
-        rows = []
-        for a, b, k in closed:
-            rows.append((*key, "period", a, b, k))
-            if until >= 0 and a > until:
-                rows.append((*key, "gap", until, a, 0))
-            until = max(until, b)
-        state.update((held.lo, held.hi, held.n, until))
+        if bound > 0:
+            for a, b, k in held.take_before(bound):
+                rows.append((*key, "period", a, b, k))
+                if until is not None:
+                    rows.append((*key, "gap", until, a, 0))
+                until = b
+            passed = bound if passed is None else max(bound, passed)
+        state.update((held.lo, held.hi, held.n, until, passed))
         if held.lo:
             state.setTimeoutTimestamp(max(bound + 1, held.hi[0] + 1))
         if rows:
@@ -39,17 +43,20 @@ def _update(entity: list[str], names: list[str]):
     return run
 
 
-def stream_periods(rows: DataFrame, entity: list[str], event_time: str, lo: str, hi: str, late: str = "1 hour") -> DataFrame:
+def stream_periods(rows: DataFrame, entity: list[str], lo: str, hi: str, late: str = "1 hour") -> DataFrame:
     """Periods and gaps of a stream of intervals, given out once they can no longer change.
 
-    ``event_time`` is a TIMESTAMP of the interval's end, lo and hi are BIGINT milliseconds on the same
-    clock. An interval later than ``late`` behind the newest is dropped by the watermark.
-    Result: entity, kind (period, gap), from_ms, to_ms, n. State per entity is the map of open
-    intervals only, as closed ones leave it.
+    ``lo`` and ``hi`` are BIGINT milliseconds since the epoch. Event time is the interval's start: the watermark
+    stays ``late`` behind the newest start, and no interval that starts before it is taken in.
+    So a period that ended before the watermark can be touched by none that is still to come,
+    however long, and is final then. An interval whose start lies before the watermark is
+    dropped by Spark, or comes out with kind late where it reaches an entity that gave out
+    periods up to there. Rows with a null bound, or that end before they start, take no part.
+    Result: entity, kind (period, gap, late), from_ms, to_ms, n. State per entity is the map of
+    open intervals and two times, as closed ones leave it.
     """
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     fields = [T.StructField(c, kinds[c]) for c in entity]
     out = T.StructType([*fields, T.StructField("kind", T.StringType()), T.StructField("from_ms", T.LongType()), T.StructField("to_ms", T.LongType()), T.StructField("n", T.LongType())])
-    marked = rows.where(F.col(hi) >= F.col(lo)).withWatermark(event_time, late)
-    slim = marked.select(*entity, event_time, F.col(lo).alias("lo"), F.col(hi).alias("hi"))
-    return slim.groupBy(*entity).applyInPandasWithState(_update(entity, out.names), out, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    slim = rows.where(F.col(hi) >= F.col(lo)).select(*entity, F.timestamp_millis(F.col(lo)).alias("_start"), F.col(lo).alias("lo"), F.col(hi).alias("hi"))
+    return slim.withWatermark("_start", late).groupBy(*entity).applyInPandasWithState(_update(out.names), out, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
