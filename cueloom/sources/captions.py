@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cueloom.functions.text import strip_wide
 from cueloom.functions.timecode import parse_timecode
 
-_VTT_TIMES = r"^\s*(\d{1,}:\d{2}:\d{2}[.,]\d{3}|\d{2}:\d{2}[.,]\d{3})\s*-->\s*(\d{1,}:\d{2}:\d{2}[.,]\d{3}|\d{2}:\d{2}[.,]\d{3})"
+_VTT_TIMES = r"^\s*(\d{1,2}:\d{2}:\d{2}[.,]\d{3}|\d{2}:\d{2}[.,]\d{3})\s*-->\s*(\d{1,2}:\d{2}:\d{2}[.,]\d{3}|\d{2}:\d{2}[.,]\d{3})"
 _SRT_TIMES = r"^\s*(\d{2}:\d{2}:\d{2}[,.]\d{3})\s*-->\s*(\d{2}:\d{2}:\d{2}[,.]\d{3})"
 _VOICE = r"(?sU)^<v\s+([^>]+)>(.*?)(?:</v>)?$"
 _PREFIX = r"(?U)^(SPEAKER_\d+)\s*[:：]\s*"
