@@ -50,7 +50,8 @@ def missing_chunks(chunks: DataFrame, members: DataFrame, results: DataFrame) ->
     """Placeholder utterances of chunks without a good result, in the utterance columns."""
     open_ = chunks.join(results.where(F.col("status") == "ok").select("job_id", "chunk_index"), ["job_id", "chunk_index"], "left_anti")
     ids = members.join(open_.select("job_id", "chunk_index"), ["job_id", "chunk_index"], "left_semi").groupBy("job_id", "chunk_index").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "uid"))), lambda r: r["uid"]).alias("source_ids"))
-    note = F.concat(F.lit("（★ チャンク"), F.col("chunk_index").cast("string"), F.lit(" 処理失敗: "), F.format_string("%.0f–%.0f", "time_start", "time_end"), F.lit("秒）"))
+    whole = lambda c: F.bround(c, 0).cast("long").cast("string")
+    note = F.concat(F.lit("（★ チャンク"), F.col("chunk_index").cast("string"), F.lit(" 処理失敗: "), whole("time_start"), F.lit("–"), whole("time_end"), F.lit("秒）"))
     fixed = {
         "id": F.concat(F.lit("MISSING_CHUNK_"), F.col("chunk_index").cast("string")), "speaker": F.lit("SYSTEM"), "text": note, "category": F.lit("CONTENT"), "uncertain": F.lit(True), "uncertain_reason": F.lit("NONE"),
         "uncertain_span_ids": F.array().cast("array<string>"), "source": F.lit("PRIMARY"), "source_ids": F.col("source_ids"), "vtt_supplemented": F.lit(False), "edit_type": F.lit("UNRESOLVED"), "edit_note": F.lit("チャンク処理失敗"),

@@ -95,6 +95,51 @@ def read_job(spark: SparkSession, job_dir: Path, config: dict) -> tuple[DataFram
     return primary, cues(paths["zoom_vtt"]) if dual else primary.limit(0)
 
 
+def read_jobs(spark: SparkSession, root: str, config: dict) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Primary and secondary cues and speaker maps of all job folders under root; a job's id is its folder's name."""
+    inp = config["input"]
+
+    def contents(name: str) -> DataFrame:
+        raw = captions.read_captions(spark, f"{root}/*/{name}")
+        depth = len(Path(name).parts) + 1
+        return raw.select(F.element_at(F.split(F.url_decode("path"), "/"), -depth).alias("job_id"), "content")
+
+    def cues(name: str) -> DataFrame:
+        return written(captions.parse_vtt(contents(f"input/{name}"), ["job_id"]).withColumnRenamed("cue_index", "pos"))
+
+    primary = cues(inp["primary_vtt_filename"])
+    secondary = cues(inp["zoom_vtt_filename"]) if inp["use_secondary_vtt"] else primary.limit(0)
+    names = inp.get("speaker_map_path")
+    found = names and any(Path(root).glob(f"*/{names}"))
+    return primary, secondary, side.speaker_maps(contents(names)) if found else None
+
+
+def run_jobs(spark: SparkSession, root: str, out: str, config: dict, provider: str | None = None) -> DataFrame:
+    """Merges all job folders under root in one plan and writes their results under out.
+
+    out/offsets holds a JSON report a job, out/txt, srt, vtt and json the lines of all jobs, one
+    folder a job (job_id=...), and out/chunks the checkpoints, from which a second run goes on.
+    Returns completed, failed and pending chunks of every job.
+    """
+    primary, secondary, names = read_jobs(spark, root, config)
+    dual, api, logs = config["input"]["use_secondary_vtt"], config["api"], config["logging"]
+    ready = prepare(primary.select("job_id").distinct(), primary, secondary, config)
+    offset.report(ready.offsets).write.mode("overwrite").partitionBy("job_id").text(f"{out}/offsets")
+    table = checkpoint.CheckpointTable(spark, f"{out}/chunks")
+    todo = checkpoint.targets(ready.chunks.select("job_id", "chunk_index"), table.completed())
+    asked = prompts(ready).join(todo, ["job_id", "chunk_index"], "left_semi")
+    service = provider or api["provider"]
+    answers = annotate.annotate(asked, service, None, dual, None, api["max_retries"], api["max_validation_retries"], api["backoff_base_sec"], logs["save_prompt"], logs["save_raw_response"])
+    table.save(checkpoint.with_meta(written(answers), ready.chunks, ready.parts, ready.offsets, service, api["model"]))
+    results = table.load()
+    utterances = written(finalize(ready, results, names, config["output"]["completion_mode"]))
+    formats = config["output"].get("formats") or list(render.FILE_NAMES)
+    for kind, lines in (("txt", render.txt_lines), ("srt", render.srt_lines), ("vtt", render.vtt_lines), ("json", render.json_lines)):
+        if kind in formats:
+            render.write_lines(lines(utterances), f"{out}/{kind}")
+    return checkpoint.status_counts(checkpoint.completion_status(ready.chunks, results))
+
+
 def dump_exchanges(results: DataFrame, folder: Path) -> None:
     """Files of the prompts and raw answers that results hold, chunk by chunk; earlier attempts have their number in the name."""
     for row in results.select("chunk_index", "prompts", "answers").where(F.col("prompts").isNotNull() | F.col("answers").isNotNull()).toLocalIterator():

@@ -70,6 +70,11 @@ def json_rows(utterances: DataFrame) -> DataFrame:
     return ordered(utterances).select("job_id", "seq", F.to_json(F.struct(*JSON_FIELDS), {"ignoreNullFields": "false"}).alias("utterance"))
 
 
+def json_lines(utterances: DataFrame) -> DataFrame:
+    """Lines of a file of one JSON object an utterance."""
+    return json_rows(utterances).select("job_id", "seq", F.lit(0).alias("part"), F.col("utterance").alias("line"))
+
+
 def documents(lines: DataFrame) -> DataFrame:
     """job_id and the joined lines; for jobs whose text fits a cell."""
     rows = F.sort_array(F.collect_list(F.struct("seq", "part", "line")))

@@ -56,6 +56,12 @@ def read_context_prompt(folder: str | Path) -> str | None:
     return None
 
 
+def speaker_maps(files: DataFrame) -> DataFrame:
+    """job_id, speaker_label, display_name of speaker maps of many jobs: files has job_id and content (JSON)."""
+    pairs = F.from_json("content", "map<string,string>")
+    return files.select("job_id", F.explode(pairs).alias("speaker_label", "display_name")).where(F.col("display_name").isNotNull())
+
+
 def read_speaker_map(path: str | Path | None) -> dict[str, str]:
     """Label to name; a missing path or file maps nothing."""
     if not path or not Path(path).exists():

@@ -57,6 +57,27 @@ def test_whole_job(spark, job):
     assert again["total_utterances"] == 150
 
 
+def test_many_jobs(spark, job, tmp_path):
+    import shutil
+
+    root, out = tmp_path / "jobs", tmp_path / "out"
+    for name in ("one", "job two"):
+        shutil.copytree(job, root / name)
+    (root / "job two" / "map.json").write_text("{}")
+    config = load_config(None, None)
+    config["input"]["speaker_map_path"] = "map.json"
+    got = {r["job_id"]: r for r in engine.run_jobs(spark, str(root), str(out), config, "merge").collect()}
+    assert set(got) == {"one", "job two"} and all(r["failed"] == r["pending"] == 0 and r["completed"] > 1 for r in got.values())
+    lines = {k: {r["job_id"]: r["n"] for r in spark.read.text(f"{out}/{k}").groupBy("job_id").agg(F.count("*").alias("n")).collect()} for k in ("txt", "srt", "vtt", "json")}
+    assert lines["json"] == {"one": 150, "job two": 150} and lines["srt"]["one"] == 600 and lines["vtt"]["job two"] == 452
+    text = "\n".join(r["value"] for r in spark.read.text(f"{out}/txt/job_id=one").collect())
+    assert text.startswith("山田\n0番目")
+    reports = {r["job_id"]: json.loads(r["value"]) for r in spark.read.text(f"{out}/offsets").collect()}
+    assert reports["one"]["applied_offset_sec"] == pytest.approx(12.0)
+    again = engine.run_jobs(spark, str(root), str(out), config, "faulty").collect()  # nothing is left to annotate
+    assert all(r["failed"] == 0 for r in again)
+
+
 def test_policies(spark, job):
     strict = load_config(None, job, {"single_vtt": True})
     strict["api"]["backoff_base_sec"] = 0
