@@ -1,9 +1,8 @@
 """Runs of equal neighbours in ordered sequences, for groups of any size.
 
 A group may hold a third of all rows, so no window spans a whole group. The order axis
-is cut into slots; each slot is one small window partition, and it also receives the
-last row of the slot before it. Only the fragments at slot edges, two a slot at most,
-meet in a second window that joins runs reaching over an edge.
+is cut into slots; each slot is one small window partition. Only the fragments at slot
+edges, two a slot at most, meet in a second window that joins runs reaching over an edge.
 """
 
 from __future__ import annotations
@@ -21,16 +20,6 @@ def slot_of(ms: Column, slot_ms: int = SLOT_MS) -> Column:
     return F.floor(ms / F.lit(slot_ms))
 
 
-def carried(rows: DataFrame, group: list[str], order: str, payload: list[str]) -> DataFrame:
-    """For each slot but the first of a group, the last row of the slot before it.
-
-    Columns: group, _slot (that of the receiving slot), order and payload. One row a slot.
-    """
-    last = rows.groupBy(*group, "_slot").agg(F.max_by(F.struct(order, *payload), order).alias("_l"))
-    w = Window.partitionBy(*group).orderBy("_slot")
-    return last.withColumn("_p", F.lag("_l").over(w)).where(F.col("_p").isNotNull()).select(*group, "_slot", "_p.*")
-
-
 def runs(
     rows: DataFrame,
     group: list[str],
@@ -43,53 +32,47 @@ def runs(
     """One row for each longest run of neighbours that do not differ.
 
     ``rows``: group columns, ``order`` (BIGINT milliseconds, not null, unique in its group;
-    ties are broken by payload) and payload columns. ``differs(before, now)`` gets two
+    ties are broken by payload) and payload columns; where they are partitioned by group and
+    by slot_of(order) as ``_slot`` already, they are not shuffled again. ``differs(before, now)`` gets two
     accessors from column name to Column and returns whether a run ends between the rows;
     null counts as a difference. Result: group columns, ``first`` and ``last`` (structs of
     order and payload, or of order and the payload columns named in ``keep``) and ``n`` (rows of the run). An empty table gives an empty result; a
     group of one row gives a run of one.
 
     Boundary rows alone go on: position differences between successive boundaries are
-    the counts, and what precedes the next boundary is the last row of a run.
+    the counts, and what precedes the next boundary is the last row of a run. Runs are
+    found inside slots first; the first and the last of each slot, which carry the whole row at
+    the slot's edge, then meet those of the slots beside.
     """
     cols = [order, *payload]
-    body = rows.select(*group, *cols).withColumn("_slot", slot_of(F.col(order), slot_ms)).repartition(*group, "_slot")
-    head = carried(body, group, order, payload).withColumn("_carry", F.lit(True))
-    all_rows = body.withColumn("_carry", F.lit(False)).unionByName(head.select(*body.columns, "_carry"))
+    kept = F.struct(order, *(payload if keep is None else keep))
+    body = rows if "_slot" in rows.columns else rows.select(*group, *cols).withColumn("_slot", slot_of(F.col(order), slot_ms)).repartition(*group, "_slot")
     w = Window.partitionBy(*group, "_slot").orderBy(order, *payload)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = lambda c: F.col(f"_prev.{c}")
-    kept = F.struct(order, *(payload if keep is None else keep))
+    of = lambda name: lambda c: F.col(f"{name}.{c}")
+    full = F.struct(*cols)
     marked = (
-        all_rows.withColumn("_kept", kept)
-        .withColumn("_prev", F.lag(F.struct(*cols)).over(w))
-        .withColumn("_prev_kept", F.lag("_kept").over(w))
+        body.withColumn("_prev", F.lag(full).over(w))
         .withColumn("_pos", F.row_number().over(w))
-        .withColumn("_was_carry", F.lag("_carry").over(w))
-        .withColumn("_final", F.last("_kept").over(whole))
         .withColumn("_size", F.count(F.lit(1)).over(whole))
-        .where(~F.col("_carry"))
-        .withColumn("_new", F.coalesce(differs(before, F.col), F.lit(True)) | F.col("_prev").isNull())
-        .withColumn("_opens", F.col("_prev").isNull() | F.coalesce(F.col("_was_carry"), F.lit(False)))
-        .where(F.col("_new") | F.col("_opens"))
-        .select(*group, "_slot", "_pos", "_kept", "_prev_kept", "_final", "_size", "_new", "_opens")
+        .withColumn("_end", F.last(full).over(whole))
+        .withColumn("_new", F.col("_prev").isNull() | F.coalesce(differs(of("_prev"), F.col), F.lit(True)))
+        .where("_new")
+        .select(*group, "_slot", "_pos", kept.alias("first"), F.struct(*(F.col(f"_prev.{c}").alias(c) for c in [order, *(payload if keep is None else keep)])).alias("_prev_kept"), F.when(F.col("_pos") == 1, full).alias("_head"), "_end", "_size")
     )
     wp = Window.partitionBy(*group, "_slot").orderBy("_pos")
-    frags = (
-        marked.withColumn("_next", F.lead("_pos").over(wp))
-        .withColumn("last", F.coalesce(F.lead("_prev_kept").over(wp), F.col("_final")))
-        .withColumn("n", F.coalesce(F.col("_next"), F.col("_size") + 1) - F.col("_pos"))
-        .withColumn("_tail", F.col("_next").isNull())
-        .select(*group, "_slot", F.col("_kept").alias("first"), "last", "n", "_new", "_opens", "_tail")
-    )
-    # Inner fragments keep their slot as bucket and stay alone; those at an edge share one bucket.
-    edge = F.col("_tail") | ~F.col("_new")
-    wb = Window.partitionBy(*group, "_bucket").orderBy("_slot", F.col(f"first.{order}"))
+    nxt = F.lead("_pos").over(wp)
+    end_kept = F.struct(*(F.col(f"_end.{c}").alias(c) for c in [order, *(payload if keep is None else keep)]))
+    frags = marked.select(
+        *group, "_slot", "first", F.coalesce(F.lead("_prev_kept").over(wp), end_kept).alias("last"), (F.coalesce(nxt, F.col("_size") + 1) - F.col("_pos")).alias("n"),
+        "_head", F.when(nxt.isNull(), F.col("_end")).alias("_tail"), (F.col("_head").isNotNull() | nxt.isNull()).alias("_edge"),
+    )
+    # Fragments inside a slot are runs; those at its edges, two a slot at most, are compared with their neighbours.
+    wg = Window.partitionBy(*group, "_at").orderBy("_slot", F.col(f"first.{order}"))
     at = F.struct("_slot", F.col(f"first.{order}").alias("_o"))
-    return (
-        frags.withColumn("_bucket", F.when(edge, F.struct(F.lit(True).alias("e"), F.lit(None).cast("long").alias("s"))).otherwise(F.struct(F.lit(False).alias("e"), F.col("_slot").cast("long").alias("s"))))
-        .withColumn("_chain", F.sum(F.col("_new").cast("long")).over(wb))
-        .groupBy(*group, "_bucket", "_chain")
-        .agg(F.min_by("first", at).alias("first"), F.max_by("last", at).alias("last"), F.sum("n").alias("n"))
-        .drop("_bucket", "_chain")
-    )
+    # Inner fragments stay alone under their own key.
+    met = frags.withColumn("_at", F.when(~F.col("_edge"), F.struct("_slot", F.col(f"first.{order}").alias("_o")))).withColumn("_before", F.lag("_tail").over(wg))
+    opens = ~F.col("_edge") | F.col("_head").isNull() | F.col("_before").isNull()
+    chained = met.withColumn("_opens", F.when(opens, F.lit(True)).otherwise(F.coalesce(differs(of("_before"), of("_head")), F.lit(True)))).withColumn("_chain", F.sum(F.col("_opens").cast("long")).over(wg))
+    out = chained.groupBy(*group, "_at", "_chain").agg(F.min_by("first", at).alias("first"), F.max_by("last", at).alias("last"), F.sum("n").alias("n"))
+    return out.drop("_at", "_chain")

@@ -48,7 +48,7 @@ def digit_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weighted similarity of every cue and the next."""
-    return _neighbours(spark, sf_dir).select("job_id", "pos", F.round(text.similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+    return _neighbours(spark, sf_dir).select("job_id", "pos", F.round(text.similarity(F.col("a"), F.col("b")), 9).alias("similarity"))
 
 
 def sequence_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,7 +291,7 @@ SELECT job_id, pos, hms || '.' || ms AS vtt, hms || ',' || ms AS srt, round(floo
     "offset_stats": _MATCHES + _STATS + """SELECT job_id, round(median, 3) AS median, round(mad, 3) AS mad, total_pairs, valid_pairs, round("offset", 3) AS "offset", round(sigma, 3) AS sigma, confidence, round(drift, 3) AS drift, drift_detected FROM stats""",
     "normalize_text": "WITH " + nfkc_sql("d", "documents", "text") + f" SELECT doc_id, {_norm_sql('text')} AS normalized FROM d",
     "sequence_ratio": _HYBRID + " SELECT job_id, pos, round(ratio, 6) AS ratio FROM ratios",
-    "hybrid_similarity": _HYBRID + f""" SELECT job_id, pos, round(CASE WHEN a = '' OR b = '' THEN 0.0::DOUBLE ELSE 0.5::DOUBLE * {_JACCARD.format('ga', 'gb')} + 0.3::DOUBLE * ratio + 0.2::DOUBLE * (CASE WHEN len(da) + len(db) = 0 THEN 0.5::DOUBLE ELSE {_JACCARD.format('da', 'db')} END) END, 6) AS similarity
+    "hybrid_similarity": _HYBRID + f""" SELECT job_id, pos, round(CASE WHEN a = '' OR b = '' THEN 0.0::DOUBLE ELSE 0.5::DOUBLE * {_JACCARD.format('ga', 'gb')} + 0.3::DOUBLE * ratio + 0.2::DOUBLE * (CASE WHEN len(da) + len(db) = 0 THEN 0.5::DOUBLE ELSE {_JACCARD.format('da', 'db')} END) END, 9) AS similarity
 FROM q LEFT JOIN ratios USING (job_id, pos)""",
     "offset_match_full": _FULL_MATCHES + "SELECT job_id, window_name, pos, secondary_pos, round(score, 6) AS score, round(delta, 3) AS delta FROM matches",
     "offset_results_plain": _MATCHES + _RESULTS,
