@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cueloom.llm.speech import said_key
-from cueloom.operators.runs import SLOT_MS, runs
-from cueloom.session import written
+from cueloom.operators.runs import SLOT_MS, runs, slot_of
 
 
 @F.pandas_udf(T.StringType())
@@ -38,18 +39,24 @@ def edits(a: str, b: str) -> int:
     return one[-1]
 
 
+# Characters that are numbers without being digits.
+NUMERALS = frozenset("〇零一二三四五六七八九十百千万億两")
+
+
 def alike(a: str, b: str) -> bool:
     """Whether both keys can be one intended text with at most one letter misheard in each.
 
-    Numbers must agree. One edit between the keys is one misheard letter; two edits are
-    one in each, if letters between them agree or one is a letter said twice, as two
-    neighbouring edits are otherwise rather another word.
+    Numbers must agree, written in digits or in Han. One edit between the keys is one misheard
+    letter; two edits are one in each, if letters between them agree or one is a letter said
+    twice, as two neighbouring edits are otherwise rather another word. At any length, two
+    letters must agree for each one that does not: where less is left in common nothing tells
+    a misheard letter from another word.
     """
     if a == b:
         return True
-    short = min(len(a), len(b))
-    if abs(len(a) - len(b)) > 2 or short < 3 or regex.findall(r"\d+", a) != regex.findall(r"\d+", b):
+    if abs(len(a) - len(b)) > 2 or regex.findall(r"\d+", a) != regex.findall(r"\d+", b):
         return False
+    short = min(len(a), len(b))
     head = 0
     while head < short and a[head] == b[head]:
         head += 1
@@ -58,17 +65,20 @@ def alike(a: str, b: str) -> bool:
         tail += 1
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
     far = max(len(x), len(y))
+    if far <= 2 and not NUMERALS.isdisjoint(x + y):
+        return False
+    one, two = head + tail >= 2, head + tail >= 4
     if not x or not y:
         if far == 1:
-            return True  # one letter lost or said twice
+            return one  # one letter lost or said twice
         # One letter lost here and one said twice there: the latter stands beside its like.
         full, at = (a, head) if x else (b, head)
-        return far == 2 and short >= 8 and (full[at] == full[at + 1] or full[at + 1 : at + 3] == full[at + 1] * 2 or at > 0 and full[at - 1] == full[at])
+        return far == 2 and two and (full[at] == full[at + 1] or full[at + 1 : at + 3] == full[at + 1] * 2 or at > 0 and full[at - 1] == full[at])
     if far == 1:
-        return short >= 8  # one letter replaced
+        return one  # one letter replaced
     if len(x) == 2 and x == y[::-1]:
-        return True
-    return short >= 8 and far >= 3 and edits(x, y) <= 2
+        return one  # two neighbours swapped
+    return far >= 3 and short - 2 >= 4 and edits(x, y) <= 2
 
 
 @F.pandas_udf(T.BooleanType())
@@ -76,20 +86,28 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([x is not None and alike(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
-def _differs(before, now) -> Column:
+def _differs(before: Callable[[str], Column], now: Callable[[str], Column]) -> Column:
+    return before("key") != now("key")
+
+
+def _close(before: Callable[[str], Column], now: Callable[[str], Column]) -> Column:
+    """Whether two unequal keys can still be alike, by a bounded distance in the JVM."""
     a, b = before("key"), now("key")
-    near = (F.abs(F.length(a) - F.length(b)) <= 2) & (F.levenshtein(a, b, 4) >= 0)
-    # Python sees a pair only where the JVM's bounded distance leaves it open.
-    open_pair = F.when((a != b) & near, a)
-    return (a != b) & ~_alike(open_pair, b)
+    return (F.abs(F.length(a) - F.length(b)) <= 2) & (F.levenshtein(a, b, 4) >= 0)
+
+
+def _same(before: Callable[[str], Column], now: Callable[[str], Column]) -> Column:
+    return _alike(before("key"), now("key"))
 
 
-def _cue_runs(cues: DataFrame, slot_ms: int, keep: list[str]) -> DataFrame:
-    slim = cues.where(F.col("start_sec").isNotNull()).select(
-        "job_id", "source", "cue_index", F.round(F.col("start_sec") * 1000).cast("long").alias("start_ms"), F.round(F.col("end_sec") * 1000).cast("long").alias("end_ms"), spoken_key("text").alias("key")
-    )
-    once = slim.where(F.col("key") != "").withColumn("_slot", F.floor(F.col("start_ms") / slot_ms)).repartition("job_id", "source", "_slot").dropDuplicates(["job_id", "source", "_slot", "cue_index"]).drop("_slot")
-    return runs(written(once), ["job_id", "source"], "start_ms", ["cue_index", "end_ms", "key"], _differs, slot_ms, keep)
+def _cue_runs(cues: DataFrame, slot_ms: int, keep: list[str], least: int = 1) -> DataFrame:
+    """Runs of at least so many cues over the comparable form of each."""
+    slim = cues.where(F.col("start_sec").isNotNull()).select("job_id", "source", "cue_index", F.round(F.col("start_sec") * 1000).cast("long").alias("start_ms"), F.round(F.col("end_sec") * 1000).cast("long").alias("end_ms"), spoken_key("text").alias("key"))
+    slots = slim.where(F.col("key") != "").withColumn("_slot", slot_of(F.col("start_ms"), slot_ms)).repartition("job_id", "source", "_slot")
+    # Deliveries of one key carry the same content, so they are neighbours in the order that the runs need anyway.
+    w = Window.partitionBy("job_id", "source", "_slot").orderBy("start_ms", "cue_index", "end_ms", "key")
+    once = slots.withColumn("_before", F.lag("cue_index").over(w)).where(~F.col("_before").eqNullSafe(F.col("cue_index"))).drop("_before")
+    return runs(once, ["job_id", "source"], "start_ms", ["cue_index", "end_ms", "key"], _differs, slot_ms, keep, least, _close, _same)
 
 
 def cue_events(cues: DataFrame, slot_ms: int = SLOT_MS) -> DataFrame:
@@ -108,5 +126,5 @@ def cue_events(cues: DataFrame, slot_ms: int = SLOT_MS) -> DataFrame:
 
 def repeated(cues: DataFrame, slot_ms: int = SLOT_MS) -> DataFrame:
     """The events of two cues or more: job_id, source, first_cue_index, last_cue_index."""
-    found = _cue_runs(cues, slot_ms, ["cue_index"]).where(F.col("n") >= 2)
+    found = _cue_runs(cues, slot_ms, ["cue_index"], 2)
     return found.select("job_id", "source", F.col("first.cue_index").alias("first_cue_index"), F.col("last.cue_index").alias("last_cue_index"))

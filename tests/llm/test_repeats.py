@@ -38,3 +38,14 @@ def test_slots_do_not_matter(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     whole = {tuple(r) for r in repeats.repeated(df, 10**10).collect()}
     assert whole == {tuple(r) for r in repeats.repeated(df, 20_000).collect()} and len(whole) > 10
+
+
+def test_alike_at_any_length():
+    for a, b in (("hello", "hallo"), ("hello", "helo"), ("right", "rihgt"), ("okay", "okey"), ("分かりました", "分かりまし")):
+        assert repeats.alike(a, b) and repeats.alike(b, a), (a, b)
+    for a, b in (("ja", "na"), ("no", "so"), ("三人です", "二人です"), ("会議は三時から始まりますので", "会議は二時から始まりますので"), ("abcd", "xycd"), ("", "a"), ("a", "")):
+        assert not repeats.alike(a, b) and not repeats.alike(b, a), (a, b)
+    words = "the overseas office sent it back"
+    for n in range(1, 7):  # what is accepted does not hang on a length
+        short = "".join(words.split()[:n])
+        assert repeats.alike(short, short.replace("h", "n", 1)) == (len(short) > 2), short
