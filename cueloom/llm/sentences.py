@@ -62,10 +62,16 @@ CARRY_ON = {
     "ar": "ثم و فـ لكن أو".split(),
 }
 
+# More characters than any pattern of a rule can ask for before the mark it ends with; a test compares them.
+LOOK_BACK = 40
+# Columns from which a line without an end mark counts as wrapped rather than ended; wide characters take two.
+WRAP_WIDTH = 40
 _CLOSE = "\"”’»“」』）)\\]】〉》"
 _OPEN = "\"“„«‹「『（(\\[【〈《¿¡‘"
-_QUOTED = re.compile(r"“[^”“\n]{0,400}(?:\n[^”“\n]{0,400})?”|„[^“”\n]{0,400}(?:\n[^“”\n]{0,400})?[“”]|«[^»\n]{0,400}(?:\n[^»\n]{0,400})?»|「[^」\n]{0,400}(?:\n[^」\n]{0,400})?」|『[^』\n]{0,400}(?:\n[^』\n]{0,400})?』|\"[^\"\n]{1,400}(?:\n[^\"\n]{1,400})?\"|（[^）\n]{0,400}(?:\n[^）\n]{0,400})?）|\([^()\n]{0,400}(?:\n[^()\n]{0,400})?\)|(?<!\S)\[[^\]\n]{0,400}\]")
+# Signs that open a quotation or bracket and those that can close it.
+_PAIRS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", '"': '"'}
 _QUOTE_SIGNS = re.compile(r"[“„«「『\"（(\[]")
+_PAIR_SIGNS = re.compile(r"[“”„«»「」『』（）()\[\]\"]|\n[ \t\r　]*(?:\n\s*)?")
 _THAI = re.compile(r"[฀-๿]")
 _MARKS = r"[.!?…。．｡！？।॥؟۔]+"
 _CANDIDATE = re.compile(rf"{_MARKS}(?:\s?»|[{_CLOSE}]+)*|\n[ \t\r　]*(?:\n\s*)?")
@@ -309,7 +315,7 @@ def _first(rules: list[Rule | None], text: str, p: int, q: int, lower: bool, mar
             continue
         if before:
             if window is None:
-                window = text[max(0, p - 26 - mark) : p]
+                window = text[max(0, p - LOOK_BACK - mark) : p]
             if not before.search(window):
                 continue
         return ends
@@ -335,6 +341,46 @@ def _language_rules(text: str, p: int, lower: bool) -> list[Rule]:
     return LANGUAGE_NO_BREAK[lang][lower] if lang else []
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Start and end of the outermost quotations and brackets, whatever their length.
+
+    Signs are paired on a stack in one pass. Blank lines and lines that begin like an item or with a
+    label end what is open; so does any line break for a square bracket. Signs without a partner
+    do not count. The straight sign opens after a blank and closes after anything else, but
+    where no blanks stand around it they take turns.
+    """
+    found: list[tuple[int, int]] = []
+    held: list[tuple[str, int]] = []
+    n = len(text)
+    for m in _PAIR_SIGNS.finditer(text):
+        at, sign = m.start(), m[0]
+        if sign[0] == "\n":
+            if sign.count("\n") > 1 or _HEAD.match(text, at + 1):
+                held = []
+            elif held:
+                held = [h for h in held if h[0] != "["]
+            continue
+        if sign == '"':
+            blank_before, blank_after = at == 0 or text[at - 1].isspace(), at + 1 == n or text[at + 1].isspace()
+            closes = any(h[0] == '"' for h in held) and (not blank_before or blank_after)
+            if not closes and blank_after and not blank_before:
+                continue  # nothing is open
+        else:
+            closes = any(sign in _PAIRS[h[0]] for h in held)
+        if closes:
+            while True:
+                opened, start = held.pop()
+                if sign in _PAIRS[opened]:
+                    break
+            while found and found[-1][0] > start:
+                found.pop()
+            if opened != '"' or at > start + 1:
+                found.append((start, at + 1))
+        elif sign in _PAIRS and (sign != "[" or at == 0 or text[at - 1].isspace()):
+            held.append((sign, at))
+    return found
+
+
 def _width(s: str) -> int:
     return len(s) + sum(1 for c in s if c > "\u2e7f") if not s.isascii() else len(s)
 
@@ -350,7 +396,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
         lower = low * 2 > sum(1 for c in starts if c.lower() != c.upper())
     spans: list[tuple[int, int]] = []
     if _QUOTE_SIGNS.search(text):
-        spans = [m.span() for m in _QUOTED.finditer(text)]
+        spans = quotations(text)
     k, n_spans = 0, len(spans)
     pattern = _CANDIDATE
     if not text.isascii():
@@ -407,7 +453,7 @@ def _breaks(text: str, a: int, line_start: int, fresh: bool, lower: bool) -> boo
     body = text[line_start:a].rstrip()
     if not body:
         return True
-    signs = FRESH * fresh | WIDE * (_width(body) >= 40) | ENDED * (_END_OF_LINE.search(body[-8:]) is not None)
+    signs = FRESH * fresh | WIDE * (_width(body) >= WRAP_WIDTH) | ENDED * (_END_OF_LINE.search(body[-8:]) is not None)
     if _HEAD.match(text, a + 1):
         signs |= HEAD | PARTICLE * (_PARTICLE_END.search(body) is not None)
         return bool(_first(_rules("line_head", signs), text, a + 1, a + 1, lower, 0, line_start))

@@ -73,3 +73,53 @@ def test_column(spark):
     df = spark.createDataFrame([(1, "One. Two."), (2, None), (3, ""), (4, " \n "), (5, "x" * 100_000)], "doc_id long, text string").selectExpr("*", "1 as start_char")
     assert sorted(tuple(r) for r in split_sentences(df).collect()) == [(1, 0, 4), (1, 5, 9), (5, 0, 100_000)]
     assert split_sentences(df.limit(0)).count() == 0
+
+
+def cut(text):
+    return [text[a:b] for a, b in sentences(text)]
+
+
+def test_words_that_are_abbreviations_elsewhere():
+    for text in ("I told you so. Then he left the room.", "Please give it to me. We will check it.", "Yes, I do. The plan is fine.", "Das passt so. Schritt 37 ist fertig."):
+        assert len(cut(text)) == 2, text
+
+
+def test_quotations_of_any_length():
+    for n in (3, 30, 3000):
+        for a, b in ("“”", "„“", "«»", "「」", '""', "()"):
+            inside = " ".join(f"Number {i} is here." for i in range(n))
+            assert len(cut(f"Then {a}{inside}{b} was read. The end.")) == 2, (n, a)
+    wrapped = "She said “we have looked at every single item of the list\nand found. That none of them is missing at all in the end\nso we go on” and left. The end."
+    assert len(cut(wrapped)) == 2
+    assert len(cut("He (who else. came. The door was open. Nobody asked.")) == 3  # never closed
+    assert len(cut("A “B is. C is.\n\nD is. E is” f.")) > 3  # a blank line ends it
+    assert tables.quotations('say "a (b) c" and (x [y] z)') == [(4, 13), (18, 27)]
+    assert tables.quotations('a" b') == [] and tables.quotations("") == []
+
+
+def test_rules_look_back_far_enough():
+    import re
+
+    parse = re._parser
+    both_tables = [t for c in tables.CASCADES.values() for _, _, t in c if t] + [t for both in tables.LANGUAGE_NO_BREAK.values() for t in both]
+    for rule in (r for t in both_tables for r in t if r.before):
+        bounded = rule.before.pattern.replace(tables._MARKS_BEFORE, "").replace("[.!?…]+", "").replace(r"\s*", r"\s?")
+        assert parse.parse(bounded, rule.before.flags).getwidth()[1] <= tables.LOOK_BACK, rule.before.pattern
+
+
+def test_order_of_rules_decides():
+    text = "We met Dr. Smith. He left."
+    assert len(cut(text)) == 2
+    table = tables.GENERAL_NO_BREAK
+    first = tables.Rule(True, 0, 0, None, None, None, None)
+    table.insert(0, first)
+    tables._rules.cache_clear()
+    try:
+        assert len(cut(text)) == 3
+        table.remove(first)
+        table.append(first)  # behind the rule of abbreviations it changes nothing
+        tables._rules.cache_clear()
+        assert len(cut(text)) == 2
+    finally:
+        table.remove(first)
+        tables._rules.cache_clear()
