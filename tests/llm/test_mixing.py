@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -30,6 +31,48 @@ def test_mix(spark):
     assert {tuple(r) for r in mixing.mix(df, targets)[0].collect()} == {tuple(r) for r in rows}  # the same on every run
 
 
+def test_inclusion_frequencies(spark):
+    """300 sources of the same documents are 300 draws: sizes are fixed, frequencies those asked for."""
+    rng = random.Random(2)
+    sizes = [rng.choice([3, 3, 3, 10, 40, 70, 90, 300, 301, 302, 900]) for _ in range(40)]
+    draws = 300
+    docs = [(s * 100 + i, "word " * n, f"s{s}") for s in range(draws) for i, n in enumerate(sizes)] + [(10**6, "word " * int(sum(sizes) * 0.4), "small")]
+    targets = [(f"s{s}", 1.0, 1) for s in range(draws)] + [("small", 1.0, 1)]
+    got, goals = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(8), spark.createDataFrame(targets, TARGETS))
+    rows = got.where("source <> 'small'").collect()
+    tokens = {r["doc_id"] % 100: r["tokens"] for r in rows}
+    times = {i: sum(r["doc_id"] % 100 == i for r in rows) for i in range(40)}
+    assert len(tokens) == 40
+    wanted = goals.where("source = 's0'").first()["wanted"]
+    by_size: dict[int, list[int]] = {}
+    for n in tokens.values():
+        by_size.setdefault(n if n < 64 else 64 + int(math.log2(n / 64) * 16), []).append(n)
+    classes = [(k, len(v), sum(v)) for k, v in by_size.items()]
+    scale = mixing.scale_for(wanted, classes)
+    for i, n in tokens.items():
+        chance = min(1.0, scale * n**-mixing.SHORT_BIAS)
+        assert abs(times[i] / draws - chance) < 4.5 * (chance * (1 - chance) / draws) ** 0.5 + 0.01, (n, times[i] / draws, chance)
+    totals = {s: 0 for s in range(draws)}
+    for r in rows:
+        totals[r["doc_id"] // 100] += r["tokens"]
+    assert max(abs(t - wanted) for t in totals.values()) <= max(tokens.values())
+    assert abs(sum(totals.values()) / draws - wanted) < 0.02 * wanted
+
+
+def test_sample_sizes_leave_little_over():
+    rng = random.Random(4)
+    for _ in range(100):
+        sizes = [max(1, int(rng.lognormvariate(5, 1.3))) for _ in range(5000)]
+        by: dict[int, list[int]] = {}
+        for n in sizes:
+            by.setdefault(n if n < 64 else 64 + int(math.log2(n / 64) * 16), []).append(n)
+        classes = [(k, len(v), sum(v)) for k, v in by.items()]
+        rest = rng.randint(1, sum(sizes))
+        got = mixing.sample_sizes(rest, classes, mixing.scale_for(rest, classes), rng)
+        assert all(0 <= got[k] <= n for k, n, _ in classes)
+        assert abs(rest - sum(t / n * got[k] for k, n, t in classes)) < 0.005 * sum(sizes)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     got, goals = mixing.mix(df, spark.createDataFrame([("a", 1.0, 1)], TARGETS))
