@@ -48,3 +48,18 @@ def test_chunks(spark):
     assert [c["uid"] for c in second["context_before"]] == [first["srt_ids"][-1]]
     assert first["time_range"]["start_sec"] == 60.0
     assert pieces.chunk_pieces(chunks.limit(0), index, 360_000).count() == 0
+
+
+def test_least_count_is_not_passed_over():
+    """One entry every second and a limit that 41 pieces meet, though 40 do not."""
+    start = [i * 1000 for i in range(410)]
+    end = [s + 1000 for s in start]
+    cuts = pieces.balanced_cuts(start, end, [0.0] * 410, 10_000)
+    assert len(cuts) + 1 == 41
+
+
+def test_entry_over_the_limit_is_marked(spark):
+    index = spark.createDataFrame([("j", "U000001", 0.0, 900.0, "A", None), ("j", "U000002", 901.0, 950.0, "A", "x")], INDEX)
+    chunks = spark.createDataFrame([("j", 0, ["U000001", "U000002"], 1, "c")], CHUNKS)
+    got = pieces.chunk_pieces(chunks, index, 360_000).orderBy("piece_index").collect()
+    assert [(r["srt_ids"], r["over_limit"]) for r in got] == [(["U000001"], True), (["U000002"], False)]
