@@ -29,15 +29,16 @@ def number_rows(rows: DataFrame, group: list[str], order: list[str], out: str =
     return joined.withColumn(out, (F.col("_in") + F.col("_before")).cast("int")).drop("_slot", "_in", "_before")
 
 
-def with_group_values(rows: DataFrame, values: DataFrame, group: str, slot: Column) -> DataFrame:
+def with_group_values(rows: DataFrame, values: DataFrame, group: str | list[str], slot: Column) -> DataFrame:
     """Adds to each row the values of its group, of which there is one row at most; else null.
 
     The values are first given to every slot of rows that the group has, so that rows meet
     them by group and slot: no task gets all rows of a group.
     """
+    keys = [group] if isinstance(group, str) else group
     cut = rows.withColumn("_slot", slot)
-    slots = cut.select(group, "_slot").distinct().join(values, group)
-    return cut.join(slots, [group, "_slot"], "left").drop("_slot")
+    slots = cut.select(*keys, "_slot").distinct().join(values, keys)
+    return cut.join(slots, [*keys, "_slot"], "left").drop("_slot")
 
 
 def assign_ids(cues: DataFrame, group: list[str], order: list[str], slot: Column | None = None) -> DataFrame:
