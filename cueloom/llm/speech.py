@@ -43,6 +43,7 @@ NOBODY = {"", "?", "??", "-", "unknown", "unk", "不明", "n/a", "none", "speake
 class Said(NamedTuple):
     label: str | None  # the label as written in the text, canonical
     words: str  # the text without label, clock readings, annotations and fillers
+    whole: str | None = None  # the words if the label is none after all; null where the label's form leaves no doubt
 
 
 def name_key(label: str | None) -> str:
@@ -61,14 +62,20 @@ def label_number(label: str | None) -> int | None:
 
 
 def split_label(text: str, known=None) -> tuple[str | None, str]:
-    """The label at the head of a canonical text and the text after it.
+    """The label at the head of a canonical text and the text after it."""
+    label, rest, _ = labelled(text, known)
+    return label, rest
+
+
+def labelled(text: str, known=None) -> tuple[str | None, str, bool]:
+    """The label at the head of a canonical text, the text after it and whether its form alone makes it a label.
 
     Clock readings and annotations before the label are passed over. Voice tags, arrows
     and numbered labels always count; a bare or bracketed name counts if known(name)
-    says so. Without known, a bare name counts if it has one to three words, and a bracket if it
-    does not begin with a word for a sound.
+    says so. Without known, a bare name may be one if it has one to three words, and a bracket if it
+    does not begin with a word for a sound: a heading or a remark looks the same.
     """
-    label, rest = None, text
+    label, rest, sure = None, text, True
     while True:
         head = rest.lstrip()
         m = CLOCK_RE.match(head)
@@ -86,7 +93,7 @@ def split_label(text: str, known=None) -> tuple[str | None, str]:
                 if not fits:
                     m = None
             if m:
-                label, rest = got, head[m.end() :]
+                label, rest, sure = got, head[m.end() :], kind not in ("name", "bracket") or bool(known) or NUMBERED_RE.match(got) is not None
                 if kind == "tag":
                     rest = regex.sub(r"</v>\s*$", "", rest)
                 continue
@@ -94,7 +101,7 @@ def split_label(text: str, known=None) -> tuple[str | None, str]:
         if m:
             rest = head[m.end() :]
             continue
-        return label, rest
+        return label, rest, sure
 
 
 _CJK_FILLERS = tuple(f for f in FILLERS if not f[0].isascii() and f[0] > "\u2e7f")
@@ -120,7 +127,11 @@ def said(text: str | None, known=None) -> Said:
         return Said(None, "")
     plain = canonicalize(text)
     chars = set(plain)
-    label, rest = split_label(plain, known) if not chars.isdisjoint(_HEAD_SIGNS) else (None, plain)
+    label, rest, sure = labelled(plain, known) if not chars.isdisjoint(_HEAD_SIGNS) else (None, plain, True)
+    return Said(label, _words(rest, chars), None if sure or label is None else _words(labelled(plain, lambda _: False)[1], chars))
+
+
+def _words(rest: str, chars: set[str]) -> str:
     if ":" in chars or "：" in chars:
         rest = CLOCK_RE.sub(" ", rest)
     if "<" in chars:
@@ -130,7 +141,7 @@ def said(text: str | None, known=None) -> Said:
     if _has_filler(rest, chars):
         rest = FILLER_RE.sub(" ", rest)
     rest = " ".join(rest.split()).lstrip(" ,、，.。…\u3000")
-    return Said(label, rest if _SAYS.search(rest) else "")
+    return rest if _SAYS.search(rest) else ""
 
 
 _UNSAID = regex.compile(r"[^\p{L}\p{M}\p{N}\p{So}]+")
@@ -138,5 +149,9 @@ _UNSAID = regex.compile(r"[^\p{L}\p{M}\p{N}\p{So}]+")
 
 def said_key(text: str | None, known=None) -> str:
     """The words of a cue for comparison: letters and digits only, without case."""
-    words = said(text, known).words
+    return key_of(said(text, known).words)
+
+
+def key_of(words: str) -> str:
+    """Words for comparison."""
     return _UNSAID.sub("", words).casefold()
