@@ -24,12 +24,12 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records whose text holds personal information, by kind."""
-    return pii.holding(_records(spark, sf_dir))
+    return pii.holding(_records(spark, sf_dir), read_table(spark, sf_dir, "speaker_map"))
 
 
 def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record with typed placeholders in its text."""
-    return _records(spark, sf_dir).dropDuplicates(["tab", "job_id", "rec_key"]).withColumn("text", pii.redacted("text"))
+    return pii.redacted(_records(spark, sf_dir), read_table(spark, sf_dir, "speaker_map"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
