@@ -45,12 +45,12 @@ def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of two cues or more that say the same thing."""
-    return repeats.repeated(read_table(spark, sf_dir, "cues"))
+    return repeats.repeated(read_table(spark, sf_dir, "cues"), read_table(spark, sf_dir, "speaker_map"))
 
 
 def p4_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every run as one event with count and duration."""
-    return repeats.cue_events(read_table(spark, sf_dir, "cues"))
+    return repeats.cue_events(read_table(spark, sf_dir, "cues"), read_table(spark, sf_dir, "speaker_map"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

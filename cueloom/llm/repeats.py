@@ -10,18 +10,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cueloom.llm.speech import said_key
+from cueloom.llm.speech import key_of, name_key, said
+from cueloom.llm.turns import known_labels
 from cueloom.operators.runs import SLOT_MS, runs, slot_of
+from cueloom.session import written
 
 
-@F.pandas_udf(T.StringType())
-def spoken_key(texts: pd.Series) -> pd.Series:
-    """What a text says, in comparable form; empty for null and for texts that say nothing."""
-    return texts.map(said_key)
+_KEYS = T.StructType([T.StructField(c, T.StringType()) for c in ("key", "bare", "whole")])
+
+
+def keys(text: str | None) -> tuple[str, str | None, str | None]:
+    """What a text says in comparable form, empty for texts that say nothing; where it begins with a label whose
+    form leaves open whether it is one, also the label's name key and what the text says with it."""
+    what = said(text)
+    if what.whole is None:
+        return key_of(what.words), None, None
+    return key_of(what.words), name_key(what.label), key_of(what.whole)
+
+
+@F.pandas_udf(_KEYS)
+def spoken_keys(texts: pd.Series) -> pd.DataFrame:
+    """keys() of each text."""
+    return pd.DataFrame([keys(t) for t in texts], columns=["key", "bare", "whole"])
 
 
 # Evaluated once where a filter follows; the optimizer would else run it twice.
-spoken_key = spoken_key.asNondeterministic()
+spoken_keys = spoken_keys.asNondeterministic()
 
 
 def edits(a: str, b: str) -> int:
@@ -100,31 +114,38 @@ def _same(before: Callable[[str], Column], now: Callable[[str], Column]) -> Colu
     return _alike(before("key"), now("key"))
 
 
-def _cue_runs(cues: DataFrame, slot_ms: int, keep: list[str], least: int = 1) -> DataFrame:
+def _cue_runs(cues: DataFrame, speaker_map: DataFrame, slot_ms: int, keep: list[str], least: int = 1) -> DataFrame:
     """Runs of at least so many cues over the comparable form of each."""
-    slim = cues.where(F.col("start_sec").isNotNull()).select("job_id", "source", "cue_index", F.round(F.col("start_sec") * 1000).cast("long").alias("start_ms"), F.round(F.col("end_sec") * 1000).cast("long").alias("end_ms"), spoken_key("text").alias("key"))
-    slots = slim.where(F.col("key") != "").withColumn("_slot", slot_of(F.col("start_ms"), slot_ms)).repartition("job_id", "source", "_slot")
+    slim = cues.where(F.col("start_sec").isNotNull()).select("job_id", "source", "cue_index", F.round(F.col("start_sec") * 1000).cast("long").alias("start_ms"), F.round(F.col("end_sec") * 1000).cast("long").alias("end_ms"), spoken_keys("text").alias("k"))
+    slim = slim.select("job_id", "source", "cue_index", "start_ms", "end_ms", "k.*")
+    says = written(slim.where((F.col("key") != "") | (F.col("whole") != "")))
+    # Only cues with a doubtful label ask the speaker map.
+    asked = known_labels(says.where(F.col("bare").isNotNull()), "bare", speaker_map, "_known").withColumn("key", F.when(F.col("_known").isNull(), F.col("whole")).otherwise(F.col("key")))
+    cols = ["job_id", "source", "cue_index", "start_ms", "end_ms", "key"]
+    all_rows = says.where(F.col("bare").isNull()).select(*cols).unionByName(asked.where(F.col("key") != "").select(*cols))
+    slots = all_rows.withColumn("_slot", slot_of(F.col("start_ms"), slot_ms)).repartition("job_id", "source", "_slot")
     # Deliveries of one key carry the same content, so they are neighbours in the order that the runs need anyway.
     w = Window.partitionBy("job_id", "source", "_slot").orderBy("start_ms", "cue_index", "end_ms", "key")
     once = slots.withColumn("_before", F.lag("cue_index").over(w)).where(~F.col("_before").eqNullSafe(F.col("cue_index"))).drop("_before")
     return runs(once, ["job_id", "source"], "start_ms", ["cue_index", "end_ms", "key"], _differs, slot_ms, keep, least, _close, _same)
 
 
-def cue_events(cues: DataFrame, slot_ms: int = SLOT_MS) -> DataFrame:
+def cue_events(cues: DataFrame, speaker_map: DataFrame, slot_ms: int = SLOT_MS) -> DataFrame:
     """Each longest run of cues of a job and source that say the same thing, as one event.
 
     Columns: job_id, source, first_cue_index, last_cue_index, n, start_ms, duration_ms, said.
     A run of one is an event with n = 1. Repeated deliveries of a cue count once; cues
     without a start, and cues that say nothing, take no part; a null end counts as the start.
+    Labels do not count as said where their form or the job's speaker map makes them labels.
     Extra columns of the input are ignored.
     """
-    return _cue_runs(cues, slot_ms, ["cue_index", "end_ms", "key"]).select(
+    return _cue_runs(cues, speaker_map, slot_ms, ["cue_index", "end_ms", "key"]).select(
         "job_id", "source", F.col("first.cue_index").alias("first_cue_index"), F.col("last.cue_index").alias("last_cue_index"), "n",
         F.col("first.start_ms").alias("start_ms"), (F.greatest(F.coalesce("last.end_ms", "last.start_ms"), F.col("last.start_ms")) - F.col("first.start_ms")).alias("duration_ms"), F.col("first.key").alias("said"),
     )
 
 
-def repeated(cues: DataFrame, slot_ms: int = SLOT_MS) -> DataFrame:
+def repeated(cues: DataFrame, speaker_map: DataFrame, slot_ms: int = SLOT_MS) -> DataFrame:
     """The events of two cues or more: job_id, source, first_cue_index, last_cue_index."""
-    found = _cue_runs(cues, slot_ms, ["cue_index"], 2)
+    found = _cue_runs(cues, speaker_map, slot_ms, ["cue_index"], 2)
     return found.select("job_id", "source", F.col("first.cue_index").alias("first_cue_index"), F.col("last.cue_index").alias("last_cue_index"))

@@ -6,10 +6,20 @@ from cueloom.llm.speech import said, said_key
 SCHEMA = "job_id string, source string, cue_index int, start_sec double, end_sec double, speaker string, text string, n string"
 
 
+def names(spark):
+    return spark.createDataFrame([("j", "SPEAKER_00", "Marek Linderly")], "job_id string, speaker_label string, display_name string")
+
+
+def test_labels_count_if_the_job_knows_them(spark):
+    rows = [("j", "P", 1, 0.0, 2.0, None, "Linderly: who comes?", "x"), ("j", "P", 2, 3.0, 4.0, None, "Who comes?", "x"), ("j", "P", 3, 5.0, 6.0, None, "Question: who comes?", "x"), ("j", "P", 4, 7.0, 8.0, None, "[Linderly] Question: who comes", "x")]
+    got = repeats.repeated(spark.createDataFrame(rows, SCHEMA), names(spark)).collect()
+    assert sorted(tuple(r)[2:] for r in got) == [(1, 2), (3, 4)]
+
+
 def test_what_is_said():
     assert said_key("[16:03] SPEAKER_00 : Hmm") == "" and said_key("♪ ♪") == "" and said_key(None) == "" and said_key("えー…") == ""
     assert said_key("The uhm overseas Office. [laughter]") == said_key("SPEAKER_01: the overseas office (8:57)")
-    assert said("<v A B>hi</v>") == ("A B", "hi") and said(">> Linderly: hi").label == "Linderly"
+    assert said("<v A B>hi</v>") == ("A B", "hi", None) and said(">> Linderly: hi").label == "Linderly"
     assert said("Item 31 is closed.").words == "Item 31 is closed."
 
 
@@ -26,18 +36,18 @@ def test_runs(spark):
         ("j", "P", 9, 7.0, 8.0, "B", "Item 1 is closed", "x"), ("j", "P", 5, 9.0, 10.0, "B", "Item 2 is closed", "x"), ("j", "P", 6, None, 10.0, "B", "Item 2 is closed", "x"), ("j", "Z", 1, 1.0, 2.0, None, "Right.", "x"), (None, "P", 1, 1.0, 2.0, None, None, "x"),
     ]
     df = spark.createDataFrame(rows, SCHEMA)
-    assert [tuple(r) for r in repeats.repeated(df).collect()] == [("j", "P", 1, 4)]
-    event = repeats.cue_events(df).where("n = 3").first()
+    assert [tuple(r) for r in repeats.repeated(df, names(spark)).collect()] == [("j", "P", 1, 4)]
+    event = repeats.cue_events(df, names(spark)).where("n = 3").first()
     assert (event["start_ms"], event["duration_ms"]) == (0, 6000)
-    assert repeats.repeated(df.limit(0)).count() == 0
+    assert repeats.repeated(df.limit(0), names(spark)).count() == 0
 
 
 def test_slots_do_not_matter(spark):
     rng = random.Random(6)
     rows = [("j", "P", i, i * 7.0, i * 7.0 + 2, None, rng.choice(["yes we can", "no we cannot"]), "x") for i in range(150)]
     df = spark.createDataFrame(rows, SCHEMA)
-    whole = {tuple(r) for r in repeats.repeated(df, 10**10).collect()}
-    assert whole == {tuple(r) for r in repeats.repeated(df, 20_000).collect()} and len(whole) > 10
+    whole = {tuple(r) for r in repeats.repeated(df, names(spark), 10**10).collect()}
+    assert whole == {tuple(r) for r in repeats.repeated(df, names(spark), 20_000).collect()} and len(whole) > 10
 
 
 def test_alike_at_any_length():
