@@ -2,8 +2,11 @@
 
 A transducer over grapheme clusters rewrites widths, detached marks, invisible
 characters, unusual spaces, ligatures, radicals and look-alike letters in one pass.
-The mapping is computed once per process from Unicode's own decompositions plus the
-fixed look-alike lists below, and is checked for conflicts before use.
+Its table maps sequences of characters, some of them only in a context (a Latin word, a
+katakana or a Han neighbour). It is computed once per process from Unicode's own
+decompositions plus the fixed look-alike lists below, checked for conflicts, and compiled into
+a trie: of the sequences that begin at a place the longest counts. Single characters come
+first, then what they are composed with, so the entries need not name each pairing of both.
 
 Defined results: null stays null; empty text stays empty; text without a suspicious
 character is returned as the same object; punctuation and signs in full-width or
@@ -16,6 +19,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import permutations
+from typing import NamedTuple
 
 import pandas as pd
 import regex
@@ -43,51 +48,129 @@ _SPACES = "".join(chr(c) for c in range(0x80, 0x3001) if unicodedata.category(ch
 _KANA = "ァ-ヺー・ヽヾ"
 
 
-def _letters_only(s: str) -> bool:
-    return bool(s) and all(unicodedata.category(c)[0] in "LNM" for c in s)
+# The contexts in which an entry holds; ANY always.
+ANY, LATIN, KATAKANA, HAN = "any", "latin", "katakana", "han"
+HAN_LOOKALIKES = {"ー": "一", "ニ": "二", "ハ": "八"}  # fixed values: katakana and the Han they look like
+_LETTER_RANGES = [(0xC0, 0x250), (0x2100, 0x2150), (0x2160, 0x2190), (0x2E80, 0x2FE0), (0xF900, 0xFB50), (0xFF10, 0xFFE0), (0x1D400, 0x1D800), (0x2F800, 0x2FA20)]
 
 
-@lru_cache(maxsize=1)
-def mapping() -> dict[str, str]:
-    """Single characters that always stand for a plain one, with that plain text.
-
-    Built by rule: a letter or digit whose compatibility decomposition is <wide>,
-    <narrow>, <font> or a ligature's <compat>, a radical, or a canonical singleton.
-    Circled, squared, superscript and ordinal forms are left out.
-    """
-    out: dict[str, str] = {}
+def _letters_only(s: str) -> bool:
+    return bool(s) and all(unicodedata.category(c)[0] in "LNM" for c in s)
 
-    def put(src: str, dst: str) -> None:
-        if out.setdefault(src, dst) != dst:
-            raise ValueError(f"two targets for U+{ord(src):04X}: {out[src]!r} and {dst!r}")
 
-    ranges = [(0xC0, 0x250), (0x2100, 0x2150), (0x2160, 0x2190), (0x2E80, 0x2FE0), (0xF900, 0xFB50), (0xFF10, 0xFFE0), (0x1D400, 0x1D800), (0x2F800, 0x2FA20)]
-    for lo, hi in ranges:
+class Table:
+    """Sequences and what they become, by context; two targets for one source are an error."""
+
+    def __init__(self) -> None:
+        self.entries: dict[str, dict[str, str]] = {ANY: {}, LATIN: {}, KATAKANA: {}, HAN: {}}
+
+    def put(self, source: str, target: str, context: str = ANY) -> None:
+        if source != target and self.entries[context].setdefault(source, target) != target:
+            raise ValueError(f"two targets for {source!r} ({context}): {self.entries[context][source]!r} and {target!r}")
+
+    def check(self) -> None:
+        """One application must be enough, and a longer source must agree with a shorter one that it begins with."""
+        always = self.entries[ANY]
+        for context, entries in self.entries.items():
+            for source, target in entries.items():
+                if any(c in always for c in target):
+                    raise ValueError(f"{source!r} ({context}) becomes text that is itself changed: {target!r}")
+                for i in range(1, len(source)):
+                    short = always.get(source[:i])
+                    if short is not None and unicodedata.normalize("NFC", short + source[i:]) != target and always.get(short + source[i:]) != target:
+                        raise ValueError(f"{source!r} becomes {target!r}, but its beginning {source[:i]!r} becomes {short!r}")
+        # A look-alike may not be changed for one reason in one context and for another everywhere.
+        for context in (LATIN, KATAKANA, HAN):
+            for source in self.entries[context]:
+                if source in always:
+                    raise ValueError(f"{source!r} has an entry for {context} and one that always holds")
+
+
+def _put_singles(table: Table) -> None:
+    """A letter or digit whose compatibility decomposition is <wide>, <narrow>, <font> or a ligature's <compat>, a
+    radical, or a canonical singleton; invisible characters and spaces. Circled, squared, superscript and ordinal forms are left out."""
+    for lo, hi in _LETTER_RANGES:
         for code in range(lo, hi):
             ch = chr(code)
             how = unicodedata.decomposition(ch)
-            if not how:
+            if not how or ch in _INVISIBLE:
                 continue
             kind = how.split()[0] if how[0] == "<" else "<canonical>"
             plain = unicodedata.normalize("NFKC", ch)
             if plain == ch or not _letters_only(plain):
                 continue
             ligature = kind == "<compat>" and (0xFB00 <= code < 0xFB18 or code < 0x250 and len(plain) > 1)
-            radical = 0x2E80 <= code < 0x2FE0
-            if kind in ("<wide>", "<narrow>", "<font>", "<canonical>") or ligature or radical:
-                put(ch, plain)
+            if kind in ("<wide>", "<narrow>", "<font>", "<canonical>") or ligature or 0x2E80 <= code < 0x2FE0:
+                table.put(ch, plain)
     for ch, plain in RADICAL_LOOKALIKES.items():
-        put(ch, plain)
+        table.put(ch, plain)
     for ch in _INVISIBLE:
-        out[ch] = ""
+        table.put(ch, "")
     for ch in _SPACES:
-        put(ch, " ")
-    for ch, plain in out.items():  # one pass must be enough
-        if any(c in out for c in plain):
-            raise ValueError(f"U+{ord(ch):04X} maps to text that is itself mapped")
+        table.put(ch, " ")
+
+
+def _put_compositions(table: Table) -> None:
+    """What a letter and its marks are composed to: every order of the marks and every step that is composed already; Hangul by its arithmetic."""
+    for code in (*range(0xC0, 0x3400), *range(0x1100, 0x1200), *range(0x11000, 0x12000)):
+        ch = chr(code)
+        how = unicodedata.decomposition(ch)
+        if not how or how[0] == "<" or " " not in how or unicodedata.normalize("NFC", ch) != ch:
+            continue
+        first, second = (chr(int(x, 16)) for x in how.split())
+        table.put(first + second, ch)
+        base, *marks = unicodedata.normalize("NFD", ch)
+        for order in permutations(marks):
+            whole = base + "".join(order)
+            if unicodedata.normalize("NFC", whole) == ch:
+                table.put(whole, ch)
+        if second in "\u3099\u309a":  # the marks of kana also stand as characters of their own
+            table.put(first + ("゛" if second == "\u3099" else "゜"), ch)
+    for i in range(11172):
+        whole, syllable = chr(0xAC00 + i), chr(0xAC00 + i - i % 28)
+        lead, vowel, tail = chr(0x1100 + i // 588), chr(0x1161 + i % 588 // 28), chr(0x11A7 + i % 28) if i % 28 else ""
+        table.put(lead + vowel + tail, whole)
+        table.put(syllable + tail, whole)
+
+
+@lru_cache(maxsize=1)
+def table() -> Table:
+    """The whole mapping, checked."""
+    out = Table()
+    _put_singles(out)
+    _put_compositions(out)
+    for context, pairs in ((LATIN, LATIN_LOOKALIKES), (KATAKANA, KATAKANA_LOOKALIKES), (HAN, HAN_LOOKALIKES)):
+        for source, target in pairs.items():
+            out.put(source, target, context)
+    out.check()
     return out
 
 
+def compiled(entries: dict[str, str]) -> dict:
+    """A trie: nodes are dicts by character, the target of the sequence that ends at a node stands under the empty string."""
+    root: dict = {}
+    for source, target in entries.items():
+        node = root
+        for ch in source:
+            node = node.setdefault(ch, {})
+        node[""] = target
+    return root
+
+
+def transduce(text: str, trie: dict) -> str:
+    """The text with the longest sequence that begins at each place replaced."""
+    out, i, n = [], 0, len(text)
+    while i < n:
+        node, j, best, upto = trie, i, text[i], i + 1
+        while j < n and (node := node.get(text[j])) is not None:
+            j += 1
+            if "" in node:
+                best, upto = node[""], j
+        out.append(best)
+        i = upto
+    return "".join(out)
+
+
 def _as_ranges(codes: list[int]) -> str:
     """A character class of sorted code points, neighbours as ranges."""
     out, start = [], 0
@@ -98,49 +181,68 @@ def _as_ranges(codes: list[int]) -> str:
     return "".join(out)
 
 
+class Machine(NamedTuple):
+    singles: dict[int, str]
+    latin: dict[int, str]  # singles and look-alikes of Latin letters
+    compose: dict  # trie of the sequences
+    always: frozenset[str]  # characters that are suspicious wherever they stand
+    beside: frozenset[str]  # those that are so beside certain neighbours only
+    suspect: re.Pattern[str]  # such neighbours
+    cluster: regex.Pattern[str]
+
+
 @lru_cache(maxsize=1)
-def _machine() -> tuple:
-    table = mapping()
+def _machine() -> Machine:
+    t = table()
+    singles = {s: d for s, d in t.entries[ANY].items() if len(s) == 1}
+    sequences = {s: d for s, d in t.entries[ANY].items() if len(s) > 1}
     marks = {chr(c) for c in range(0x300, 0x370)} | {chr(c) for lo, hi in ((0x1100, 0x1200), (0xA960, 0xA97D), (0xD7B0, 0xD800)) for c in range(lo, hi)} | set("゙゚゛゜⃣")
-    single = _as_ranges(sorted(map(ord, table)))
-    always = frozenset(table) | frozenset(LATIN_LOOKALIKES) | marks
-    # These are suspicious beside certain neighbours only.
-    beside = frozenset(KATAKANA_LOOKALIKES) | frozenset("ーニハ")
-    han = "".join(KATAKANA_LOOKALIKES)
+    han = "".join(t.entries[KATAKANA])
     suspect = re.compile(rf"(?<=[{_KANA}])[{han}]|[{han}](?=[{_KANA}])|ー(?=[一-鿿])|(?<![{_KANA}])[ニハ](?=[人回枚番度つ目])")
     inv = regex.escape(_INVISIBLE)
-    token = regex.compile(
+    cluster = regex.compile(
         rf"(?P<emoji>\p{{Extended_Pictographic}}(?:[︎️]|\p{{EMod}})*(?:‍\p{{Extended_Pictographic}}(?:[︎️]|\p{{EMod}})*)*)"
+        rf"|(?P<joiner>(?<=[\p{{Devanagari}}\p{{Arabic}}\p{{Bengali}}\p{{Tamil}}\p{{Malayalam}}])[‌‍](?=[\p{{Devanagari}}\p{{Arabic}}\p{{Bengali}}\p{{Tamil}}\p{{Malayalam}}]))"
+        # Letters of these scripts are judged by the word they stand in.
         rf"|(?P<word>[\p{{Latin}}\p{{Greek}}\p{{Cyrillic}}](?:[\p{{Latin}}\p{{Greek}}\p{{Cyrillic}}̀-ͯ{inv}])*)"
-        rf"|(?P<indic>(?<=[\p{{Devanagari}}\p{{Arabic}}\p{{Bengali}}\p{{Tamil}}\p{{Malayalam}}])[‌‍](?=[\p{{Devanagari}}\p{{Arabic}}\p{{Bengali}}\p{{Tamil}}\p{{Malayalam}}]))"
-        rf"|(?P<narrow>[ｦ-ﾟ][ｦ-ﾟ{inv}]*)"
         rf"|(?P<jamo>[가-힣]?[ᄀ-ᇿ][ᄀ-ᇿ{inv}]*)"
-        rf"|(?P<like>[{''.join(KATAKANA_LOOKALIKES)}ーニハ])"
-        # Any other cluster with marks, or a single character of the mapping; the rest is passed over.
-        rf"|(?P<cluster>\P{{M}}[\p{{M}}‌‍]*\p{{M}}[\p{{M}}‌‍]*|[{single}゛゜])",
+        rf"|(?P<like>[{han}{''.join(t.entries[HAN])}])[゙゚゛゜ﾞﾟ{inv}]*"
+        rf"|(?P<kana>[\p{{Hiragana}}\p{{Katakana}}ｦ-ﾟ][゙゚゛゜ﾞﾟ{inv}]+)"
+        # Any other cluster with marks, or a single character of the table; the rest is passed over.
+        rf"|(?P<other>\P{{M}}[\p{{M}}‌‍]*\p{{M}}[\p{{M}}‌‍]*|[{_as_ranges(sorted(map(ord, singles)))}])",
     )
-    # Characters that map alone, whatever stands beside them; narrow kana join their voiced marks.
-    alone = {ord(c): plain for c, plain in table.items() if not "ｦ" <= c <= "ﾟ"}
-    return table, always, beside, suspect, token, alone
+    codes = {ord(s): d for s, d in singles.items()}
+    always = frozenset(singles) | frozenset(t.entries[LATIN]) | marks
+    return Machine(codes, codes | {ord(s): d for s, d in t.entries[LATIN].items()}, compiled(sequences), always, frozenset(han) | frozenset(t.entries[HAN]), suspect, cluster)
 
 
-def _single(text: str, table: dict[str, str]) -> str:
-    return "".join([table.get(c, c) for c in text])
+def _put_together(plain: str, machine: Machine) -> str:
+    """Marks joined to their letters: by the table, and what it lacks (marks that no letter has, their order) by Unicode's rule."""
+    if plain.isascii():
+        return plain
+    made = transduce(plain, machine.compose)
+    return made if unicodedata.is_normalized("NFC", made) else unicodedata.normalize("NFC", made)
 
 
-def _word(word: str, latin_line: bool, table: dict[str, str]) -> str:
-    if word.isascii():
-        return word
-    plain = unicodedata.normalize("NFC", _single(word, table))
-    apart = unicodedata.normalize("NFD", plain)
+def _reads_latin(word: str, latin_line: bool) -> bool:
+    """Whether letters that look Latin stand for Latin ones in this word: beside Latin letters, or alone in a Latin line, but
+    not beside Greek or Cyrillic ones that look like none."""
+    apart = unicodedata.normalize("NFD", word)
     if not any(c in LATIN_LOOKALIKES for c in apart):
-        return plain
+        return False
     others = [c for c in apart if c not in LATIN_LOOKALIKES and unicodedata.category(c)[0] == "L"]
     if any(ord(c) >= 0x370 and not 0x1E00 <= ord(c) < 0x1F00 for c in others):
-        return plain  # a Greek or Cyrillic word used as such
-    if others or latin_line:
-        return unicodedata.normalize("NFC", "".join(LATIN_LOOKALIKES.get(c, c) for c in apart))
-    return plain
+        return False
+    return bool(others) or latin_line
+
+
+def _word(word: str, latin_line: bool, machine: Machine) -> str:
+    if word.isascii():
+        return word
+    plain = word.translate(machine.singles)
+    if _reads_latin(plain, latin_line):
+        plain = unicodedata.normalize("NFD", plain).translate(machine.latin)
+    return _put_together(plain, machine)
 
 
 def _like(text: str, at: int) -> str:
@@ -171,63 +273,35 @@ def _like(text: str, at: int) -> str:
     return ch
 
 
+_LATIN_LETTER = re.compile("[A-Za-z]")
+_CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
+
+
 def canonicalize(text: str | None) -> str | None:
     """The text in its one consistent form; see the module's docstring."""
-    if not text:
+    if not text or text.isascii():
         return text
-    if text.isascii():
-        return text
-    table, always, beside, suspect, token, alone = _machine()
+    machine = _machine()
     chars = set(text)
-    odd = chars & always
-    # Marks of any kind may stand apart from their letters: texts not in NFC take no short way, whatever else they hold.
-    if not odd and (chars.isdisjoint(beside) or not suspect.search(text)) and unicodedata.is_normalized("NFC", text):
+    # Marks of any kind may stand apart from their letters, so a text passes only in composed form.
+    if chars.isdisjoint(machine.always) and (chars.isdisjoint(machine.beside) or not machine.suspect.search(text)) and unicodedata.is_normalized("NFC", text):
         return text
-    if odd and all(ord(c) in alone for c in odd) and (odd.isdisjoint(_JOINERS) or not any(_shaped(c) for c in chars)):
-        out = text.translate(alone)  # no cluster of several characters is concerned
-        if (chars.isdisjoint(beside) or not suspect.search(out)) and unicodedata.is_normalized("NFC", out):
-            return out
-    latin = len(regex.findall(r"[A-Za-z]", text))
-    latin_line = latin > 2 and not regex.search(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]", text)
+    latin_line = len(_LATIN_LETTER.findall(text)) > 2 and not _CJK.search(text)
 
     def rewrite(m: regex.Match) -> str:
         kind, got = m.lastgroup, m[0]
-        if kind in ("emoji", "indic"):
-            return got
         if kind == "word":
-            return _word(got, latin_line, table)
-        if kind == "narrow":
-            return unicodedata.normalize("NFKC", got.translate(_drop()))
-        if kind == "jamo":
-            return unicodedata.normalize("NFC", got.translate(_drop()))
+            return _word(got, latin_line, machine)
         if kind == "like":
-            return _like(text, m.start())
-        plain = unicodedata.normalize("NFC", got)
-        if len(plain) > 1:
-            joined = any(0x600 <= ord(c) < 0xE00 for c in plain)  # scripts in which joiners shape letters
-            plain = unicodedata.normalize("NFC", "".join([c if joined and c in "\u200c\u200d" else table.get(c, c) for c in plain]))
-            return plain.replace("゛", "゙").replace("゜", "゚")
-        return table.get(plain, plain)
-
-    out = token.sub(rewrite, text)
-    if "゛" in out or "゜" in out:
-        out = regex.sub(r"([\p{Hiragana}\p{Katakana}])([゛゜])", lambda m: unicodedata.normalize("NFC", m[1] + ("゙" if m[2] == "゛" else "゚")), out)
-    if "゙" in out or "゚" in out:
-        out = regex.sub(r"[\p{Hiragana}\p{Katakana}][゙゚]", lambda m: unicodedata.normalize("NFC", m[0]), out)
-    return out
-
-
-_JOINERS = frozenset(["\u200c", "\u200d", *map(chr, range(0xFE00, 0xFE10))])
-
-
-def _shaped(c: str) -> bool:
-    """Whether joiners and selectors beside this character may belong there: emoji and scripts that join."""
-    return c >= "\U0001f000" or "\u2190" <= c <= "\u2bff" or "\u0600" <= c <= "\u0dff" or c in "©®‼⁉™ℹ〰〽㊗㊙#*"
-
+            got = _like(text, m.start()) + got[1:]
+            return got if len(got) == 1 else _put_together(got.translate(machine.singles), machine)
+        if kind in ("emoji", "joiner"):
+            return got
+        if kind == "other" and len(got) > 1 and any(0x600 <= ord(c) < 0xE00 for c in got):  # joiners shape the letters of these scripts
+            return _put_together("".join([c if c in "\u200c\u200d" else machine.singles.get(ord(c), c) for c in got]), machine)
+        return _put_together(got.translate(machine.singles), machine)
 
-@lru_cache(maxsize=1)
-def _drop() -> dict[int, None]:
-    return {ord(c): None for c in _INVISIBLE}
+    return machine.cluster.sub(rewrite, text)
 
 
 @F.pandas_udf(T.StringType())

@@ -1,4 +1,7 @@
+import unicodedata
+
 import hypothesis.strategies as st
+import pytest
 from hypothesis import given, settings
 
 from cueloom.llm import canonical
@@ -39,3 +42,37 @@ def test_marks_come_out_alike_whatever_else_stands_in_the_text():
     for apart, joined in (("न\u093c", "\u0929"), ("o\u0302", "ô")):
         got = {canonical.canonicalize(before + apart + "x")[-2:] for before in ("", "Ａ", "\u200b", "か\u3099", "①Ａ")}
         assert got == {joined + "x"}
+
+
+def test_table_is_checked():
+    def fails(*entries):
+        table = canonical.Table()
+        for source, target, context in entries:
+            table.put(source, target, context)
+        table.check()
+
+    with pytest.raises(ValueError, match="two targets"):
+        fails(("Ａ", "A", "any"), ("Ａ", "B", "any"))
+    with pytest.raises(ValueError, match="itself changed"):
+        fails(("Ａ", "B", "any"), ("B", "C", "any"))
+    with pytest.raises(ValueError, match="beginning"):
+        fails(("xy", "z", "any"), ("xyv", "q", "any"))
+    with pytest.raises(ValueError, match="always holds"):
+        fails(("а", "a", "latin"), ("а", "b", "any"))
+    assert canonical.table() is canonical.table()
+
+
+def test_longest_sequence_counts():
+    trie = canonical.compiled({"a": "1", "ab": "2", "abcd": "3", "bc": "4"})
+    for text, want in (("abcd", "3"), ("abc", "2c"), ("abab", "22"), ("aabcx", "12cx"), ("bca", "41"), ("", ""), ("x", "x")):
+        assert canonical.transduce(text, trie) == want
+
+
+def test_table_composes_as_unicode_does():
+    trie = canonical._machine().compose
+    for code in (*range(0xC0, 0x2000), *range(0x3040, 0x3100), *range(0xAC00, 0xD7A4, 13)):
+        ch = chr(code)
+        if unicodedata.normalize("NFC", ch) == ch and not unicodedata.decomposition(ch).startswith("<"):
+            assert canonical.transduce(unicodedata.normalize("NFD", ch), trie) == ch, hex(code)
+    for raw, plain in (("ệ", "ệ"), ("Ａ́", "Á"), ("ｶ゙", "ガ"), ("かﾞ", "が"), ("か゛", "が"), ("ᄒ​ᅡᆫ", "한"), ("デ一​タ", "データ"), ("モニ夕゙", "モニダ"), ("á̧", "á̧")):
+        assert canonicalize(raw) == plain, raw
