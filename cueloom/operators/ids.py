@@ -33,12 +33,13 @@ def with_group_values(rows: DataFrame, values: DataFrame, group: str | list[str]
     """Adds to each row the values of its group, of which there is one row at most; else null.
 
     The values are first given to every slot of rows that the group has, so that rows meet
-    them by group and slot: no task gets all rows of a group.
+    them by group and slot: no task gets all rows of a group. Both joins merge sorted rows
+    at every size, so nothing is broadcast that grows with the data.
     """
     keys = [group] if isinstance(group, str) else group
     cut = rows.withColumn("_slot", slot)
-    slots = cut.select(*keys, "_slot").distinct().join(values, keys)
-    return cut.join(slots, [*keys, "_slot"], "left").drop("_slot")
+    slots = cut.select(*keys, "_slot").distinct().join(values.hint("merge"), keys)
+    return cut.join(slots.hint("merge"), [*keys, "_slot"], "left").drop("_slot")
 
 
 def assign_ids(cues: DataFrame, group: list[str], order: list[str], slot: Column | None = None) -> DataFrame:
