@@ -57,6 +57,15 @@ def edits(a: str, b: str) -> int:
 NUMERALS = frozenset("〇零一二三四五六七八九十百千万億两")
 
 
+def other_number(a: str, b: str, at: int, x: str, y: str) -> bool:
+    """Whether x in a and y in b, which begin at the same place, make different numbers in Han of the texts."""
+    if x and y:
+        return NUMERALS.issuperset(x + y)
+    full, extra = (a, x) if x else (b, y)
+    beside = {full[at - 1 : at] if at else "", full[at + len(extra) : at + len(extra) + 1]} - {"", *extra}
+    return NUMERALS.issuperset(extra) and not NUMERALS.isdisjoint(beside)
+
+
 def alike(a: str, b: str) -> bool:
     """Whether both keys can be one intended text with at most one letter misheard in each.
 
@@ -79,7 +88,7 @@ def alike(a: str, b: str) -> bool:
         tail += 1
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
     far = max(len(x), len(y))
-    if far <= 2 and not NUMERALS.isdisjoint(x + y):
+    if far <= 2 and other_number(a, b, head, x, y):
         return False
     one, two = head + tail >= 2, head + tail >= 4
     if not x or not y:

@@ -104,6 +104,11 @@ def known_labels(rows: DataFrame, key: str, speaker_map: DataFrame, out: str) ->
     return with_group_values(rows, known, ["job_id", key], slot_of(F.col("start_ms"), ALIAS_SLOT_MS))
 
 
+def alias_maps(speaker_map: DataFrame) -> DataFrame:
+    """job_id and _aliases: all name keys of a job with the labels they can mean, as many as its participants have."""
+    return aliases(speaker_map).groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "labels"))).alias("_aliases"))
+
+
 def spoken(cues: DataFrame, speaker_map: DataFrame) -> DataFrame:
     """PRIMARY cues that say something, each once, with the labels they may belong to.
 
@@ -118,12 +123,11 @@ def spoken(cues: DataFrame, speaker_map: DataFrame) -> DataFrame:
     numbered = F.when(F.col("number").isNotNull(), F.array(F.format_string("SPEAKER_%02d", F.col("number"))))
     # Numbered labels need no lookup, so only cues that give a name are joined.
     sure = once.where(F.col("name").isNull() & F.col("bare").isNull()).withColumn("labels", numbered)
-    named = known_labels(once.where(F.col("name").isNotNull() & F.col("bare").isNull()), "name", speaker_map, "labels")
-    asked = known_labels(once.where(F.col("bare").isNotNull()), "bare", speaker_map, "_bare")
-    both = known_labels(asked.where(F.col("name").isNotNull()), "name", speaker_map, "labels")
-    alone = asked.where(F.col("name").isNull()).withColumn("labels", F.coalesce(numbered, F.col("_bare")))
-    asked = both.unionByName(alone).withColumn("words", F.when(F.col("_bare").isNull(), F.col("whole")).otherwise(F.col("words")))
-    return sure.select(*cols).unionByName(named.select(*cols)).unionByName(asked.where(F.col("words") != "").select(*cols))
+    asked = with_group_values(once.where(F.col("name").isNotNull() | F.col("bare").isNotNull()), alias_maps(speaker_map), "job_id", slot_of(F.col("start_ms"), ALIAS_SLOT_MS))
+    bare = F.try_element_at("_aliases", F.col("bare"))
+    named = F.when(F.col("name").isNotNull(), F.try_element_at("_aliases", F.col("name"))).otherwise(F.coalesce(numbered, bare))
+    asked = asked.withColumn("labels", named).withColumn("words", F.when(F.col("bare").isNotNull() & bare.isNull(), F.col("whole")).otherwise(F.col("words")))
+    return sure.select(*cols).unionByName(asked.where(F.col("words") != "").select(*cols))
 
 
 def features(*words: str) -> np.ndarray:
