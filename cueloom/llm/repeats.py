@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
+from itertools import zip_longest
 
 import pandas as pd
 import regex
@@ -57,6 +59,17 @@ def edits(a: str, b: str) -> int:
 NUMERALS = frozenset("〇零一二三四五六七八九十百千万億两")
 
 
+AGREEING = 7  # letters that must agree for three sounds that do not
+
+
+def parts_apart(a: str, b: str) -> int:
+    """How many sounds two letters differ in: 1 in an alphabet, 2 for kana, 3 for Han, and for Hangul as many of its letters as differ."""
+    if "가" <= a <= "힣" and "가" <= b <= "힣":
+        return sum(x != y for x, y in zip_longest(unicodedata.normalize("NFD", a), unicodedata.normalize("NFD", b)))
+    letter = max(a, b)
+    return 1 if letter < "\u2e80" else 2 if "ぁ" <= letter <= "ヿ" else 3
+
+
 def other_number(a: str, b: str, at: int, x: str, y: str) -> bool:
     """Whether x in a and y in b, which begin at the same place, make different numbers in Han of the texts."""
     if x and y:
@@ -72,8 +85,9 @@ def alike(a: str, b: str) -> bool:
     Numbers must agree, written in digits or in Han. One edit between the keys is one misheard
     letter; two edits are one in each, if letters between them agree or one is a letter said
     twice, as two neighbouring edits are otherwise rather another word. At any length, two
-    letters must agree for each one that does not: where less is left in common nothing tells
-    a misheard letter from another word.
+    letters must agree for each one lost, doubled or swapped, and for one replaced more, the more
+    sounds it carries: 3 letters of an alphabet, 5 kana, 7 Han or quite unlike Hangul. Where less is
+    left in common nothing tells a misheard letter from another word.
     """
     if a == b:
         return True
@@ -97,8 +111,8 @@ def alike(a: str, b: str) -> bool:
         # One letter lost here and one said twice there: the latter stands beside its like.
         full, at = (a, head) if x else (b, head)
         return far == 2 and two and (full[at] == full[at + 1] or full[at + 1 : at + 3] == full[at + 1] * 2 or at > 0 and full[at - 1] == full[at])
-    if far == 1:
-        return one  # one letter replaced
+    if far == 1:  # one letter replaced
+        return 3 * (head + tail) >= AGREEING * parts_apart(x, y)
     if len(x) == 2 and x == y[::-1]:
         return one  # two neighbours swapped
     return far >= 3 and short - 2 >= 4 and edits(x, y) <= 2
