@@ -7,11 +7,14 @@ its tab-separated answer to input/glossary_confirmed.tsv for the merge to read.
 from __future__ import annotations
 
 import argparse
+import os
+import subprocess
 import sys
 from collections.abc import Callable
 from pathlib import Path
 
 from cueloom.operators.annotate import AnnotationError, call_with_retry, glossary_prompt
+from cueloom.operators.services import BASE_URL, GoogleService
 from cueloom.sources.side import glossary_file_terms, read_context_prompt
 
 
@@ -26,8 +29,13 @@ def _plain_readings(prompt: str, terms: list[str]) -> str:
         return "\n".join(f"{t}\t{t}" for t in terms)
 
 
+def _google_readings(prompt: str, terms: list[str]) -> str:
+    """The answer of the service over the network; GLOSSARY_MODEL and GLOSSARY_URL choose model and address."""
+    return GoogleService(os.environ.get("GLOSSARY_MODEL", "gemini-2.5-flash"), base_url=os.environ.get("GLOSSARY_URL", BASE_URL)).request(prompt, {}).strip()
+
+
 # Text services by name; one that needs the network registers itself here.
-TEXT_SERVICES: dict[str, Callable[[str, list[str]], str]] = {"plain": _plain_readings}
+TEXT_SERVICES: dict[str, Callable[[str, list[str]], str]] = {"plain": _plain_readings, "google": _google_readings}
 
 
 def generate(job_dir: str | Path, provider: str = "plain") -> Path:
@@ -48,14 +56,26 @@ def generate(job_dir: str | Path, provider: str = "plain") -> Path:
     return out
 
 
+def open_in_editor(path: Path, command: str) -> bool:
+    """Opens the file in an editor; a missing editor is no error."""
+    try:
+        return subprocess.run([command, str(path)], check=False).returncode == 0
+    except OSError:
+        return False
+
+
 def main(argv: list[str] | None = None) -> int:
     """0 on success, 1 on an error."""
     p = argparse.ArgumentParser(prog="cueloom.glossary", description="Readings for a job's list of terms.")
     p.add_argument("--job", required=True)
     p.add_argument("--provider", default="plain")
+    p.add_argument("--editor", default="code", help="command that opens the result; empty for none")
     args = p.parse_args(argv)
     try:
-        print(generate(args.job, args.provider))
+        made = generate(args.job, args.provider)
+        print(made)
+        if args.editor:
+            open_in_editor(made, args.editor)
     except (OSError, ValueError, AnnotationError) as e:
         print(e, file=sys.stderr)
         return 1

@@ -213,7 +213,7 @@ def _no_network(name: str) -> Callable[..., Annotator]:
     return make
 
 
-for _name in ("google", "openai", "anthropic"):
+for _name in ("openai", "anthropic"):
     ANNOTATORS.setdefault(_name, _no_network(_name))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import logging
+import os
 import time
 from dataclasses import dataclass
 from pathlib import Path
@@ -11,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.operators import annotate, checkpoint, chunking, ids, offset, restore
+from cueloom.operators import annotate, checkpoint, chunking, ids, offset, restore, services  # noqa: F401 (services registers itself)
 from cueloom.operators.ids import number_rows
 from cueloom.session import written
 from cueloom.sinks import render
@@ -129,7 +130,7 @@ def run_jobs(spark: SparkSession, root: str, out: str, config: dict, provider: s
     todo = checkpoint.targets(ready.chunks.select("job_id", "chunk_index"), table.completed())
     asked = prompts(ready).join(todo, ["job_id", "chunk_index"], "left_semi")
     service = provider or api["provider"]
-    answers = annotate.annotate(asked, service, None, dual, None, api["max_retries"], api["max_validation_retries"], api["backoff_base_sec"], logs["save_prompt"], logs["save_raw_response"])
+    answers = annotate.annotate(asked, service, service_options(service, api), dual, None, api["max_retries"], api["max_validation_retries"], api["backoff_base_sec"], logs["save_prompt"], logs["save_raw_response"])
     table.save(checkpoint.with_meta(written(answers), ready.chunks, ready.parts, ready.offsets, service, api["model"]))
     results = table.load()
     utterances = written(finalize(ready, results, names, config["output"]["completion_mode"]))
@@ -140,6 +141,14 @@ def run_jobs(spark: SparkSession, root: str, out: str, config: dict, provider: s
     return checkpoint.status_counts(checkpoint.completion_status(ready.chunks, results))
 
 
+def service_options(service: str, api: dict) -> dict | None:
+    """What a service over the network is made with; the driver's key goes to the workers with it."""
+    if service != "google":
+        return None
+    out = {"model": api["model"], "api_key_env": api["api_key_env"], "timeout_sec": api["timeout_sec"], "api_key": os.environ.get(api["api_key_env"])}
+    return out | ({"base_url": api["base_url"]} if api.get("base_url") else {})
+
+
 def dump_exchanges(results: DataFrame, folder: Path) -> None:
     """Files of the prompts and raw answers that results hold, chunk by chunk; earlier attempts have their number in the name."""
     for row in results.select("chunk_index", "prompts", "answers").where(F.col("prompts").isNotNull() | F.col("answers").isNotNull()).toLocalIterator():
@@ -176,7 +185,7 @@ def run_job(spark: SparkSession, job_dir: str | Path, config: dict, clean: bool
     asked = prompts(ready, glossary).join(todo, ["job_id", "chunk_index"], "left_semi")
     api, logs = config["api"], config["logging"]
     service = provider or api["provider"]
-    answers = annotate.annotate(asked, service, None, dual, context, api["max_retries"], api["max_validation_retries"], api["backoff_base_sec"], logs["save_prompt"], logs["save_raw_response"])
+    answers = annotate.annotate(asked, service, service_options(service, api), dual, context, api["max_retries"], api["max_validation_retries"], api["backoff_base_sec"], logs["save_prompt"], logs["save_raw_response"])
     # The outside is called while this is written; a join before the write could move the calls into a stage that runs twice.
     run = table.save(checkpoint.with_meta(written(answers), ready.chunks, ready.parts, ready.offsets, service, api["model"]))
     dump_exchanges(table.load().where(F.col("run_id") == run), paths["temp_dir"])

@@ -1,12 +1,16 @@
 import json
+import re
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from pyspark.sql import functions as F
 
 from cueloom import cli, glossary
 from cueloom.config import DEFAULTS, deep_merge, load_config
-from cueloom.operators import annotate, checkpoint, restore
+from cueloom.operators import annotate, checkpoint, restore, services
 from cueloom.plans import engine
+from cueloom.schema import UTTERANCE_FIELDS
 from cueloom.sinks import render
 from cueloom.sources.captions import parse_vtt
 
@@ -197,11 +201,90 @@ def test_glossary(tmp_path, capsys):
     (tmp_path / "input").mkdir()
     assert glossary.main(["--job", str(tmp_path)]) == 1
     (tmp_path / "input" / "glossary.txt").write_text("# c\n東京\n\n大阪\n", encoding="utf-8")
-    assert glossary.main(["--job", str(tmp_path)]) == 0
+    assert glossary.main(["--job", str(tmp_path), "--editor", ""]) == 0
     assert [x.split("\t")[0] for x in (tmp_path / "input" / "glossary_confirmed.tsv").read_text(encoding="utf-8").splitlines()] == ["東京", "大阪"]
     assert glossary.main(["--job", str(tmp_path), "--provider", "none"]) == 1
 
 
+class Stub(BaseHTTPRequestHandler):
+    """Answers as the script says, one entry a request: (status, headers, body)."""
+
+    script: list = []
+    seen: list = []
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        Stub.seen.append((self.path, self.headers.get("x-goog-api-key"), body))
+        status, headers, answer = Stub.script.pop(0) if Stub.script else (200, {}, Stub.echo(body))
+        self.send_response(status)
+        for k, v in headers.items():
+            self.send_header(k, v)
+        self.end_headers()
+        self.wfile.write(answer.encode())
+
+    @staticmethod
+    def text(text):
+        return json.dumps({"candidates": [{"content": {"parts": [{"text": text}]}}]})
+
+    @staticmethod
+    def echo(body):
+        ids = re.findall(r"^\[(U\d+)\]", body["contents"][0]["parts"][0]["text"], re.M)
+        return Stub.text(json.dumps({"utterances": [{"id": i, "source_ids": [i], "text": "t"} for i in ids]}))
+
+    def log_message(self, *args):
+        pass
+
+
+@pytest.fixture
+def service(monkeypatch):
+    monkeypatch.setenv("GEMINI_API_KEY", "secret")
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Stub)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    Stub.script, Stub.seen = [], []
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_service(service, monkeypatch):
+    client = services.GoogleService(base_url=service, timeout_sec=5)
+    good = json.dumps({"utterances": [{"id": "U000001"}]})
+    Stub.script = [(429, {"Retry-After": "7"}, "quota"), (200, {}, Stub.text("")), (200, {}, Stub.text("no json")), (200, {}, Stub.text(good))]
+    waits = []
+    assert annotate.call_with_retry(lambda: client.call("p", [], []), 4, 0, waits.append) == json.loads(good) and waits[0] >= 7 and len(waits) == 3
+    path, key, body = Stub.seen[-1]
+    assert path == "/models/gemini-2.0-flash:generateContent" and key == "secret" and body["generationConfig"]["temperature"] == 0.1
+    assert set(body["generationConfig"]["responseSchema"]["properties"]["utterances"]["items"]["properties"]) == set(UTTERANCE_FIELDS)
+    for status, error in ((400, annotate.NonRetryableError), (503, annotate.RetryableError), (418, annotate.RetryableError)):
+        Stub.script = [(status, {}, "x")]
+        with pytest.raises(error):
+            client.call("p", [], [])
+    with pytest.raises(annotate.RetryableError):
+        services.GoogleService(base_url="http://127.0.0.1:1", timeout_sec=1).call("p", [], [])
+    monkeypatch.delenv("GEMINI_API_KEY")
+    with pytest.raises(annotate.NonRetryableError):
+        client.call("p", [], [])
+    for name in ("openai", "anthropic"):
+        with pytest.raises(annotate.NonRetryableError):
+            annotate.get_annotator(name)
+
+
+def test_job_with_service(spark, job, service):
+    config = load_config(None, job, {"single_vtt": True})
+    config["api"]["base_url"] = service
+    meta = engine.run_job(spark, job, config)
+    assert meta["llm_provider"] == "google" and meta["total_utterances"] == 150 and len(Stub.seen) == meta["total_chunks"]
+
+
+def test_glossary_with_service(tmp_path, service, monkeypatch):
+    monkeypatch.setenv("GLOSSARY_URL", service)
+    (tmp_path / "input").mkdir()
+    (tmp_path / "input" / "glossary.txt").write_text("東京\n", encoding="utf-8")
+    Stub.script = [(200, {}, Stub.text("東京\tとうきょう\n"))]
+    assert glossary.main(["--job", str(tmp_path), "--provider", "google", "--editor", ""]) == 0
+    assert (tmp_path / "input" / "glossary_confirmed.tsv").read_text(encoding="utf-8") == "東京\tとうきょう"
+    assert not glossary.open_in_editor(tmp_path, "no-such-editor")
+
+
 def test_empty_render(spark):
     none = spark.createDataFrame([], "job_id string, chunk_index int, pos int, id string, speaker string, text string, category string, uncertain boolean, uncertain_reason string, source string, source_ids array<string>, vtt_supplemented boolean, edit_type string, edit_note string, start double, end double")
     assert render.txt_lines(none).count() == render.srt_lines(none).count() == render.vtt_lines(none).count() == 0
