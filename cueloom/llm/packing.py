@@ -22,6 +22,7 @@ from cueloom.llm.tokens import TOKENIZER, cut_tokens, encoder
 from cueloom.session import written
 
 SALTS = 64
+PER_SALT = 1_000_000  # more buckets where a size has more documents than so many a bucket
 
 
 @dataclass
@@ -213,17 +214,20 @@ def document_pieces(documents: DataFrame, capacity: int, path: str = TOKENIZER)
     return out.dropDuplicates(["doc_id", "piece"])
 
 
-def pack(documents: DataFrame, capacity: int, path: str = TOKENIZER, salts: int = SALTS) -> DataFrame:
+def pack(documents: DataFrame, capacity: int, path: str = TOKENIZER, salts: int = SALTS, per_salt: int = PER_SALT) -> DataFrame:
     """The container of every document: container_id, doc_id, piece, tokens, from_char, to_char.
 
     The driver sees the histogram of sizes, at most ``capacity`` rows; what it sends back is
-    bounded by the capacity alone. Ranks among equal sizes are counted in ``salts`` buckets, so
-    that a size shared by a third of all documents is ranked by many tasks.
+    bounded by the capacity alone. Ranks among equal sizes are counted in ``salts`` buckets or more, one
+    for each ``per_salt`` documents of the most frequent size, so that a size shared by a third of all
+    documents is ranked by as many tasks as it needs.
     """
-    items = written(document_pieces(documents, capacity, path).withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts))))
+    items = written(document_pieces(documents, capacity, path))
     spark = items.sparkSession
+    histogram = {r["tokens"]: r["n"] for r in items.groupBy("tokens").agg(F.count(F.lit(1)).alias("n")).collect()}
+    salts = max(salts, -(-max(histogram.values(), default=0) // per_salt))
+    items = items.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     buckets = items.groupBy("tokens", "_salt").agg(F.count(F.lit(1)).alias("n"))
-    histogram = {r["tokens"]: r["n"] for r in buckets.groupBy("tokens").agg(F.sum("n").alias("n")).collect()}
     rows, container, used = [], 0, dict.fromkeys(histogram, 0)
     for kind in pack_sizes(histogram, capacity):
         for size, each in kind.holds.items():
