@@ -1,3 +1,5 @@
+import random
+
 from cueloom.operators import annotate, validate
 
 SCHEMA = "k int, expected_ids array<string>, utterances array<struct<id:string,source_ids:array<string>>>, context_ids array<string>"
@@ -37,3 +39,16 @@ def test_same_errors_between_calls(spark):
     for k, expected, utts, *_ in CASES[:12]:
         own = annotate.check_ids({"utterances": [{"id": i, "source_ids": s} for i, s in utts or []]}, expected)
         assert own == got[k], k
+
+
+def test_same_errors_of_any_answer(spark):
+    """The check between two calls and the check of a table say the same of random answers."""
+    rng = random.Random(7)
+    ids = [f"U{i:06d}" for i in range(1, 9)] + ["V_INSERT_001", "X1", ""]
+    rows = []
+    for k in range(300):
+        utts = [(rng.choice(ids), [rng.choice(ids[:9]) for _ in range(rng.randint(0, 4))]) for _ in range(rng.randint(0, 5))]
+        rows.append((k, ids[: rng.randint(0, 7)], utts, None))
+    got = {r["k"]: r["errors"] for r in validate.validate(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for k, expected, utts, _ in rows:
+        assert annotate.check_ids({"utterances": [{"id": i, "source_ids": s} for i, s in utts]}, expected) == got[k], (k, expected, utts)
