@@ -7,6 +7,7 @@ Arrow batches. Null and empty texts say nothing.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from typing import NamedTuple
 
 import regex
@@ -121,6 +122,7 @@ def _has_filler(text: str, chars: set[str]) -> bool:
     return not chars.isdisjoint(_LETTERS) and not _LATIN_FILLERS.isdisjoint(text.lower().translate(_TO_SPACES).split())
 
 
+@lru_cache(32768)  # short replies and repeated deliveries are the same text again
 def said(text: str | None, known=None) -> Said:
     """Label and words of a cue text; both empty for a text that says nothing."""
     if not text:

@@ -110,7 +110,7 @@ def alias_maps(speaker_map: DataFrame) -> DataFrame:
 
 
 def spoken(cues: DataFrame, speaker_map: DataFrame) -> DataFrame:
-    """PRIMARY cues that say something, each once, with the labels they may belong to.
+    """PRIMARY cues that say something, with the labels they may belong to; repeated deliveries are repeated.
 
     Columns: job_id, cue_index, start_ms, words, labels (null: names nobody; one: that
     speaker; several: ambiguous). Cues without a start are left out. A bare label in the text counts
@@ -118,7 +118,7 @@ def spoken(cues: DataFrame, speaker_map: DataFrame) -> DataFrame:
     """
     own = cues.where((F.col("source") == "PRIMARY") & F.col("start_sec").isNotNull())
     rows = own.select("job_id", "cue_index", F.round(F.col("start_sec") * 1000).cast("long").alias("start_ms"), parse("speaker", "text").alias("p")).select("job_id", "cue_index", "start_ms", "p.*")
-    once = written(rows.where((F.col("words") != "") | (F.col("whole") != "")).withColumn("_slot", slot_of(F.col("start_ms"))).repartition("job_id", "_slot").dropDuplicates(["job_id", "_slot", "cue_index"]).drop("_slot"))
+    once = written(rows.where((F.col("words") != "") | (F.col("whole") != "")))
     cols = ["job_id", "cue_index", "start_ms", "words", "labels"]
     numbered = F.when(F.col("number").isNotNull(), F.array(F.format_string("SPEAKER_%02d", F.col("number"))))
     # Numbered labels need no lookup, so only cues that give a name are joined.
@@ -291,7 +291,7 @@ def _beyond(rows: DataFrame, summary: DataFrame) -> DataFrame:
 
 
 def infer(rows: DataFrame, slot_ms: int = SLOT_MS) -> DataFrame:
-    """Rows as spoken() gives them, each with the speaker that the model finds most probable.
+    """Rows as spoken() gives them, each cue once, with the speaker that the model finds most probable.
 
     Columns: job_id, cue_index, start_ms, words, named (whether speaker or text
     name anyone), label (null only where a job knows no speaker) and probability (1 for
@@ -303,7 +303,9 @@ def infer(rows: DataFrame, slot_ms: int = SLOT_MS) -> DataFrame:
     one = F.coalesce(F.size("labels") == 1, F.lit(False))
     slot = Window.partitionBy("job_id", "_slot")
     order = slot.orderBy("start_ms", "cue_index")
-    rows = rows.withColumn("_slot", slot_of(F.col("start_ms"), slot_ms)).withColumn("open", ~one).withColumn("_label", F.when(one, F.col("labels")[0]))
+    # Deliveries of one cue have the same content, so they are neighbours in the order that is needed anyway.
+    rows = rows.withColumn("_slot", slot_of(F.col("start_ms"), slot_ms)).repartition("job_id", "_slot").withColumn("_again", F.lag("cue_index").over(order)).where(~F.col("_again").eqNullSafe(F.col("cue_index"))).drop("_again")
+    rows = rows.withColumn("open", ~one).withColumn("_label", F.when(one, F.col("labels")[0]))
     rows = rows.withColumn("at", F.row_number().over(order)).withColumn("_before", F.lag("_label").over(order)).withColumn("_n", F.count(F.lit(1)).over(slot))
     known_at = F.when(one, F.col("at"))
     rows = rows.withColumn("_first", F.min(known_at).over(slot)).withColumn("_last", F.max(known_at).over(slot))
@@ -348,7 +350,7 @@ def turns(cues: DataFrame, speaker_map: DataFrame, infer: bool = False, slot_ms:
     """
     found = labelled(cues, speaker_map, slot_ms)
     keep = F.col("label") if infer else F.when(F.col("named"), F.col("label"))
-    rows = written(found.select("job_id", "start_ms", "cue_index", F.coalesce(keep, F.lit(UNKNOWN)).alias("label")))
+    rows = found.select("job_id", "start_ms", "cue_index", F.coalesce(keep, F.lit(UNKNOWN)).alias("label"))
     out = runs(rows, ["job_id"], "start_ms", ["cue_index", "label"], lambda before, now: before("label") != now("label"), slot_ms)
     return out.select(
         "job_id", F.col("first.label").alias("speaker_label"), F.col("first.cue_index").alias("first_cue_index"), F.col("last.cue_index").alias("last_cue_index"),

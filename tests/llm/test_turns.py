@@ -68,7 +68,7 @@ def test_slots_do_not_show(spark):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no data here")
 def test_hidden_labels(spark):
     """Labels of every seventh known cue are hidden; the model must find them better than the job's most frequent speaker."""
-    rows = written(turns.spoken(read_table(spark, SF, "cues"), read_table(spark, SF, "speaker_map")))
+    rows = written(turns.spoken(read_table(spark, SF, "cues"), read_table(spark, SF, "speaker_map")).dropDuplicates(["job_id", "cue_index"]))
     one = F.coalesce(F.size("labels") == 1, F.lit(False))
     hidden = one & (F.pmod(F.xxhash64("job_id", "cue_index"), F.lit(7)) == 0)
     truth = rows.where(hidden).select("job_id", "cue_index", F.col("labels")[0].alias("true"))
