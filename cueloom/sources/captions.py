@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cueloom.functions.text import strip_wide
 from cueloom.functions.timecode import parse_timecode
 
-_VTT_TIMES = r"^\s*(\d{1,2}:\d{2}:\d{2}[.,]\d{3}|\d{2}:\d{2}[.,]\d{3})\s*-->\s*(\d{1,2}:\d{2}:\d{2}[.,]\d{3}|\d{2}:\d{2}[.,]\d{3})"
+_VTT_TIMES = r"^\s*(\d{1,}:\d{2}:\d{2}[.,]\d{3}|\d{2}:\d{2}[.,]\d{3})\s*-->\s*(\d{1,}:\d{2}:\d{2}[.,]\d{3}|\d{2}:\d{2}[.,]\d{3})"
 _SRT_TIMES = r"^\s*(\d{2}:\d{2}:\d{2}[,.]\d{3})\s*-->\s*(\d{2}:\d{2}:\d{2}[,.]\d{3})"
 _VOICE = r"(?sU)^<v\s+([^>]+)>(.*?)(?:</v>)?$"
 _PREFIX = r"(?U)^(SPEAKER_\d+)\s*[:：]\s*"
@@ -48,7 +48,8 @@ def parse_vtt(captions: DataFrame, keys: list[str]) -> DataFrame:
     with WEBVTT is dropped; in each block the first line with an arrow holds the times, what
     stands before it is passed over, settings after the times too. Blocks without valid
     times and cues without text are dropped, and cue_index counts what is kept, from 1.
-    Null or empty contents give no cue. The header may be absent.
+    Null or empty contents give no cue. The header may be absent. Hours may have any number of
+    digits, so that recordings beyond 99 hours, which the rendering writes, are read again.
     """
     text = strip_wide(clean_content(F.col("content")))
     header = r"(?is)^(?:.*?\n)??WEBVTT[^\n]*(?:\n|$)"
