@@ -45,7 +45,7 @@ def test_side_files(spark, tmp_path):
     (tmp_path / "e.tsv").write_text("# only\n", encoding="utf-8")
     assert side.read_glossary(spark, str(tmp_path / "e.tsv")) is None and side.read_glossary(spark, str(tmp_path / "no")) is None
     (tmp_path / "d.json").write_text(json.dumps(["a", "b"]))
-    assert side.read_dictionary(tmp_path / "d.json") == {"": ["a", "b"]} and side.read_dictionary(tmp_path / "no") is None
+    assert side.read_dictionary(tmp_path / "d.json") == ["a", "b"] and side.read_dictionary(tmp_path / "no") is None
     assert side.read_context_prompt(tmp_path) is None
     (tmp_path / "context_prompt.md").write_text(" m \n")
     assert side.read_context_prompt(tmp_path) == "m"
