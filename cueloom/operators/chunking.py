@@ -49,16 +49,16 @@ def boundaries(cues: DataFrame, gap_sec: float, slot_sec: float = SLOT_SEC) -> D
     return seen.select(*cues.columns, gap.alias("gap"), F.coalesce(change, F.lit(False)).alias("speaker_change"), closed.alias("sentence_end"), tier.alias("tier"))
 
 
-def _pick(window: float, side: dict[tuple[int, str], Column], pos: Column, target: Column) -> Column:
-    """The best boundary within the window: least tier, then distance, then position."""
+def _pick(stage1: float, stage2: float, side: dict[tuple[int, str], Column], pos: Column, target: Column) -> Column:
+    """The best boundary within stage1, else within stage2: least tier, then distance, then position."""
     options = []
     for tier in sorted(TIERS.values()):
         for where in ("before", "after"):
             b = side[tier, where]
             dist = F.abs(b["start"] - target)
-            ok = b.isNotNull() & (dist <= window) & (b["pos"] > pos)
-            options.append(F.when(ok, F.struct(F.lit(tier).alias("tier"), dist.alias("dist"), b["pos"].alias("pos"), b["start"].alias("start"))))
-    return F.array_min(F.array_compact(F.array(*options)))
+            ok = b.isNotNull() & (dist <= max(stage1, stage2)) & (b["pos"] > pos)
+            options.append(F.when(ok, F.struct((dist > stage1).alias("stage"), F.lit(tier).alias("tier"), dist.alias("dist"), b["pos"].alias("pos"), b["start"].alias("start"))))
+    return F.array_min(F.array(*options))  # nulls are passed over
 
 
 def successors(marked: DataFrame, target_sec: float, stage1: float, stage2: float, slot_sec: float = SLOT_SEC) -> DataFrame:
@@ -88,12 +88,12 @@ def successors(marked: DataFrame, target_sec: float, stage1: float, stage2: floa
     for tier in TIERS.values():
         of = F.when(F.col("tier") == tier, F.col("b"))
         both = both.withColumn(f"_b{tier}", F.last(of, ignorenulls=True).over(back)).withColumn(f"_a{tier}", F.last(of, ignorenulls=True).over(ahead))
-    seen = both.withColumn("_total", F.max("_total").over(w)).where(F.col("_kind") == 0)
+    # Marks have no time, so they come first in the order.
+    seen = both.withColumn("_total", F.max("_total").over(back)).where(F.col("_kind") == 0)
     # "Any" admits every boundary; a better tier never hides one in the wider sense.
     side = {(t, "before"): F.col(f"_b{t}") for t in TIERS.values()} | {(t, "after"): F.col(f"_a{t}") for t in TIERS.values()}
-    near1 = _pick(stage1, side, F.col("src.pos"), F.col("_at"))
-    near2 = _pick(stage2, side, F.col("src.pos"), F.col("_at"))
-    found = seen.select("job_id", "src.pos", "src.start", F.when(F.col("_total").isNull() | (F.col("_at") < F.col("_total")), F.coalesce(near1, near2)).alias("n"))
+    near = _pick(stage1, stage2, side, F.col("src.pos"), F.col("_at"))
+    found = seen.select("job_id", "src.pos", "src.start", F.when(F.col("_total").isNull() | (F.col("_at") < F.col("_total")), near).alias("n"))
     return found.select("job_id", "pos", "start", F.col("n.pos").alias("next"), F.col("n.start").alias("next_start"))
 
 
