@@ -293,6 +293,7 @@ def _beyond(rows: DataFrame, summary: DataFrame) -> DataFrame:
 def infer(rows: DataFrame, slot_ms: int = SLOT_MS) -> DataFrame:
     """Rows as spoken() gives them, each cue once, with the speaker that the model finds most probable.
 
+    Cues without a job are kept, and have a label only if they name someone by number.
     Columns: job_id, cue_index, start_ms, words, named (whether speaker or text
     name anyone), label (null only where a job knows no speaker) and probability (1 for
     cues that name exactly one). Each stretch of open cues is decoded with its labelled
@@ -310,7 +311,7 @@ def infer(rows: DataFrame, slot_ms: int = SLOT_MS) -> DataFrame:
     known_at = F.when(one, F.col("at"))
     rows = rows.withColumn("_first", F.min(known_at).over(slot)).withColumn("_last", F.max(known_at).over(slot))
     rows = rows.withColumn("_lead", F.col("at") <= F.coalesce("_first", "_n")).withColumn("_tail", F.col("at") >= F.coalesce("_last", F.lit(1)))
-    rows = written(rows.withColumn("_beside", F.coalesce(F.lag("open").over(order), F.lit(False)) | F.coalesce(F.lead("open").over(order), F.lit(False)) | (F.col("at") == 1) | (F.col("at") == F.col("_n"))))
+    rows = written(rows.withColumn("_asks", F.max("open").over(slot)).withColumn("_beside", F.coalesce(F.lag("open").over(order), F.lit(False)) | F.coalesce(F.lead("open").over(order), F.lit(False)) | (F.col("at") == 1) | (F.col("at") == F.col("_n"))))
     by_slot = Window.partitionBy("job_id").orderBy("_slot")
     summary = rows.groupBy("job_id", "_slot").agg(F.count(F.lit(1)).alias("n"), F.min_by("_label", "at").alias("_head"), F.max_by("_label", "at").alias("_end"))
     summary = summary.withColumn("last", F.lag("_slot").over(by_slot)).withColumn("last_n", F.lag("n").over(by_slot)).withColumn("next", F.lead("_slot").over(by_slot)).withColumn("_from", F.lag("_end").over(by_slot))
@@ -325,8 +326,8 @@ def infer(rows: DataFrame, slot_ms: int = SLOT_MS) -> DataFrame:
     models = near.select("job_id", "_near").distinct().join(model, "job_id")
     blank = {"cue_index": F.lit(0), "start_ms": F.lit(0).cast("long"), "words": F.lit(None).cast("string"), "labels": F.lit(None).cast("array<string>"), "own": F.lit(False), "at": F.lit(-(1 << 30))}
     per_slot = near.join(models, ["job_id", "_near"]).select("job_id", "_slot", "profile_label", "counts", "after", *(blank[c].alias(c) for c in _CUE))
-    inside = rows.where(F.col("open") | F.col("_beside")).select("job_id", "_slot", "cue_index", "start_ms", "words", "labels", F.lit(True).alias("own"), F.col("at").cast("int").alias("at"))
-    asked = inside.unionByName(_beyond(rows, summary)).join(open_slots, ["job_id", "_slot"], "left_semi")
+    inside = rows.where(F.col("open") | F.col("_beside") & F.col("_asks")).select("job_id", "_slot", "cue_index", "start_ms", "words", "labels", F.lit(True).alias("own"), F.col("at").cast("int").alias("at"))
+    asked = inside.unionByName(_beyond(rows, summary).join(open_slots, ["job_id", "_slot"], "left_semi"))
     asked = asked.select("job_id", "_slot", F.lit(None).cast("string").alias("profile_label"), F.lit(None).cast("array<long>").alias("counts"), F.lit(None).cast("map<string,bigint>").alias("after"), *_CUE)
     both = per_slot.unionByName(asked).repartition("job_id", "_slot").sortWithinPartitions("job_id", "_slot", "at")
     decoded = both.mapInPandas(_decode_all, _DECODED)

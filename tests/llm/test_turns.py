@@ -93,6 +93,13 @@ def test_turns(spark):
     assert turns.turns(cues.limit(0), names.limit(0)).count() == 0
 
 
+def test_cues_without_a_job(spark):
+    rows = [(None, "PRIMARY", 1, 0.0, 1.0, "SPEAKER_02", "one", "x"), (None, "PRIMARY", 2, 1.0, 2.0, None, "two", "x"), (None, "PRIMARY", 3, 2.0, 3.0, "Quorn", "three", "x"), ("j", "PRIMARY", 1, 0.0, 1.0, "SPEAKER_00", "x", "x")]
+    names = spark.createDataFrame([("j", "SPEAKER_00", "Quorn")], "job_id string, speaker_label string, display_name string")
+    got = {(r["job_id"], r["speaker_label"], r["n_cues"]) for r in turns.turns(spark.createDataFrame(rows, CUES), names).collect()}
+    assert got == {(None, "SPEAKER_02", 1), (None, "UNKNOWN", 2), ("j", "SPEAKER_00", 1)}
+
+
 def test_language_profile_decides(spark):
     talk = ["red green blue", "one two three"]
     rows = [("j", "PRIMARY", i, float(i), i + 0.5, f"SPEAKER_0{i % 2}", talk[i % 2], "x") for i in range(40)] + [("j", "PRIMARY", 100 + i, 100.0 + i, None, None, talk[i % 2], "x") for i in range(6)]
