@@ -162,10 +162,14 @@ def _partial_profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
 
 
 def profiles(known: DataFrame) -> DataFrame:
-    """job_id, label, counts: the language profile of each participant, over all their cues."""
+    """job_id, label, counts: the language profile of each participant, over all their cues.
+
+    What is gathered for a participant is a short array for each flush of each task that read some of their cues.
+    """
     part = known.mapInPandas(_partial_profiles, "job_id string, label string, counts array<long>")
-    sums = [F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(BUCKETS)]
-    return part.groupBy("job_id", "label").agg(*sums).select("job_id", "label", F.array(*(F.col(f"c{i}") for i in range(BUCKETS))).alias("counts"))
+    none = F.array_repeat(F.lit(0).cast("long"), BUCKETS)
+    total = F.aggregate(F.collect_list("counts"), none, lambda sums, more: F.zip_with(sums, more, lambda x, y: x + y))
+    return part.groupBy("job_id", "label").agg(total.alias("counts"))
 
 
 def decode(emit: np.ndarray, allowed: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
