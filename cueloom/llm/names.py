@@ -5,14 +5,15 @@ that speak of a person, brackets behind a person word and lists of names raise t
 score, words that are something else lower it. No single sign is enough but a title, an
 honorific or an introduction.
 
-Lists of names: the fixed ones below and, where given, one made from a bounded sample of
-display names (known_parts).
+Lists of names: the fixed ones below and the parts of all display names (parts_of). These are
+as many as there are people, so a text need not have them at hand: every candidate says which
+words would have to be known names, and what its score were then.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import regex
@@ -99,6 +100,7 @@ _HAN_NAME = regex.compile(rf"(?P<s>{_KANJI}{{2,7}}(?:[ 　][\p{{Han}}々]{{1,3}}
 _TITLE_HEAD = regex.compile(rf"^{_TITLE}\.?\s", regex.I)
 _KO_NOT = frozenset("여러분 선생 고객 누구 사용자 참석자 담당자 진행자 관리자 대표 팀원".split())
 _FAMILY_JA = tuple(FAMILY_JA)
+_SPACE = regex.compile(r"[\s　]")
 
 
 _CAPITALS = frozenset(map(chr, (*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF))))
@@ -106,31 +108,39 @@ _SMALL = frozenset("abcdefghijklmnopqrstuvwxyz")
 
 
 class Found(NamedTuple):
+    """A candidate and its score; lifted is what the score were if one of the words in asks were a known name."""
+
     start: int
     end: int
     score: float
+    lifted: float
+    asks: tuple[str, ...]
+
 
+def parts_of(name: str | None) -> set[str]:
+    """A name and, where spaces part it, its parts, in comparable form."""
+    if not name:
+        return set()
+    parts = regex.split(r"[\s　・]+", name.strip().casefold())
+    return {"".join(parts), *(p for p in parts if len(p) > 1)} - {""}
 
-def known_parts(names: Iterable[str | None]) -> frozenset[str]:
-    """Names and, where spaces part them, their parts, in comparable form."""
-    out: set[str] = set()
-    for name in names:
-        if name:
-            parts = regex.split(r"[\s　・]+", name.strip().casefold())
-            out.update(p for p in parts if len(p) > 1)
-            out.add("".join(parts))
-    return frozenset(out)
 
+def _weighed(score: Callable[[bool], float], listed: bool, asks: tuple[str, ...], known: frozenset[str]) -> tuple[float, float, tuple[str, ...]]:
+    """Score, lifted and asks of a candidate; score takes whether a list of names has it, listed says that a fixed one does."""
+    if listed or not known.isdisjoint(asks):
+        sure = score(True)
+        return sure, sure, ()
+    return score(False), score(True), asks
 
-def _listed(words: list[str], known: frozenset[str]) -> bool:
-    return any(w in GIVEN or w in known for w in words) or "".join(words) in known
 
+def _asks(words: list[str]) -> tuple[str, ...]:
+    return (*words, "".join(words)) if len(words) > 1 else tuple(words)
 
-def _listed_han(name: str, known: frozenset[str]) -> bool:
-    plain = regex.sub(r"[\s　]", "", name)
-    if plain in known or plain.startswith(_FAMILY_JA):
-        return True
-    return any(plain[:i] in known for i in range(2, min(len(plain), 5)))
+
+def _asks_han(name: str) -> tuple[bool, tuple[str, ...]]:
+    """Whether a fixed list has a name in Han or Hangul, and what to ask for else: the name and its first signs."""
+    plain = _SPACE.sub("", name)
+    return plain.startswith(_FAMILY_JA), (plain, *(plain[:i] for i in range(2, min(len(plain), 5))))
 
 
 def _ordinary_han(name: str) -> bool:
@@ -155,19 +165,22 @@ def _trimmed(text: str, a: int, b: int) -> int:
     return b
 
 
-def _score(text: str, a: int, b: int, known: frozenset[str], titled: bool, lower: bool) -> float:
-    words = text[a:b].casefold().split()
+def _score(text: str, a: int, b: int, known: frozenset[str], titled: bool, lower: bool) -> tuple[float, float, tuple[str, ...]]:
     before = text[max(0, a - 28) : a]
-    left, right = _LEFT.search(before) is not None, _RIGHT.match(text, b) is not None
-    listed = _listed(words, known)
-    if lower and not titled and not (left and (right or listed)):
-        return 0.0
-    score = 0.55 * titled + 0.3 * (len(words) > 1) + 0.4 * listed + 0.3 * left + 0.3 * right + 0.6 * (_INTRODUCES.search(before) is not None)
-    if not left:
-        score += 0.15 * (_LEFT_WEAK.search(before) is not None)
-    elif not right:
-        score += 0.2 * (_RIGHT_END.match(text, b) is not None)
-    return score - 0.6 * (any(w in NOT_NAMES or lower and w in _VERBS for w in words) or _SOUND.match(words[0]) is not None)
+    left = _LEFT.search(before) is not None
+    if lower and not titled and not left:
+        return 0.0, 0.0, ()
+    words = text[a:b].casefold().split()
+    right, introduced = _RIGHT.match(text, b) is not None, _INTRODUCES.search(before) is not None
+    more = 0.15 * (_LEFT_WEAK.search(before) is not None) if not left else 0.2 * (not right and _RIGHT_END.match(text, b) is not None)
+    other = any(w in NOT_NAMES or lower and w in _VERBS for w in words) or _SOUND.match(words[0]) is not None
+
+    def score(listed: bool) -> float:
+        if lower and not titled and not (right or listed):
+            return 0.0
+        return 0.55 * titled + 0.3 * (len(words) > 1) + 0.4 * listed + 0.3 * left + 0.3 * right + 0.6 * introduced + more - 0.6 * other
+
+    return _weighed(score, not GIVEN.isdisjoint(words), _asks(words), known)
 
 
 def _latin(text: str, start: int, lower: bool, known: frozenset[str]) -> Iterator[Found]:
@@ -178,7 +191,7 @@ def _latin(text: str, start: int, lower: bool, known: frozenset[str]) -> Iterato
             a, b = m.span("n")
             titled = m["t"] is not None and _firm(text, m, lower)
             for end in {b, a + len(m["n"].split()[0])}:
-                yield Found(m.start("t") if titled else a, end, _score(text, a, end, known, titled, True))
+                yield Found(m.start("t") if titled else a, end, *_score(text, a, end, known, titled, True))
         return
     # Words that are never part of a name need no look at what stands around them.
     if all(w.lower() in _FIRST_WORDS for w in _CAPITAL_WORDS.findall(text, start)) or not _TRIGGER.search(text, start):
@@ -193,7 +206,7 @@ def _latin(text: str, start: int, lower: bool, known: frozenset[str]) -> Iterato
             continue
         at = b
         if head < b:
-            yield Found(m.start("t") if titled else a, b, _score(text, a, b, known, titled, False))
+            yield Found(m.start("t") if titled else a, b, *_score(text, a, b, known, titled, False))
 
 
 def _firm(text: str, m: regex.Match, lower: bool) -> bool:
@@ -206,24 +219,28 @@ def _cjk(text: str, start: int, known: frozenset[str]) -> Iterator[Found]:
     if _HANGUL.search(text, start):
         if _KO_TRIGGER.search(text, start):
             for m in _KO_HONORED.finditer(text, start):
-                yield Found(*m.span("n"), 0.35 + 0.25 * (m["s"][0] in FAMILY_KO) + 0.4 * (m["s"] in known) - 0.6 * (m["s"] in _KO_NOT))
+                yield Found(*m.span("n"), *_weighed(lambda listed, s=m["s"]: 0.35 + 0.25 * (s[0] in FAMILY_KO) + 0.4 * listed - 0.6 * (s in _KO_NOT), False, (m["s"],), known))
             for m in _KO_PLAIN.finditer(text, start):
-                yield Found(*m.span("n"), 0.3 + 0.3 * (m["n"][0] in FAMILY_KO) + 0.4 * (m["n"] in known) - 0.6 * (m["n"] in _KO_NOT))
+                yield Found(*m.span("n"), *_weighed(lambda listed, n=m["n"]: 0.3 + 0.3 * (n[0] in FAMILY_KO) + 0.4 * listed - 0.6 * (n in _KO_NOT), False, (m["n"],), known))
     elif _KANA.search(text, start):
         if _JA_HONOR.search(text, start):
             for m in _JA_HONORED.finditer(text, start):
-                yield Found(*m.span("n"), 0.6 + 0.4 * _listed_han(m["s"], known) - 0.6 * _ordinary_han(m["n"]))
+                ordinary = _ordinary_han(m["n"])
+                yield Found(*m.span("n"), *_weighed(lambda listed, ordinary=ordinary: 0.6 + 0.4 * listed - 0.6 * ordinary, *_asks_han(m["s"]), known))
         if _JA_TRIGGER.search(text, start):
             for m in _JA_PLAIN.finditer(text, start):
                 a, b = m.span("n")
                 office = _JA_OFFICE.search(m["n"]) is not None
                 left = _JA_LEFT.search(text[max(0, a - 4) : a]) is not None
-                yield Found(a, b, 0.35 + 0.2 * left + 0.4 * _listed_han(m["n"], known) - 0.6 * (_ordinary_han(m["n"]) or office and not _listed_han(m["n"], known)))
+                ordinary = _ordinary_han(m["n"])
+                yield Found(a, b, *_weighed(lambda listed, left=left, ordinary=ordinary, office=office: 0.35 + 0.2 * left + 0.4 * listed - 0.6 * (ordinary or office and not listed), *_asks_han(m["n"]), known))
     elif _ZH_TRIGGER.search(text, start):
         for m in _ZH_HONORED.finditer(text, start):
-            yield Found(*m.span("n"), 0.4 + 0.2 * (_ZH_BEFORE.search(text[max(0, m.start() - 3) : m.start()]) is not None) + 0.3 * (m["s"][0] in FAMILY_ZH) + 0.4 * (m["s"] in known) - 0.6 * _ordinary_han(m["s"]))
+            before, ordinary = _ZH_BEFORE.search(text[max(0, m.start() - 3) : m.start()]) is not None, _ordinary_han(m["s"])
+            yield Found(*m.span("n"), *_weighed(lambda listed, s=m["s"], before=before, ordinary=ordinary: 0.4 + 0.2 * before + 0.3 * (s[0] in FAMILY_ZH) + 0.4 * listed - 0.6 * ordinary, False, (m["s"],), known))
         for m in _ZH_PLAIN.finditer(text, start):
-            yield Found(*m.span("n"), 0.3 + 0.3 * (m["n"][0] in FAMILY_ZH) + 0.4 * (m["n"] in known) - 0.6 * _ordinary_han(m["n"]))
+            ordinary = _ordinary_han(m["n"])
+            yield Found(*m.span("n"), *_weighed(lambda listed, n=m["n"], ordinary=ordinary: 0.3 + 0.3 * (n[0] in FAMILY_ZH) + 0.4 * listed - 0.6 * ordinary, False, (m["n"],), known))
 
 
 def _in_brackets(text: str, start: int, lower: bool, known: frozenset[str]) -> Iterator[Found]:
@@ -234,11 +251,13 @@ def _in_brackets(text: str, start: int, lower: bool, known: frozenset[str]) -> I
         if _LATIN_NAME.fullmatch(got) and (lower or all(w[0].isupper() for w in got.split())):
             bare = _TITLE_HEAD.sub("", got)
             words = bare.casefold().split()
-            score = 0.3 + 0.3 * (len(words) > 1) + 0.5 * (bare != got) + 0.4 * _listed(words, known) + 0.3 * (_PERSON_WORD.search(text[max(0, m.start() - 24) : m.start()]) is not None)
-            yield Found(*m.span("n"), score - 0.6 * any(w in NOT_NAMES for w in words))
+            person, other = _PERSON_WORD.search(text[max(0, m.start() - 24) : m.start()]) is not None, any(w in NOT_NAMES for w in words)
+            score = lambda listed, n=len(words), titled=bare != got, person=person, other=other: 0.3 + 0.3 * (n > 1) + 0.5 * titled + 0.4 * listed + 0.3 * person - 0.6 * other
+            yield Found(*m.span("n"), *_weighed(score, not GIVEN.isdisjoint(words), _asks(words), known))
         elif han := _HAN_NAME.fullmatch(got):
             name = han["s"]
-            yield Found(*m.span("n"), 0.5 + 0.4 * (han["h"] is not None) + 0.4 * _listed_han(name, known) - 0.6 * (_ordinary_han(name) or name in _KO_NOT))
+            score = lambda listed, honored=han["h"] is not None, other=_ordinary_han(name) or name in _KO_NOT: 0.5 + 0.4 * honored + 0.4 * listed - 0.6 * other
+            yield Found(*m.span("n"), *_weighed(score, *_asks_han(name), known))
 
 
 def propose(text: str, chars: set[str], start: int = 0, known: frozenset[str] = frozenset()) -> list[Found]:

@@ -16,12 +16,13 @@ import re
 from collections.abc import Callable
 from typing import NamedTuple
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cueloom.llm import names
 from cueloom.llm.canonical import canonicalize
@@ -103,8 +104,11 @@ def korean_id(s: str) -> bool:
     return (11 - total % 11) % 10 == int(s[12])
 
 
+_NO_SIGN = regex.compile(r"[^0-9A-Za-z]")
+
+
 def _bare(s: str) -> str:
-    return regex.sub(r"[^0-9A-Za-z]", "", s)
+    return _NO_SIGN.sub("", s)
 
 
 # ---- proposals -------------------------------------------------------------------------
@@ -158,6 +162,8 @@ _ZERO_KANA = re.compile("ゼロ|れい|まる")
 _HAN_DIGITS = regex.compile(r"[零〇一二三四五六七八九幺两]{10,13}")
 _HANGUL_DIGITS = regex.compile(r"(?:(?:공|영|일|이|삼|사|오|육|칠|팔|구)[\s에-]?){9,12}(?![가-힣])")
 _PHONE = regex.compile(r"(?<![\d\p{Latin}@.:/-])(?:\+\d{1,3}[\s.-]?)?(?:\(0?\d{1,4}\)[\s.-]?)?\d{1,15}(?:[\s./−‐–-]\d{1,8}){0,5}(?![\d\p{Latin}@]|[:：]\d)")
+_DATE = regex.compile(r"(?:19|20)\d{2}[-./ ]\d{1,2}[-./ ]\d{1,2}|\d{1,2}[-./ ]\d{1,2}[-./ ](?:19|20)\d{2}")
+_PARTED = regex.compile(r"[\s./-]")
 _NOT_A_PHONE = regex.compile(r"(?:meeting|session|webinar)\s*(?:id|code|number)|ticket|invoice|order|build|version|release|case|Sitzungs?kennung|kennung|Rechnung|facture|identifiant|factura|tique|código|code|チケット|請求書|会議\s*ID|バージョン|注文|会议号|会议\s*ID|工单|发票|订单|회의\s*(?:ID|번호)|티켓|청구서|주문", regex.I)
 _PHONE_CONTEXT = regex.compile(r"call|ring|phone|mobile|reach|text|dial|fax|number is|cell|erreichbar|telefon|handy|Nummer|anruf|numéro|joint|appel|téléphone|portable|teléfono|móvil|llam|número|電話|携帯|番号|かけ|つながり|切れたら|控えて|电话|手机|打|拨|号码|번호|전화|연락|주세요", regex.I)
 
@@ -295,9 +301,9 @@ def _numbers(text: str, n_digits: int, out: list[Span]) -> None:
             continue
         score = 0.55 if n >= 9 else 0.1
         score += 0.3 * m[0].startswith(("+", "(")) + 0.4 * _near(_PHONE_CONTEXT, text, *m.span(), 22, 18) - 0.9 * _near(_NOT_A_PHONE, text, *m.span(), 26, 0)
-        if regex.fullmatch(r"(?:19|20)\d{2}[-./ ]\d{1,2}[-./ ]\d{1,2}|\d{1,2}[-./ ]\d{1,2}[-./ ](?:19|20)\d{2}", m[0]):
+        if _DATE.fullmatch(m[0]):
             score -= 0.8  # a date
-        if n < 9 and not regex.search(r"[\s./-]", m[0]):
+        if n < 9 and not _PARTED.search(m[0]):
             score -= 0.3
         out.append(Span(*m.span(), "PHONE", score))
 
@@ -320,21 +326,37 @@ def head_label(text: str) -> Label | None:
     return Label(at, at + len(label), max(at, text.rfind(rest)) if rest else len(text), sure) if at >= 0 else None
 
 
-def spans_of(text: str, named: bool, label: Label | None, known: frozenset[str] = frozenset()) -> list[Span]:
-    """The spans of a canonical text, in order, none overlapping; named says whether the label names somebody."""
+def weighed(text: str, named: bool, label: Label | None, known: frozenset[str] = frozenset()) -> tuple[list[Span], list[str]]:
+    """The spans of a canonical text, in order, none overlapping, and the words that would change them if they were known names.
+
+    named says whether the label names somebody.
+    """
     chars = set(text)
     scored = [s for s in propose(text, chars) if s.score >= THRESHOLD]
     if label and named:
         scored.append(Span(label.start, label.end, "NAME", 0.8))
-    body = label.body if label and named else 0
-    scored += [Span(a, b, "NAME", s) for a, b, s in names.propose(text, chars, body, known) if s >= THRESHOLD]
-    if not scored:
-        return scored
+    doubtful: list[names.Found] = []
+    for f in names.propose(text, chars, label.body if label and named else 0, known):
+        if f.score >= THRESHOLD:
+            scored.append(Span(f.start, f.end, "NAME", f.score))
+        elif f.lifted >= THRESHOLD:
+            doubtful.append(f)
+    if not scored and not doubtful:
+        return scored, doubtful
     kept: list[Span] = []
     for s in sorted(scored, key=lambda s: (KINDS.index(s.kind), s.start - s.end, s.start)):
         if all(s.end <= k.start or k.end <= s.start for k in kept):
             kept.append(s)
-    return sorted(kept)
+    if not doubtful:
+        return sorted(kept), doubtful
+    # Other kinds keep their text from names, whichever are known.
+    asks = dict.fromkeys(w for f in doubtful if all(f.end <= k.start or k.end <= f.start for k in kept if k.kind != "NAME") for w in f.asks)
+    return sorted(kept), list(asks)
+
+
+def spans_of(text: str, named: bool, label: Label | None, known: frozenset[str] = frozenset()) -> list[Span]:
+    """The spans of a canonical text, in order, none overlapping; named says whether the label names somebody."""
+    return weighed(text, named, label, known)[0]
 
 
 def find(text: str | None, participants: frozenset[str] | None = None, known: frozenset[str] = frozenset()) -> tuple[str | None, list[Span]]:
@@ -367,28 +389,50 @@ def redact(text: str | None, participants: frozenset[str] | None = None, known:
     return filled(plain, spans) if spans else plain
 
 
-def both_ways(text: str | None, known: frozenset[str]) -> tuple[str | None, str | None, list[Span], list[Span] | None]:
-    """The canonical text, the key of a bare label, the spans if that label names nobody, and if it names somebody."""
+class Ways(NamedTuple):
+    """A text's canonical form, the key of its bare label, and spans and asks (as ``weighed`` has them) if that label names nobody, and if it names somebody."""
+
+    canonical: str | None
+    bare: str | None
+    plain: list[Span]
+    asks: list[str]
+    named: list[Span] | None
+    named_asks: list[str]
+
+
+def both_ways(text: str | None, known: frozenset[str] = frozenset()) -> Ways:
     if not text or text.isspace():
-        return text, None, [], None
+        return Ways(text, None, [], [], None, [])
     plain = canonicalize(text)
     label = head_label(plain) if not _LABEL_SIGNS.isdisjoint(plain) else None
     if label is None or label.sure:
-        return plain, None, spans_of(plain, label is not None, label, known), None
-    return plain, name_key(plain[label.start : label.end]), spans_of(plain, False, label, known), spans_of(plain, True, label, known)
+        return Ways(plain, None, *weighed(plain, label is not None, label, known), None, [])
+    return Ways(plain, name_key(plain[label.start : label.end]), *weighed(plain, False, label, known), *weighed(plain, True, label, known))
 
 
-NAME_SAMPLE = 4_000
 REMEMBERED = 65_536  # texts a task need not look at again, as short replies and repeated deliveries are the same
-# Kinds as bits in order of KINDS; named is -1 where no label is in doubt.
-_KINDS_TYPE = T.StructType([T.StructField("bare", T.StringType()), T.StructField("kinds", T.IntegerType()), T.StructField("named", T.IntegerType())])
-_TEXT_TYPE = T.StructType([T.StructField(c, T.StringType()) for c in ("bare", "plain", "named")])
+_NAME_BIT = 1 << KINDS.index("NAME")
+# Kinds as bits in order of KINDS; named is -1 where no label is in doubt. The words asked for are parted by spaces, null where there are none.
+_KINDS_TYPE = T.StructType([T.StructField(c, T.IntegerType() if c in ("kinds", "named") else T.StringType()) for c in ("bare", "kinds", "named", "asks", "named_asks")])
+_TEXT_TYPE = T.StructType([T.StructField(c, T.StringType()) for c in ("bare", "plain", "named", "asks")])
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _parts(display_names: pd.Series) -> pd.Series:
+    return pd.Series([sorted(names.parts_of(canonicalize(n))) for n in display_names], dtype=object)
+
 
+def known_names(speaker_map: DataFrame) -> DataFrame:
+    """word: every display name of all jobs and its parts, each once."""
+    once = speaker_map.where(F.col("display_name").isNotNull()).select("display_name").distinct()
+    return once.select(F.explode(_parts("display_name")).alias("word")).distinct()
 
-def sample_names(speaker_map: DataFrame, bound: int = NAME_SAMPLE) -> frozenset[str]:
-    """Parts of at most ``bound`` display names, drawn by hash: what the recognition of names is fitted on."""
-    drawn = speaker_map.where(F.col("display_name").isNotNull()).select("display_name").distinct().orderBy(F.xxhash64("display_name"), "display_name").limit(bound)
-    return names.known_parts(canonicalize(r["display_name"]) for r in drawn.collect())
+
+def _answered(rows: DataFrame, speaker_map: DataFrame) -> DataFrame:
+    """tab, job_id, rec_key and each of the words in asks that is a known name; rows meet the names by word and a salt of their key."""
+    asked = rows.where(F.col("asks").isNotNull()).select("tab", "job_id", "rec_key", F.explode(F.split("asks", " ")).alias("word"))
+    met = with_group_values(asked, known_names(speaker_map).withColumn("_known", F.lit(True)), "word", F.pmod(F.xxhash64("rec_key"), F.lit(64)))
+    return met.where("_known").drop("_known")
 
 
 def _bits(spans: list[Span]) -> int:
@@ -398,33 +442,56 @@ def _bits(spans: list[Span]) -> int:
     return out
 
 
-def _kinds(known: frozenset[str]):
-    seen: dict[str | None, tuple] = {}
+def _asked(asks: list[str], bits: int) -> str | None:
+    """What to ask for where only the kinds count."""
+    return " ".join(asks) if asks and not bits & _NAME_BIT else None
+
+
+def _table(rows: list[tuple], kind: T.StructType) -> pa.StructArray:
+    fields = list(to_arrow_schema(kind))
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields)
 
-    @F.pandas_udf(_KINDS_TYPE)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            if text not in seen:
-                if len(seen) >= REMEMBERED:
-                    seen.clear()
-                _, bare, plain, named = both_ways(text, known)
-                seen[text] = bare, _bits(plain), -1 if named is None else _bits(named)
-            rows.append(seen[text])
-        bare, kinds, labelled_kinds = zip(*rows, strict=True) if rows else ((), (), ())
-        return pd.DataFrame({"bare": pd.Series(bare, dtype=object), "kinds": np.array(kinds, dtype=np.int32), "named": np.array(labelled_kinds, dtype=np.int32)})
+
+def _by_text(row_of: Callable[[str | None], tuple], kind: T.StructType):
+    @F.arrow_udf(kind)
+    def run(texts: pa.Array) -> pa.Array:
+        return _table([row_of(text) for text in texts.to_pylist()], kind)
 
     return run.asNondeterministic()
 
 
-def _texts(known: frozenset[str]):
-    @F.pandas_udf(_TEXT_TYPE)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            canonical, bare, plain, named = both_ways(text, known)
-            rows.append((bare, filled(canonical, plain) if plain else canonical, None if named is None else filled(canonical, named)))
-        return pd.DataFrame(rows, columns=["bare", "plain", "named"])
+def _remembered(row_of: Callable[[str | None], tuple]) -> Callable[[str | None], tuple]:
+    seen: dict[str | None, tuple] = {}
+
+    def run(text: str | None) -> tuple:
+        row = seen.get(text)
+        if row is None:
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            row = seen[text] = row_of(text)
+        return row
+
+    return run
+
+
+def _kinds_row(text: str | None) -> tuple:
+    w = both_ways(text)
+    kinds, labelled = _bits(w.plain), -1 if w.named is None else _bits(w.named)
+    return w.bare, kinds, labelled, _asked(w.asks, kinds), _asked(w.named_asks, labelled)
+
+
+def _text_row(text: str | None, known: frozenset[str] = frozenset()) -> tuple:
+    w = both_ways(text, known)
+    return w.bare, filled(w.canonical, w.plain) if w.plain else w.canonical, None if w.named is None else filled(w.canonical, w.named), " ".join(dict.fromkeys(w.asks + w.named_asks)) or None
+
+
+def _texts_knowing():
+    """A function of a text and the words in it that are known names."""
+
+    @F.arrow_udf(_TEXT_TYPE)
+    def run(texts: pa.Array, known: pa.Array) -> pa.Array:
+        return _table([_text_row(text, frozenset(words or ())) for text, words in zip(texts.to_pylist(), known.to_pylist(), strict=True)], _TEXT_TYPE)
 
     return run.asNondeterministic()
 
@@ -444,23 +511,36 @@ def _label_known(rows: DataFrame, speaker_map: DataFrame) -> DataFrame:
 def holding(rows: DataFrame, speaker_map: DataFrame) -> DataFrame:
     """tab, job_id, rec_key and kind: each record and kind of personal information once.
 
-    Bare labels at the head of a text count as names where the job's speaker map knows them;
-    only the few records for which that matters are looked up.
+    Bare labels at the head of a text count as names where the job's speaker map knows them,
+    and words that alone are too little do where any job's does; only the records for which
+    that matters are looked up.
     """
-    judged = rows.select("tab", "job_id", "rec_key", _kinds(sample_names(speaker_map))("text").alias("j")).select("tab", "job_id", "rec_key", "j.*")
+    judged = rows.select("tab", "job_id", "rec_key", _by_text(_remembered(_kinds_row), _KINDS_TYPE)("text").alias("j")).select("tab", "job_id", "rec_key", "j.*")
     # Most records hold nothing and leave here.
-    judged = written(judged.where((F.col("kinds") > 0) | (F.col("named") > 0)))
-    matters = (F.col("named") >= 0) & (F.col("named") != F.col("kinds"))
-    asked = _label_known(judged.where(matters), speaker_map).withColumn("kinds", F.when(F.col("_known"), F.col("named")).otherwise(F.col("kinds")))
-    all_rows = judged.where(~matters).select("tab", "job_id", "rec_key", "kinds").unionByName(asked.select("tab", "job_id", "rec_key", "kinds"))
-    return all_rows.select("tab", "job_id", "rec_key", F.explode(F.array_compact(F.array(*(F.when(F.col("kinds").bitwiseAND(1 << i) > 0, k) for i, k in enumerate(KINDS))))).alias("kind")).dropDuplicates()
+    judged = written(judged.where((F.col("kinds") > 0) | (F.col("named") > 0) | F.col("asks").isNotNull() | F.col("named_asks").isNotNull()))
+    matters = (F.col("named") >= 0) & ((F.col("named") != F.col("kinds")) | ~F.col("asks").eqNullSafe(F.col("named_asks")))
+    looked_up = _label_known(judged.where(matters), speaker_map)
+    cols = ["tab", "job_id", "rec_key", "kinds", "asks"]
+    settled = written(looked_up.select("tab", "job_id", "rec_key", *(F.when(F.col("_known"), F.col(n)).otherwise(F.col(p)).alias(p) for p, n in (("kinds", "named"), ("asks", "named_asks")))))
+    all_rows = judged.where(~matters).select(*cols).unionByName(settled)
+    kinds = all_rows.select("tab", "job_id", "rec_key", F.explode(F.array_compact(F.array(*(F.when(F.col("kinds").bitwiseAND(1 << i) > 0, k) for i, k in enumerate(KINDS))))).alias("kind"))
+    lifted = _answered(all_rows, speaker_map).select("tab", "job_id", "rec_key", F.lit("NAME").alias("kind"))
+    return kinds.unionByName(lifted).dropDuplicates()
 
 
 def redacted(rows: DataFrame, speaker_map: DataFrame) -> DataFrame:
     """Each record once, its text with typed placeholders; rows are tab, job_id, rec_key and text."""
-    once = rows.dropDuplicates(["tab", "job_id", "rec_key"])
-    made = written(once.select("tab", "job_id", "rec_key", _texts(sample_names(speaker_map))("text").alias("t")).select("tab", "job_id", "rec_key", "t.*"))
-    asked = _label_known(made.where(F.col("bare").isNotNull()), speaker_map).withColumn("text", F.when(F.col("_known"), F.col("named")).otherwise(F.col("plain")))
+    key = ["tab", "job_id", "rec_key"]
+    once = rows.dropDuplicates(key)
+    judged = once.select(*key, "text", _by_text(_remembered(_text_row), _TEXT_TYPE)("text").alias("t")).select(*key, F.when(F.col("t.asks").isNotNull(), F.col("text")).alias("text"), "t.*")
+    judged = written(judged)
+    # The few texts with words to ask for are looked at again with those that are known names.
+    asked = judged.where(F.col("asks").isNotNull()).select(*key, "text")
+    known = _answered(judged, speaker_map).groupBy(*key).agg(F.collect_set("word").alias("_words")).select(*(F.col(c).alias(f"_{c}") for c in key), "_words")
+    met = asked.join(known.hint("merge"), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key], "left")
+    again = written(met.select(*key, _texts_knowing()("text", "_words").alias("t")).select(*key, "t.*"))
+    cols = [*key, "bare", "plain", "named"]
+    made = judged.where(F.col("asks").isNull()).select(*cols).unionByName(again.select(*cols))
+    looked_up = _label_known(made.where(F.col("bare").isNotNull()), speaker_map).withColumn("text", F.when(F.col("_known"), F.col("named")).otherwise(F.col("plain")))
     sure = made.where(F.col("bare").isNull()).withColumn("text", F.col("plain"))
-    cols = ["tab", "job_id", "rec_key", "text"]
-    return sure.select(*cols).unionByName(asked.select(*cols))
+    return sure.select(*key, "text").unionByName(looked_up.select(*key, "text"))

@@ -1,6 +1,6 @@
 import pytest
 
-from cueloom.llm import pii
+from cueloom.llm import names, pii
 
 
 @pytest.mark.parametrize(
@@ -127,3 +127,33 @@ def test_words_that_are_no_address(text):
 def test_spelled_address_between_words():
     assert pii.redact("Die Technik (gretavan ät hq punkt invalid) beendete das Schlusswort.") == "Die Technik ([EMAIL]) beendete das Schlusswort."
     assert pii.redact("Mon adresse, c'est quill chez lautre point zone.") == "Mon adresse, c'est [EMAIL]."
+
+
+def test_every_display_name_counts(spark):
+    """More display names than one list of them held (4,000): each is found in a text where it is a known name that decides."""
+    signs = "abcdefghij"
+    people = [("Z" + "".join(signs[int(d)] for d in f"{i:04}") + "um") for i in range(4_500)]
+    assert all(pii.find(f"{p} is late")[1] == [] for p in people[:50])
+    names = spark.createDataFrame([(f"j{i % 7}", f"SPEAKER_{i}", f"{p} Q") for i, p in enumerate(people)], "job_id string, speaker_label string, display_name string")
+    cues = spark.createDataFrame([("other", "ZOOM", i, f"{p} is late") for i, p in enumerate(people)] + [("other", "ZOOM", 9_000, "Zebrum is late"), (None, "ZOOM", 9_001, "Zaaaaum is late")], "job_id string, source string, cue_index int, text string")
+    rows = pii.records(cues, spark.createDataFrame([], "job_id string, uid string, raw_text string"))
+    found = {(r["rec_key"], r["kind"]) for r in pii.holding(rows, names).collect()}
+    assert found == {(f"ZOOM:{i}", "NAME") for i in (*range(4_500), 9_001)}
+    texts = {r["rec_key"]: r["text"] for r in pii.redacted(rows, names).collect()}
+    assert len(texts) == 4_502 and texts.pop("ZOOM:9000") == "Zebrum is late" and set(texts.values()) == {"[NAME] is late"}
+
+
+def test_names_asked_for_settle_what_the_whole_list_would(spark):
+    """Asking for the words of a text gives the same spans and kinds as having the whole list at hand, behind labels too that are in doubt."""
+    people = ["Marek Linderly", "Q. Yarrow", "柊足悠人", "霧守 美帆", "빙나래", "苏鹤远舟", "Tolvilby"]
+    known = frozenset().union(*map(names.parts_of, people))
+    texts = ["Yarrow is late", "Question: Yarrow is late", "Yarrow: Tolvilby will go", "we asked tolvilby", "Yarrow (Linderly) said a@b.example", "(Tolvilby)", "霧守がまだ", "霧守社長が来ました", "빙나래입니다만", "苏鹤先生", "Notiz von Linderly ist da", "Marek wrote to Yarrow; Report is late", "Report is late", "Note: Report is late", "x (Yarrow) call Mr. Brand (Report)"]
+    cues = spark.createDataFrame([("j", "ZOOM", i, t) for i, t in enumerate(texts)], "job_id string, source string, cue_index int, text string")
+    speaker_map = spark.createDataFrame([("k", f"S{i}", p) for i, p in enumerate(people)] + [("j", "S", "Ana Yarrow")], "job_id string, speaker_label string, display_name string")
+    known |= names.parts_of("Ana Yarrow")
+    own = frozenset(["yarrow", "ana yarrow", "ana"])
+    rows = pii.records(cues, spark.createDataFrame([], "job_id string, uid string, raw_text string"))
+    want = {f"ZOOM:{i}": pii.find(t, own, known) for i, t in enumerate(texts)}
+    assert sum(pii.find(t, own)[1] != pii.find(t, own, known)[1] for t in texts) >= 8
+    assert {r["rec_key"]: r["text"] for r in pii.redacted(rows, speaker_map).collect()} == {k: pii.filled(*w) for k, w in want.items()}
+    assert {(r["rec_key"], r["kind"]) for r in pii.holding(rows, speaker_map).collect()} == {(k, s.kind) for k, w in want.items() for s in w[1]}
